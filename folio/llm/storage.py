@@ -1,0 +1,59 @@
+"""Tables and files that operators keep in the cluster's shared folder between two of their jobs."""
+
+from __future__ import annotations
+
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_fallback: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset (as in local tests), a temporary one for this driver."""
+    global _fallback
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _fallback is None:
+        _fallback = tempfile.mkdtemp(prefix="folio-")
+        atexit.register(shutil.rmtree, _fallback, ignore_errors=True)
+    return "file://" + _fallback
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet; removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    try:
+        fs, inner = open_fs(path)
+        fs.delete_dir(inner)
+    except Exception:  # the folder may never have been made, or its store is gone by now
+        pass
+
+
+def open_fs(path: str):
+    """(file system, path in it) of a URI or a plain path, for reading and writing raw files in tasks."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
