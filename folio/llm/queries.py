@@ -30,6 +30,24 @@ def op3_ranked_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, _read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0)
 
 
+def op7_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.piece_bpe import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.exact_dedup import deduplicate
+
+    return deduplicate(_read(spark, sf_dir, "documents"))
+
+
+def op9_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.packing import pack
 
@@ -39,7 +57,24 @@ def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_scan": op2_separator_scan,
     "op3_ranked_varint": op3_ranked_varint,
+    "op7_merge_rounds": op7_merge_rounds,
+    "op8_chunk_recipes": op8_chunk_recipes,
+    "op9_simhash_links": op9_simhash_links,
     "op10_min_slack_packing": op10_min_slack_packing,
 }
 
-ORACLES: dict[str, str] = {}
+OP8_SQL = """
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       sha256(body) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY body ORDER BY n_points DESC, doc_id NULLS LAST)
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_chunk_recipes": OP8_SQL,
+}
