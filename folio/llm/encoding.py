@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]"
 INSIDE_RUN = rf"{_SPACE} (?:{_SPACE}|$)"
 #: Bytes of text encoded at a time; bounds a task's memory whatever the batch holds.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_000_000
 #: Parts pieces from each other in one call of the library; pieces that hold it are encoded alone.
 MARK = "\x01"
 MARKED = " " + MARK

@@ -18,6 +18,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.quality_rules import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.separator_scan import token_counts
 
@@ -30,6 +36,12 @@ def op3_ranked_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, _read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0)
 
 
+def op5_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op7_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.piece_bpe import round_trip
 
@@ -55,8 +67,10 @@ def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_frequency": op1_line_frequency,
     "op2_separator_scan": op2_separator_scan,
     "op3_ranked_varint": op3_ranked_varint,
+    "op5_license_bands": op5_license_bands,
     "op7_merge_rounds": op7_merge_rounds,
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_simhash_links": op9_simhash_links,
@@ -75,6 +89,71 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY body ORDER BY n_points DESC, doc_id NULLS LAST)
 """
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(str_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows) WHERE n > 1),
+coverage AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM repeats) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, host, text, length(l) AS n, lower(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS k
+  FROM (SELECT doc_id, host, text, unnest(lines) AS l FROM w)
+),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+frequent AS (
+  SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM line GROUP BY host, k) JOIN hosts USING (host)
+  WHERE n > 10 AND 100 * n > 2 * texts
+),
+judged AS (
+  SELECT doc_id, count(*) AS n_lines, sum(n) AS line_chars,
+         count(*) FILTER (f.k IS NOT NULL) AS n_removed_lines, coalesce(sum(n) FILTER (f.k IS NOT NULL), 0) AS removed_chars
+  FROM line LEFT JOIN frequent f USING (host, k) GROUP BY doc_id
+),
+base AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(coverage.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN coverage USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * coalesce(removed_chars, 0) <= 70 * coalesce(line_chars, 0) AS kept,
+       CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
+       CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars
+FROM base LEFT JOIN judged USING (doc_id)
+"""
+
+
+def _op5_sql() -> str:
+    from folio.llm.license_scan import CONTAINED, SHINGLE, TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    shingled = """
+SELECT {key}, i - 1 AS i, array_to_string(words[i:i + {last}], ' ') AS s
+FROM (SELECT {key}, words, unnest(range(1, len(words) - {last} + 1)) AS i
+      FROM (SELECT {key}, list_filter(regexp_split_to_array(lower({body}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM {table}))"""
+    return f"""
+WITH templates(license, body) AS (VALUES {values}),
+t AS (SELECT DISTINCT license, s FROM ({shingled.format(key="license", body="body", table="templates", last=SHINGLE - 1)})),
+sizes AS (SELECT license, n, CAST(pow(2, greatest(1, ceil(log2(greatest(n - 1, 1))))) AS BIGINT) AS stride FROM (SELECT license, count(*) AS n FROM t GROUP BY license)),
+d AS ({shingled.format(key="doc_id", body="coalesce(text, '')", table="documents", last=SHINGLE - 1)}),
+hits AS (SELECT doc_id, license, s, n, stride, i FROM d JOIN t USING (s) JOIN sizes USING (license)),
+placed AS (SELECT DISTINCT doc_id, license, s, n, stride, unnest([i // stride, greatest(i // stride - 1, 0)]) AS number FROM hits),
+shares AS (SELECT doc_id, license, stride, number, round(count(DISTINCT s) / n, 4) AS containment FROM placed GROUP BY doc_id, license, stride, number, n)
+SELECT doc_id, license, containment, number * stride AS first_word, 2 * stride + {SHINGLE - 1} AS n_words
+FROM shares WHERE containment >= {CONTAINED}
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, number) = 1
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_line_frequency": OP1_SQL,
+    "op5_license_bands": _op5_sql(),
     "op8_chunk_recipes": OP8_SQL,
 }
