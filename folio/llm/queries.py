@@ -36,6 +36,12 @@ def op3_ranked_varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, _read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 0)
 
 
+def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.license_scan import scan_licenses
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_separator_scan": op2_separator_scan,
     "op3_ranked_varint": op3_ranked_varint,
+    "op4_boosted_toxicity": op4_boosted_toxicity,
     "op5_license_bands": op5_license_bands,
     "op7_merge_rounds": op7_merge_rounds,
     "op8_chunk_recipes": op8_chunk_recipes,
