@@ -48,6 +48,12 @@ def op5_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.line_crf import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.piece_bpe import round_trip
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ranked_varint": op3_ranked_varint,
     "op4_boosted_toxicity": op4_boosted_toxicity,
     "op5_license_bands": op5_license_bands,
+    "op6_line_crf": op6_line_crf,
     "op7_merge_rounds": op7_merge_rounds,
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_simhash_links": op9_simhash_links,
