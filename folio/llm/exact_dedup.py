@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import slices
@@ -61,12 +61,12 @@ def _digest(chunk: bytes, hash_bits: int) -> int:
     return int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "little", signed=True) & ((1 << hash_bits) - 1 if hash_bits < 64 else -1)
 
 
-def recipes(docs: DataFrame, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_points, text_sha256, n_bytes, recipe): the text's length in code points as it was, and its chunks' hashes in order."""
+def recipes(docs: DataFrame, row: Column, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_points, text_sha256, n_bytes, recipe): the text's length in code points as it was, and its chunks' hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(2)):
                 points, sha, size, lists = [], [], [], []
                 for text in texts.to_pylist():
                     content = normalise(text)
@@ -75,13 +75,10 @@ def recipes(docs: DataFrame, hash_bits: int, id_col: str, text_col: str) -> Data
                     sha.append(hashlib.sha256(content).hexdigest())
                     size.append(len(content))
                     lists.append([_digest(content[a:b], hash_bits) for a, b in zip([0, *ends], ends, strict=False)])
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(points, pa.int64()), pa.array(sha), pa.array(size, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_points", "text_sha256", "n_bytes", "recipe"])
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(points, pa.int64()), pa.array(sha), pa.array(size, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["row", "doc_id", "n_points", "text_sha256", "n_bytes", "recipe"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_points long, text_sha256 string, n_bytes long, recipe array<long>")
-
-
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, n_points long, text_sha256 string, n_bytes long, recipe array<long>")
 
 
 def chunks(docs: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
@@ -108,17 +105,26 @@ def deduplicate(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
 
     Texts are equal if they are the same bytes without ASCII white space; null counts as empty. Of a group the row with the
     most code points stays, then the smallest doc_id (null last), then any one of repeated rows. ``hash_bits`` shortens the chunk hash, for tests."""
-    held = cut(recipes(docs, hash_bits, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    joined = _grouped(docs, F.monotonically_increasing_id(), hash_bits, id_col, text_col)
+    return joined.select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, as they were. Rows are told apart by a number that is written with them first."""
+    held = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    dropped = _grouped(held, F.col("__row"), 64, id_col, text_col).where("row <> best.r").select(F.col("row").alias("__row"))
+    return held.join(dropped, "__row", "left_anti").select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, row: Column, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """Every row's recipe, and of its group the size and the best row (p, z, d: doc_id, r: row)."""
+    held = cut(recipes(docs, row, hash_bits, id_col, text_col), "recipes")
     contents = _verified_contents(docs, held, hash_bits, text_col)
     clashes = cut(contents.withColumn("number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1).where("number > 0"), "clashes")
-    if clashes.isEmpty():
-        keyed = held.withColumn("clash", F.lit(""))
-    else:
-        keyed = _tell_apart(docs, held, clashes, hash_bits, id_col, text_col)
+    keyed = held.withColumn("clash", F.lit("")) if clashes.isEmpty() else _tell_apart(docs, held, clashes, hash_bits, text_col)
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     groups = keyed.groupBy("recipe", "n_bytes", "clash").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
-    joined = keyed.join(groups, ["recipe", "n_bytes", "clash"])
-    return joined.select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "text_sha256")
+    return keyed.join(groups, ["recipe", "n_bytes", "clash"])
 
 
 def _verified_contents(docs: DataFrame, held: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
@@ -132,12 +138,12 @@ def _verified_contents(docs: DataFrame, held: DataFrame, hash_bits: int, text_co
     return found.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).select("hash", "chunk")
 
 
-def _tell_apart(docs: DataFrame, held: DataFrame, clashes: DataFrame, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
+def _tell_apart(docs: DataFrame, held: DataFrame, clashes: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
     """Adds ``clash``: which of several contents of one hash stand where in a text. Needed only where two contents share a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for _, texts in slices(batch.column(0)):
                 owner, place, value = [], [], []
                 for i, text in enumerate(texts.to_pylist()):
                     content = normalise(text)
@@ -149,7 +155,7 @@ def _tell_apart(docs: DataFrame, held: DataFrame, clashes: DataFrame, hash_bits:
                 sha = [hashlib.sha256(normalise(t)).hexdigest() for t in texts.to_pylist()]
                 yield pa.record_batch([pa.array(sha).take(pa.array(owner, pa.int64())), pa.array(place, pa.int64()), pa.array([_digest(v, hash_bits) for v in value], pa.int64()), pa.array(value, pa.binary())], names=["text_sha256", "place", "hash", "chunk"])
 
-    pieces = _columns(docs, id_col, text_col).mapInArrow(run, "text_sha256 string, place long, hash long, chunk binary")
+    pieces = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "text_sha256 string, place long, hash long, chunk binary")
     found = pieces.join(clashes, ["hash", "chunk"]).select("text_sha256", "place", "number").distinct()
     marks = found.groupBy("text_sha256").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "place", "number")))).alias("mark"))
     return held.join(marks, "text_sha256", "left").withColumn("clash", F.coalesce("mark", F.lit(""))).drop("mark")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.encoding import slices
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds``; a null doc_id counts as the empty text."""
@@ -20,3 +26,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the judge finds true. ``judge()`` is called once in each task."""
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            for at, texts in slices(batch.column(at_text).cast(pa.string())):
+                yield batch.slice(at, len(texts)).filter(pa.array(keep(texts.to_pylist())))
+
+    return docs.mapInArrow(run, docs.schema)

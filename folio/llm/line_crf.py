@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.boosting import Isotonic, fit_isotonic
 from folio.llm.encoding import slices
-from folio.llm.labelled import fold, training_rows
+from folio.llm.labelled import fold, keep_rows, training_rows
 
 MAX_ROWS = 6_000
 WHITE = " \t\n\x0b\x0c\r"
@@ -208,3 +208,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows
     model = train(training_rows(docs, labels, "quality", ~held_out(F.col("doc_id")), max_rows))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "good_lines")
+
+
+def without_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they were."""
+    model = train(training_rows(docs, labels, "quality", ~held_out(F.col("doc_id")), max_rows))
+    return keep_rows(docs, lambda: lambda texts: model.calibration.apply(model.good_share(*line_features(texts))[0]) >= threshold)

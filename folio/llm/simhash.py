@@ -62,15 +62,16 @@ def text_fingerprints(texts: list[str], words: int = 4, seed: int = 42) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a long with the same bits; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, fp): the fingerprint as a long with the same bits; null texts count as empty; row is that of ``row_col``, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1), 2_000_000):
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(text_fingerprints(texts.to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
+            for at, texts in slices(batch.column(2)):
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(text_fingerprints(texts.to_pylist(), words).view(np.int64))], names=["row", "doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -173,18 +174,33 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return cold.unionByName(split)
 
 
+def _roots(held: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Of the fingerprints in ``held`` (fp, doc_id): (fp, least doc_id, root), and the roots of components of two or more."""
+    distinct = cut(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    found = components(links(distinct, distance))
+    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return cut(member, "members"), found.select("root").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     component_id is the smallest doc_id that links reach; null texts are empty, empty texts have fingerprint zero and link
     like any other; repeated rows stay; a null doc_id never names a component that has another, else component_id is null."""
     held = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = cut(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct, distance))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = cut(member, "members")
-    joined = roots.select("root").distinct()  # only components of two fingerprints or more need a second look
+    member, joined = _roots(held, distance)
     low = member.join(joined, "root", "left_semi").groupBy("root").agg(F.min("least").alias("low"))
     named = member.join(low, "root", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
     out = held.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the row with the smallest doc_id (null last, any one of repeated rows), as it was. Rows are told apart by a number that is written with them first."""
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    held = cut(fingerprints(numbered, words, id_col, text_col, "__row"), "fingerprints")
+    member, _ = _roots(held, distance)
+    rooted = held.join(member.select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
+    best = rooted.groupBy("root").agg(F.min("order").alias("best"))
+    dropped = rooted.join(best, "root").where("row <> best.row").select(F.col("row").alias("__row"))
+    return numbered.join(dropped, "__row", "left_anti").select(*docs.columns)

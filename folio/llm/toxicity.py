@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.boosting import Boosted, Isotonic, fit, fit_isotonic
 from folio.llm.encoding import slices
-from folio.llm.labelled import fold, training_rows
+from folio.llm.labelled import fold, keep_rows, training_rows
 
 MAX_ROWS = 20_000
 #: A word near a second-person word is at most so many words away.
@@ -100,8 +100,6 @@ class Featurizer:
         words = [t.split() for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         rows = self._words([w for ws in words for w in ws])
-        ends = np.cumsum(counts)
-        starts = ends - counts
         owner = np.repeat(np.arange(len(texts)), counts)
         kind, weight, second, shout, stretched = rows.T if len(rows) else np.zeros((5, 0))
         per = lambda v: np.bincount(owner, v, len(texts))
@@ -120,7 +118,6 @@ class Featurizer:
         sizes = np.fromiter(map(len, content), np.int64, len(content))
         by = np.bincount(np.repeat(np.arange(len(texts)) * 6, sizes) + self.kinds[np.frombuffer(b"".join(content), np.uint8)], minlength=6 * len(texts)).reshape(-1, 6)
         n, size = np.maximum(counts, 1), np.maximum(sizes, 1)
-        assert len(starts) == len(texts)
         columns = (np.log1p(counts), insult, insult / n, learned, learned / n, hidden, hidden / n, near, near / n, per(second) / n, by[:, 1] / size, per(shout) / n, by[:, 2] / size, by[:, 3] / size, by[:, 4] / size, by[:, 5] / size, per(stretched) / n, (insult + hidden > 0) * 1.0, best)
         return np.stack(columns, axis=1)
 
@@ -231,3 +228,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
     model = train(training_rows(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_rows))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "lexicon_hits")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, as they were."""
+    model = train(training_rows(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_rows))
+
+    def judge():
+        featurizer = Featurizer(model.lexicon)
+        return lambda texts: model.score(featurizer.features(texts)) < threshold
+
+    return keep_rows(docs, judge)
