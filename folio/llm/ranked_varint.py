@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import PieceEncoder, binary_column, slices, with_end
-from folio.llm.storage import cut, new_folder, open_fs
+from folio.storage import cut, new_folder, open_fs
 
 MAGIC = 0x544B52414E4B3031
 #: Values after which a writer begins another file.

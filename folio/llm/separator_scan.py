@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.encoding import PieceEncoder, slices, with_end
 from folio.llm.ranked_varint import id_width
-from folio.llm.storage import cut, new_folder, open_fs
+from folio.storage import cut, new_folder, open_fs
 
 FILE_TOKENS = 16_000_000
 BLOCK_TOKENS = 1_000_000
