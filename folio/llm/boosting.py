@@ -40,7 +40,7 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, least: float = 2.0, penalty: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, least: float = 0.3, penalty: float = 1.0) -> Boosted:
     """Newton boosting over quantile histograms. Splits need ``least`` summed hessian on both sides; the result only depends on the rows, in any order up to rounding."""
     share = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
     model = Boosted(float(np.log(share / (1 - share))), rate)
