@@ -51,9 +51,9 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
