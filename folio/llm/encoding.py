@@ -9,6 +9,7 @@ white space, or that hold the text of an added token, go to the library whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """``encode(texts)`` gives the ids of all texts in one array, and how many each text has."""
 
-    def __init__(self, path: str, plain_special: bool = False, max_cached: int = 400_000) -> None:
+    def __init__(self, path: str, plain_special: bool = False, max_cached: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,6 +116,12 @@ class PieceEncoder:
         return flat, counts
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str, plain_special: bool = False) -> PieceEncoder:
+    """The encoder of a worker process, which keeps it from task to task: loading one for each task leaves memory in pieces."""
+    return PieceEncoder(path, plain_special)
+
+
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of about ``size`` bytes, with where each run begins; null counts as empty."""
     texts = column.fill_null("")
@@ -124,6 +131,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
             yield a, texts.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import PieceEncoder, slices, with_end
+from folio.llm.encoding import shared_encoder, slices, with_end
 from folio.storage import cut
 
 
@@ -28,7 +28,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids with ``end_id``, cut at multiples of ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 flat, counts = with_end(*encoder.encode(texts), end_id)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import PieceEncoder, binary_column, slices, with_end
+from folio.llm.encoding import binary_column, shared_encoder, slices, with_end
 from folio.storage import cut, new_folder, open_fs
 
 MAGIC = 0x544B52414E4B3031
@@ -80,7 +80,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     Null texts count as empty; a null or repeated doc_id stays one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for at, texts in slices(batch.column(1)):
