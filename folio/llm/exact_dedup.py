@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import slices
+from folio.llm.rows import without_rows
 from folio.storage import cut
 
 #: White space that the comparison leaves out.
@@ -113,7 +114,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay, as they were. Rows are told apart by a number that is written with them first."""
     held = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     dropped = _grouped(held, F.col("__row"), 64, id_col, text_col).where("row <> best.r").select(F.col("row").alias("__row"))
-    return held.join(dropped, "__row", "left_anti").select(*docs.columns)
+    return without_rows(held, dropped, "__row").select(*docs.columns)
 
 
 def _grouped(docs: DataFrame, row: Column, hash_bits: int, id_col: str, text_col: str) -> DataFrame:

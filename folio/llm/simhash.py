@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components, spanning
 from folio.llm.encoding import slices
+from folio.llm.rows import without_rows
 from folio.storage import cut
 
 #: Fingerprints that share one variant before it is dealt out in blocks.
@@ -203,4 +204,4 @@ def without_near_copies(docs: DataFrame, words: int = 4, distance: int = 4, id_c
     rooted = held.join(member.select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
     best = rooted.groupBy("root").agg(F.min("order").alias("best"))
     dropped = rooted.join(best, "root").where("row <> best.row").select(F.col("row").alias("__row"))
-    return numbered.join(dropped, "__row", "left_anti").select(*docs.columns)
+    return without_rows(numbered, dropped, "__row").select(*docs.columns)
