@@ -31,7 +31,7 @@ NO_HEADING = "无标题"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case. The reference segments Chinese with a dictionary; here a run is one token."""
+    """Runs of letters and digits in lower case. Chinese is not segmented: a run is one token."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
