@@ -50,7 +50,7 @@ def gold_by_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = None
     for n in sizes:
         grams = docs.select("doc_id", F.explode(F.transform(ngrams(F.col("w"), n), lambda g: F.xxhash64(g))).alias("key"))
-        found = grams.join(F.broadcast(keyed.where(F.col("n") == n).select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
+        found = grams.join(keyed.where(F.col("n") == n).select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
         hit = found if hit is None else hit.unionByName(found)
     checked = hit.join(asked.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
     return checked.select("item_id", "doc_id")

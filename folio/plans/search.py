@@ -34,7 +34,7 @@ def hybrid_search(
     near = dense.knn_join(chunks.select("id", "embedding"), queries.select(F.col("query").alias("id"), "embedding"), per_side, "id", exclude_self=False)
     near = dense.min_max_similarity(near.withColumn("distance", 1 - F.col("similarity")), group="query")
     hits = fusion.fuse(near, sparse, keys=("query", "id"))
-    hits = hits.join(chunks.drop("embedding"), "id").join(F.broadcast(queries.select("query", F.col("text").alias("asked"))), "query")
+    hits = hits.join(chunks.drop("embedding"), "id").join(queries.select("query", F.col("text").alias("asked")), "query")
     structural = fusion.structural_score(F.col("asked"), F.col("title"), F.col("heading_path"), F.col("dir"))
     hits = hits.withColumn("structural", structural)
     hits = hits.withColumn("score", fusion.boosted(F.col("score"), F.col("structural"), fusion.title_hit(F.col("asked"), F.col("title")), F.col("asked"), F.col("kind")))
