@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import tokens
+from folio.storage import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -30,12 +31,22 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
+def counted_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dl, token, tf), counted within each row: sorted tokens stand in runs, and a run's length is how far the next one begins. Nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.sort_array(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("__sorted"))
+    pairs = F.arrays_zip(F.col("__sorted").alias("own"), F.array_prepend(F.col("__sorted"), F.lit(None)).alias("before"))
+    marked = F.transform(pairs, lambda z, i: F.struct(z["own"].alias("token"), i.alias("i"), (z["own"].isNotNull() & ~z["own"].eqNullSafe(z["before"])).alias("first")))
+    rows = rows.select("id", F.size("__sorted").cast("long").alias("dl"), F.filter(marked, lambda x: x["first"]).alias("__runs"))
+    ahead = F.arrays_zip(F.col("__runs").alias("run"), F.slice("__runs", 2, F.greatest(F.size("__runs") - 1, F.lit(0))).alias("next"))
+    rows = rows.select("id", "dl", F.explode(ahead).alias("z"))
+    return rows.select("id", "dl", F.col("z.run.token").alias("token"), (F.coalesce("z.next.i", F.col("dl").cast("int")) - F.col("z.run.i")).cast("long").alias("tf"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Postings are counted inside each document before anything is shuffled by token."""
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    postings = split.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    lengths = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))
-    vocabulary = postings.groupBy("token").agg(F.count("*").alias("df"))
+    """The tables of an index, written to the shared folder: texts are split once, and only counts are shuffled by token."""
+    postings = cut(counted_tokens(docs, id_col, text_col), "postings")
+    lengths = docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(postings.agg(F.sum("tf").alias("total")))).select("n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
+    vocabulary = cut(postings.groupBy("token").agg(F.count("*").alias("df")), "vocabulary")
     mean = vocabulary.crossJoin(F.broadcast(lengths)).agg(F.avg(idf(F.col("n_docs"), F.col("df"))).alias("mean_idf"))
     return Index(postings, vocabulary, lengths.crossJoin(F.broadcast(mean)))  # one row each
 
