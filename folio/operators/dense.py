@@ -47,27 +47,19 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
         matrix = _unit(np.array([r.v for r in block], np.float64)) if block else np.zeros((0, 1))
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            best: list[np.ndarray] = [np.zeros((0, 3))]
+            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
+                for at in range(0, batch.num_rows if len(ids) else 0, 4096):
                     some = batch.slice(at, 4096)
                     own = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    rows = _unit(np.stack([np.asarray(v.as_py(), np.float64) for v in some.column(1)]))
-                    if not len(ids):
-                        continue
-                    similarity = matrix @ rows.T
-                    for i, q in enumerate(ids):
-                        keep = np.flatnonzero(own != q) if exclude_self else np.arange(len(own))
-                        order = keep[np.lexsort((own[keep], -similarity[i, keep]))[:k]]
-                        best.append(np.stack([np.full(len(order), q, float), own[order].astype(float), similarity[i, order]], axis=1))
-                every = np.concatenate(best)
-                order = np.lexsort((every[:, 1], -every[:, 2], every[:, 0]))
-                every = every[order]
-                first = np.flatnonzero(np.diff(every[:, 0], prepend=np.nan) != 0)
-                nth = np.arange(len(every)) - np.repeat(first, np.diff(np.append(first, len(every)))) if len(every) else np.zeros(0)
-                best = [every[nth < k]]
-            every = best[0]
-            yield pa.record_batch([pa.array(every[:, 0].astype(np.int64)), pa.array(every[:, 1].astype(np.int64)), pa.array(every[:, 2])], names=["query", "id", "similarity"])
+                    similarity = matrix @ _unit(np.stack([np.asarray(v.as_py(), np.float64) for v in some.column(1)])).T
+                    if exclude_self:
+                        similarity[ids[:, None] == own] = -np.inf
+                    least = max(0, len(own) - k)
+                    enough = np.partition(similarity, least, axis=1)[:, least, None]  # the k-th best of these rows; ties with it stay for now
+                    q, r = np.nonzero((similarity >= enough) & (similarity > -np.inf))
+                    found = _best([np.concatenate(x) for x in zip(found, (ids[q], own[r], similarity[q, r]), strict=True)], k)
+            yield pa.record_batch([pa.array(x) for x in found], names=["query", "id", "similarity"])
 
         rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
         found = rows.mapInArrow(run, "query long, id long, similarity double")
@@ -75,6 +67,15 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     return top_k(out, k, by="similarity")
 
 
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, id, similarity) the k most similar of each query, ties by id."""
+    order = np.lexsort((found[1], -found[2], found[0]))
+    query = found[0][order]
+    first = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return [x[order][nth < k] for x in found]
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
