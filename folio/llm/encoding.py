@@ -9,6 +9,7 @@ white space, or that hold the text of an added token, go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """``encode(texts)`` gives the ids of all texts in one array, and how many each text has."""
 
-    def __init__(self, path: str, plain_special: bool = False, max_cached: int = 300_000) -> None:
+    def __init__(self, path: str, plain_special: bool = False, max_cached: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,8 +123,22 @@ def shared_encoder(path: str, plain_special: bool = False) -> PieceEncoder:
     return PieceEncoder(path, plain_special)
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of about ``size`` bytes, with where each run begins; null counts as empty."""
+def give_back() -> None:
+    """Returns to the system what this worker process has freed: the next task may be another operator's, and a freed heap counts as used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def slices(column: pa.Array, size: int = SLICE_BYTES, encoder: PieceEncoder | None = None) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``size`` bytes, with where each run begins; null counts as empty.
+
+    An operator that uses this process's encoder names it here; for others the one that an earlier task left is dropped."""
+    if encoder is None:
+        shared_encoder.cache_clear()
+    give_back()
     texts = column.fill_null("")
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(lengths) // size
@@ -139,6 +154,14 @@ def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(flat, np.cumsum(counts), end_id), counts + 1
 
 
+def flat_values(column: pa.Array, kind: str) -> np.ndarray:
+    """What a binary column without nulls holds, one value after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, kind)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def binary_column(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One binary value for each document: its ids as they lie in memory."""
     width = flat.dtype.itemsize

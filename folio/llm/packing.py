@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), encoder=encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 view = memoryview(np.ascontiguousarray(flat.astype("<u4"))).cast("B")
                 n = -(-counts // capacity)

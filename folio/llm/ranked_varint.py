@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import binary_column, shared_encoder, slices, with_end
+from folio.llm.encoding import binary_column, flat_values, shared_encoder, slices, with_end
 from folio.storage import cut, new_folder, open_fs
 
 MAGIC = 0x544B52414E4B3031
@@ -49,7 +49,7 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of ``pack_values``."""
     lengths = LENGTHS[control].reshape(-1)[:n]
     at = np.cumsum(lengths) - lengths
-    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
     four = np.lib.stride_tricks.sliding_window_view(padded, 4)[at]
     return np.ascontiguousarray(four).view("<u4").reshape(-1) & KEEP[lengths]
 
@@ -83,7 +83,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         encoder = shared_encoder(tokenizer_path)
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), encoder=encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), binary_column(flat.astype(width), counts), pa.array(counts)], names=["doc_id", "ids", "n_tokens"])
 
@@ -102,13 +102,12 @@ def rank_table(encoded: DataFrame, width: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                found = np.bincount(np.frombuffer(value.as_buffer(), width))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            found = np.bincount(flat_values(batch.column(0), width))
+            if len(found) > len(total):
+                found[: len(total)] += total
+                total = found
+            else:
+                total[: len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
@@ -144,7 +143,7 @@ def write_files(encoded: DataFrame, by_rank: np.ndarray, width: str, folder: str
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                flat = np.frombuffer(b"".join(v.as_buffer() for v in some.column(1)), width)
+                flat = flat_values(some.column(1), width)
                 counts = some.column(2).to_numpy()
                 held.append((some.column(0), counts, rank_of[flat]))
                 values += len(flat)
@@ -186,7 +185,7 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Encodes, ranks and writes ``docs``; returns the files (path, part, seq, n_docs, n_values, start) and the ids by rank."""
     width = id_width(tokenizer_path)
-    encoded = cut(encode_documents(docs, tokenizer_path, end_id), "ids")
+    encoded = cut(encode_documents(docs, tokenizer_path, end_id), "ids", "zstd")
     by_rank = rank_table(encoded, width)
     files = cut(write_files(encoded, by_rank, width, new_folder(spark, "tokens")), "token-files")
     return with_starts(files), by_rank

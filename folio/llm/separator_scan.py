@@ -38,7 +38,7 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         encoder = shared_encoder(tokenizer_path, plain_special=True)
         seq, in_file, ordinal, out, name = 0, 0, 0, None, ""
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), encoder=encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 if out is None:
                     name = f"flat-{part:06d}-{seq:04d}-{attempt}.bin"
