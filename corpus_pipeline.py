@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folio.llm.exact_dedup import without_copies
 from folio.llm.line_crf import without_low_quality
 from folio.llm.packing import pack
-from folio.llm.simhash import without_near_copies
+from folio.llm.shingle_dedup import without_similar
 from folio.storage import new_folder
 from folio.llm.toxicity import without_toxic
 
@@ -36,8 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links join, the one with the smallest doc_id stays."""
-    return without_near_copies(docs)
+    """Of documents that five-word shingles of a similarity of 0.8 or more join, the one with the smallest doc_id stays."""
+    return without_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

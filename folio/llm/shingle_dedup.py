@@ -1,0 +1,168 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands retrieve pairs, the shingle sets verify them.
+
+Two sets of similarity J share one of ``BANDS`` bands of ``ROWS`` least hashes with a probability of 1 - (1 - J ** ROWS) ** BANDS,
+0.9996 at 0.8. Texts of equal sets are one node. In a bucket of up to ``SMALL`` nodes all pairs are candidates. The nodes of a larger
+one meet again in buckets of two bands, which two sets of similarity 0.8 share with a probability over 0.995; where even such a
+bucket is larger, a node meets its least node and the next ``NEXT`` ones, so that candidates grow with the nodes and not their square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folio.llm.components import components
+from folio.llm.encoding import slices
+from folio.llm.rows import BROADCAST_ROWS, without_rows
+from folio.storage import cut
+
+# Words of a shingle, and the similarity from which texts are near copies.
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 5
+#: Nodes of a bucket that are all compared, and those that each one meets in a larger bucket of two bands.
+SMALL, NEXT = 64, 4
+#: Rows paired at a time.
+CHUNK = 400_000
+
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: list[str], words: int = WORDS, seed: int = 42) -> list[np.ndarray]:
+    """The sorted distinct XXH64 hashes of each text's shingles. ASCII capitals are lowered; fewer words than a shingle are one; no words have none."""
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for text in texts:
+        found = text.encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
+        joined = b" ".join(found)
+        if len(found) <= words:
+            out.append(np.array([xxh64_intdigest(joined, seed)] if found else [], np.uint64))
+            continue
+        starts = [0]
+        for w in found:
+            starts.append(starts[-1] + len(w) + 1)
+        out.append(np.unique(np.array([xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:], strict=False)], np.uint64)))
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BANDS`` keys for each set; empty sets have zeros."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        values = np.concatenate([sets[i] for i in some])
+        first = np.cumsum(sizes[some]) - sizes[some]
+        for j in range(BANDS * ROWS):
+            out[some, j // ROWS] += (np.minimum.reduceat(values * _ODD[0, j], first) ^ np.uint64(j)) * _ODD[1, j]
+    return out
+
+
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, fp, keys): fp is the hash of the set; keys is empty where the set is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for at, texts in slices(batch.column(2)):
+                sets = shingle_sets(texts.to_pylist(), words)
+                fp = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
+                full = np.array([len(s) > 0 for s in sets])
+                ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sets)[full].reshape(-1).view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(fp.view(np.int64)), keys], names=["row", "doc_id", "fp", "keys"])
+
+    return docs.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, fp long, keys array<long>")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, shingles) of (fp, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in slices(batch.column(1)):
+                sets = shingle_sets(some.to_pylist(), words)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(at, len(some)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["fp", "shingles"])
+
+    return texts.mapInArrow(run, "fp long, shingles array<long>")
+
+
+def _pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of rows sorted by group and fp."""
+    edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    sizes = np.diff(np.append(edges, len(group)))
+    first, large = np.repeat(edges, sizes), np.repeat(sizes > SMALL, sizes)
+    at = np.arange(len(group))
+    left = np.repeat(edges + sizes, sizes) - at - 1  # rows of the group behind each
+    a, b = [fp[first[large]]], [fp[large]]
+    for shift in range(1, SMALL):
+        at = at[(left[at] >= shift) & (~large[at] | (shift <= NEXT))]
+        if not len(at):
+            break
+        a.append(fp[at])
+        b.append(fp[at + shift])
+    x, y = np.concatenate(a), np.concatenate(b)
+    return x[x != y], y[x != y]
+
+
+def _pairer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
+
+    def done(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows
+        group, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = len(group) if last else int(np.searchsorted(group, group[-1]))  # the last group may go on
+        held, rows = ([(group[end:], fp[end:])] if end < len(group) else []), len(group) - end
+        if end:
+            x, y = _pairs(group[:end], fp[:end])
+            for i in range(0, len(x), CHUNK):
+                yield pa.record_batch([pa.array(x[i : i + CHUNK]), pa.array(y[i : i + CHUNK])], names=["a", "b"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield from done(False)
+    if rows:
+        yield from done(True)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the distinct ``nodes`` (fp, keys)."""
+    rows = nodes.select("fp", F.explode("keys").alias("key")).select("key", "fp")
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key"), "hot-bands")
+    if not hot.isEmpty():
+        again = nodes.select("fp", "keys", F.explode("keys").alias("key")).join(hot, "key").select("fp", "key", F.explode("keys").alias("other")).where("key <> other")
+        again = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "fp").distinct()
+        rows = rows.join(hot, "key", "left_anti").select("key", "fp").unionByName(again)
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairer, "a long, b long").distinct()
+
+
+def without_similar(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of rows whose shingle sets have a Jaccard similarity of ``similar`` or more, the row with the smallest doc_id
+    (null last, any one of repeated rows), as it was. Null and empty texts are alike. Rows are told apart by a number that is written with them first."""
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    held = cut(_sketches(numbered, words, id_col, text_col), "sketches")
+    nodes = cut(held.groupBy("fp").agg(F.min("row").alias("__row"), F.first("keys").alias("keys")), "nodes")
+    pairs = cut(candidates(nodes.select("fp", "keys")), "candidates")
+
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = cut(nodes.join(ends, "fp", "left_semi").select("fp", "__row"), "wanted")
+    texts = numbered.select("__row", F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "__row").select("fp", "text")
+    sets = cut(_sets(texts, words), "shingle-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
+    found = components(both.where(F.col("c") >= similar * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"))
+
+    member = found.withColumnRenamed("node", "fp")
+    rooted = held.join(member, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
+    best = rooted.groupBy("root").agg(F.min("order").alias("best"))
+    dropped = rooted.join(best, "root").where("row <> best.row").select(F.col("row").alias("__row"))
+    return without_rows(numbered, dropped, "__row").select(*docs.columns)
