@@ -172,7 +172,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     notes = from_documents(table(spark, sf_dir, "documents")).withColumn("id", F.col("doc_id"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    chunks = notes.join(vectors, "id").select("id", F.col("text").alias("content"), "title", F.lit("").alias("heading_path"), "dir", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "embedding", "filepath")
-    asked = questions(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query")
+    chunks = notes.join(vectors, "id", "left").select("id", F.col("text").alias("content"), "title", F.lit("").alias("heading_path"), "dir", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "embedding", "filepath")
+    asked = questions(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query", "left")
     found = search(chunks, asked)
     return found.select("query", "id", "rank", F.round("score", 5).alias("score"), F.round("structural", 5).alias("structural"))
