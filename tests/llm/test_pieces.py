@@ -27,6 +27,21 @@ def test_encode_and_decode():
         at += n
 
 
+def test_cache_over_many_slices():
+    """Words that stand in plainly and oddly spaced texts at once keep their own ids in later calls, whatever the cache holds."""
+    library = SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdethionrsé中") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    for max_cached in (0, 50, 100_000):
+        model = PieceModel(MODEL, max_cached)
+        for _ in range(12):
+            texts = [(rnd.choice(["", "", " ", "  "])) + rnd.choice([" ", " ", "  "]).join(rnd.choices(words, k=rnd.randint(0, 12))) for _ in range(150)]
+            flat, counts = model.encode(pa.array(texts))
+            ends = counts.cumsum()
+            assert [flat[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == library.encode(texts, num_threads=1)
+        assert len(model.index) == len(model.starts) <= max_cached
+
+
 def test_round_trip(spark, odd, none):
     library = SentencePieceProcessor(model_file=MODEL)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
