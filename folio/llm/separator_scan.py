@@ -22,6 +22,10 @@ from folio.storage import cut, new_folder, open_fs
 
 FILE_TOKENS = 16_000_000
 BLOCK_TOKENS = 1_000_000
+#: Blocks whose counts are summed first in the prefix scan.
+RUN = 1024
+#: Tasks that scan blocks at most; beyond, a task takes several blocks one after another.
+MOST_TASKS = 20_000
 
 
 def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,27 +84,47 @@ def scan(files: DataFrame, separator: int, width: str = "<u2", block_tokens: int
                     names=["file", "block", "n_ids", "n_ends", "last_end", "ends"],
                 )
 
-    blocks = files.where("n_ids > 0").select("path", "file", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / block_tokens))).alias("block"))
-    found = blocks.repartition("path", "block").mapInArrow(run, "file long, block long, n_ids long, n_ends long, last_end long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "file", "n_ids", "ends",
-        (F.coalesce(F.max("last_end").over(before), F.lit(-1)) + 1).alias("carry"),  # where the block's first document begins
-        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("done"),
-        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("is_last"),
-    )
+    spark = files.sparkSession
+    some = files.where("n_ids > 0")
+    n_blocks = some.agg(F.coalesce(F.sum(F.ceil(F.col("n_ids") / block_tokens)), F.lit(0))).first()[0]
+    blocks = some.select("path", "file", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / block_tokens))).alias("block"))
+    # as many partitions as blocks up to MOST_TASKS, said outright: adaptive execution would join these few bytes a row in one task
+    dealt = blocks.repartition(int(max(1, min(n_blocks, MOST_TASKS))), "file", "block")
+    path = new_folder(spark, "block-ends")
+    dealt.mapInArrow(run, "file long, block long, n_ids long, n_ends long, last_end long, ends array<long>").write.parquet(path)
+    found = spark.read.parquet(path)
+
+    spread = found.join(carries(found).hint("merge"), ["file", "block"])
     # the last block also closes what follows the last separator
-    edges = F.when(F.col("is_last") & (F.coalesce(F.array_max("ends"), F.col("carry") - 1) < F.col("n_ids") - 1), F.concat("ends", F.array(F.col("n_ids") - 1))).otherwise(F.col("ends"))
-    spread = stitched.withColumn("edges", edges).select("*", F.posexplode("edges").alias("i", "end"))
+    is_last = (F.col("block") + 1) * block_tokens >= F.col("n_ids")
+    edges = F.when(is_last & (F.coalesce(F.array_max("ends"), F.col("carry") - 1) < F.col("n_ids") - 1), F.concat("ends", F.array(F.col("n_ids") - 1))).otherwise(F.col("ends"))
+    spread = spread.withColumn("edges", edges).select("*", F.posexplode("edges").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("carry")).otherwise(F.get("edges", F.col("i") - 1) + 1)
     return spread.select("file", (F.col("done") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start + 1).alias("n_tokens"), (F.col("i") < F.size("ends")).alias("ended"))
 
 
+def carries(found: DataFrame, run: int = RUN) -> DataFrame:
+    """(file, block, carry, done): where each block's first document begins, and how many documents end before the block.
+
+    A prefix scan in two levels over (file, block, n_ends, last_end): runs of ``run`` blocks are summed first, so no task holds more than
+    a run's blocks, or one row for each run of a file."""
+    narrow = found.select("file", "block", F.floor(F.col("block") / run).alias("run"), "n_ends", "last_end")
+    runs = narrow.groupBy("file", "run").agg(F.sum("n_ends").alias("n_ends"), F.max("last_end").alias("last_end"))
+    earlier = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("file", "run", F.max("last_end").over(earlier).alias("run_end"), F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("run_done"))
+    before = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = narrow.select("file", "run", "block", F.max("last_end").over(before).alias("own_end"), F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("own_done"))
+    carry = F.coalesce("own_end", "run_end", F.lit(-1)) + 1
+    return within.join(runs.hint("merge"), ["file", "run"]).select("file", "block", carry.alias("carry"), (F.col("own_done") + F.col("run_done")).alias("done"))
+
+
 def token_counts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Writes ``docs`` to flat files and counts each document's ids by the scan: doc_id, file, start, n_tokens.
 
-    Null texts are empty (one id); repeated rows stay apart; a null doc_id stays null; an empty table gives no rows."""
+    Null and empty texts are one id; a text of any length is encoded whole and may cross blocks; repeated rows stay apart (a row is told
+    by its place in its file, so there are no ties); a null doc_id stays null; an empty table gives no rows; other columns are left out,
+    so their names can't clash."""
     written = cut(write_flat_files(docs, tokenizer_path, end_id, new_folder(spark, "flat"), file_tokens), "flat-rows")
-    files = written.groupBy("path", "file").agg(F.sum("written").alias("n_ids"))
+    files = cut(written.groupBy("path", "file").agg(F.sum("written").alias("n_ids")), "flat-files")
     found = scan(files, end_id, id_width(tokenizer_path), block_tokens)
-    return found.join(written.select("file", "ordinal", "doc_id"), ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
+    return found.join(written.select("file", "ordinal", "doc_id").hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
