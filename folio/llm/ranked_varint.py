@@ -29,6 +29,8 @@ from folio.storage import cut, new_folder, open_fs
 MAGIC = 0x544B52414E4B3031
 #: Values after which a writer begins another file.
 FILE_VALUES = 4_000_000
+#: Tasks that read files back at most; beyond, a task reads several files one after another.
+MOST_TASKS = 20_000
 #: Four lengths (1 to 4) of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 KEEP = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -179,7 +181,9 @@ def read_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 crc = np.fromiter((zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)), np.int64, len(counts))
                 yield pa.record_batch([pa.array(doc_ids, mask=nulls), pa.array(first + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each file up to MOST_TASKS, said outright: adaptive execution would join these few bytes a file in one task
+    dealt = files.select("path", "start").repartition(max(1, min(files.count(), MOST_TASKS)), "path")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
@@ -194,6 +198,8 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_i
 def digest(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Writes the token files of ``docs`` and reads them back: a row for each document.
 
-    Null texts are empty (only the end id); repeated rows stay apart; a null doc_id comes first; an empty table gives no rows."""
+    Null and empty texts have only the end id; a text of any length is encoded whole; repeated rows stay apart, in any order among
+    themselves (ties of frequency are ranked by id); a null doc_id comes first; an empty table gives no rows; other columns are left
+    out, so their names can't clash."""
     files, by_rank = token_files(spark, docs, tokenizer_path, end_id)
     return read_files(files, by_rank)
