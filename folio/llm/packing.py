@@ -104,7 +104,9 @@ def places(planned: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndar
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null texts are empty documents of one id; repeated rows are documents of their own; a null doc_id stays null; an empty table gives no rows."""
+    Null and empty texts are documents of one id; a text of any length is encoded whole and cut at multiples of ``capacity``; repeated rows
+    are documents of their own; pieces of equal length take their places in row order, and of equally full windows the planner takes
+    the one it finds first; a null doc_id stays null; an empty table gives no rows; other columns are left out, so their names can't clash."""
     cut_pieces = pieces(docs, tokenizer_path, end_id, capacity).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     held = cut(cut_pieces, "pieces")
     by_part = cut(held.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
@@ -113,7 +115,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = held.withColumn("number", F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1)
-    numbered = numbered.join(by_part.select("part", "length", before.alias("before")), ["part", "length"])
+    numbered = numbered.join(by_part.select("part", "length", before.alias("before")).hint("merge"), ["part", "length"])  # both sides are dealt by these keys already
     numbered = numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("number") + F.col("before")).alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
