@@ -86,10 +86,10 @@ def scan(files: DataFrame, separator: int, width: str = "<u2", block_tokens: int
 
     spark = files.sparkSession
     some = files.where("n_ids > 0")
-    n_blocks = some.agg(F.coalesce(F.sum(F.ceil(F.col("n_ids") / block_tokens)), F.lit(0))).first()[0]
+    n_tasks = some.agg(F.coalesce(F.sum(F.ceil(F.col("n_ids") / F.greatest(F.lit(block_tokens), F.lit(BLOCK_TOKENS)))), F.lit(0))).first()[0]
     blocks = some.select("path", "file", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / block_tokens))).alias("block"))
-    # as many partitions as blocks up to MOST_TASKS, said outright: adaptive execution would join these few bytes a row in one task
-    dealt = blocks.repartition(int(max(1, min(n_blocks, MOST_TASKS))), "file", "block")
+    # a task for each block or BLOCK_TOKENS ids, said outright: adaptive execution would join these few bytes a row in one task
+    dealt = blocks.repartition(int(max(1, min(n_tasks, MOST_TASKS))), "file", "block")
     path = new_folder(spark, "block-ends")
     dealt.mapInArrow(run, "file long, block long, n_ids long, n_ends long, last_end long, ends array<long>").write.parquet(path)
     found = spark.read.parquet(path)
