@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from folio.llm.exact_dedup import without_copies
 from folio.llm.line_crf import without_low_quality
 from folio.llm.packing import pack
-from folio.llm.shingle_dedup import without_similar
-from folio.storage import new_folder
+from folio.llm.simhash import without_near_copies
 from folio.llm.toxicity import without_toxic
+from folio.storage import new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,27 +21,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more for toxicity go."""
+    """Documents that score 0.7 or more for toxicity go; null and empty texts are scored as empty, repeated rows alike."""
     return without_toxic(docs, _labels(spark, sf_dir))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3 for quality go."""
+    """Documents that score under 0.3 for quality go; null and empty texts are scored as a text without lines, repeated rows alike."""
     return without_low_quality(docs, _labels(spark, sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the longest stays."""
+    """Of texts that are equal without white space, the longest stays, then the smallest doc_id; null and empty texts are one group."""
     return without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles of a similarity of 0.8 or more join, the one with the smallest doc_id stays."""
-    return without_similar(docs)
+    """Of documents that a Jaccard similarity of five-word shingles of 0.8 or more joins, the one with the smallest doc_id stays; null counts as empty."""
+    return without_near_copies(docs, words=5, similar=0.8)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row for each piece."""
+    """Sequences of at most 2048 tokens: a row for each piece; null and empty texts are one token. An empty table gives no rows."""
     import public_tokenizers
 
     return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), 1, 2048)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.rows import spread_join
 from folio.storage import cut
 
 
@@ -30,12 +31,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over (a, b) with a > b. Large: a node's larger neighbours move to its smallest one; small: its smaller neighbours and itself do."""
+    """One round over (a, b) with a > b. Large: a node's larger neighbours move to its smallest one; small: its smaller neighbours and itself do.
+
+    A node may have any share of the edges as neighbours, so its smallest one goes to where they are if they are many."""
     around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         around = around.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = around.join(least, "u")
+    least = cut(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    joined = spread_join(around, least, ["u"])
     moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
@@ -49,7 +52,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True), False), "edges")
+        now = cut(_star(cut(_star(now, True), "edges"), False), "edges")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

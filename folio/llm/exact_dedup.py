@@ -2,10 +2,11 @@
 
 Each normalised text is cut where a hash of the bytes before a place has its low bits
 zero, so equal texts have equal chunks and equal recipes: the ordered hashes of their chunks.
-Only the chunks of recipes that several rows have need a closer look. They travel once: combined
-in each task, they are brought together by hash and content, which gives each content a verified
-identifier (its hash, and its number among the contents of that hash, nearly always 0).
-Documents are then compared by their ordered identifier lists, and long texts never move.
+Only the texts whose recipe another row has too need a closer look: each task knows its own rows of
+that kind, and cuts them again. Their chunks travel once: combined in each task, they are brought
+together by hash and content, which gives each content a verified identifier (its hash, and its
+number among the contents of that hash, nearly always 0). Documents are then compared by their
+ordered identifier lists, and other texts never move.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import slices
-from folio.llm.rows import without_rows
+from folio.llm.rows import chooser, numbered, spread_join, without_rows
 from folio.storage import cut
 
 #: White space that the comparison leaves out.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes that decide on a cut; mean, least and largest chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 2048, 256, 16_384
-#: Eight-byte hashes that are broadcast at most: 16 MB.
-BROADCAST_HASHES = 2_000_000
 
 
 def cut_points(content: bytes) -> list[int]:
@@ -82,12 +81,14 @@ def recipes(docs: DataFrame, row: Column, hash_bits: int, id_col: str, text_col:
     return rows.mapInArrow(run, "row long, doc_id long, n_points long, text_sha256 string, n_bytes long, recipe array<long>")
 
 
-def chunks(docs: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
-    """(hash, chunk): every chunk of every text; those that a slice of a task holds twice come once."""
+def chunks(docs: DataFrame, rows: DataFrame, key: str, hash_bits: int, text_col: str) -> DataFrame:
+    """(hash, chunk): the chunks of the texts of ``rows``; those that a slice of a task holds twice come once. Other texts are not cut."""
+    make = chooser(rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = make()
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
+            for _, texts in slices(batch.column(1).filter(pa.array(among(batch.column(0).to_numpy())))):
                 found: dict[bytes, int] = {}
                 for text in texts.to_pylist():
                     content = normalise(text)
@@ -98,45 +99,45 @@ def chunks(docs: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
                             found[chunk] = _digest(chunk, hash_bits)
                 yield pa.record_batch([pa.array(list(found.values()), pa.int64()), pa.array(list(found.keys()), pa.binary())], names=["hash", "chunk"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, chunk binary")
+    return docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "hash long, chunk binary")
 
 
 def deduplicate(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row.
 
-    Texts are equal if they are the same bytes without ASCII white space; null counts as empty. Of a group the row with the
-    most code points stays, then the smallest doc_id (null last), then any one of repeated rows. ``hash_bits`` shortens the chunk hash, for tests."""
-    joined = _grouped(docs, F.monotonically_increasing_id(), hash_bits, id_col, text_col)
+    Texts are equal if they are the same bytes without ASCII white space; null counts as empty; a text of any length is compared whole. Of
+    a group the row with the most code points stays, then the smallest doc_id (null last), then any one of repeated rows. An empty table
+    gives no rows; other columns are left out, so their names can't clash. ``hash_bits`` shortens the chunk hash, for tests."""
+    held, key = numbered(docs.select(id_col, text_col), "texts")
+    joined = _grouped(held, key, hash_bits, id_col, text_col)
     return joined.select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "text_sha256")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, as they were. Rows are told apart by a number that is written with them first."""
-    held = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    dropped = _grouped(held, F.col("__row"), 64, id_col, text_col).where("row <> best.r").select(F.col("row").alias("__row"))
-    return without_rows(held, dropped, "__row").select(*docs.columns)
+    """The rows of ``docs`` that stay by the rule of ``deduplicate``, as they were, with all their columns. Null and empty texts are one group;
+    an empty table stays empty. Rows are told apart by a number that is written with them first."""
+    held, key = numbered(docs)
+    dropped = _grouped(held, key, 64, id_col, text_col).where("row <> best.r").select(F.col("row").alias(key))
+    return without_rows(held, dropped, key).select(*docs.columns)
 
 
-def _grouped(docs: DataFrame, row: Column, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, key: str, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
     """Every row's recipe, and of its group the size and the best row (p, z, d: doc_id, r: row)."""
-    held = cut(recipes(docs, row, hash_bits, id_col, text_col), "recipes")
-    contents = _verified_contents(docs, held, hash_bits, text_col)
+    held = cut(recipes(docs, F.col(key), hash_bits, id_col, text_col), "recipes")
+    shared = _shared_rows(held)
+    contents = chunks(docs, shared, key, hash_bits, text_col).groupBy("hash", "chunk").agg(F.lit(1).alias("one")).select("hash", "chunk")
     clashes = cut(contents.withColumn("number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1).where("number > 0"), "clashes")
-    keyed = held.withColumn("clash", F.lit("")) if clashes.isEmpty() else _tell_apart(docs, held, clashes, hash_bits, text_col)
+    keyed = held.withColumn("clash", F.lit("")) if clashes.isEmpty() else cut(_tell_apart(docs, held, clashes, hash_bits, text_col), "keyed")
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
-    groups = keyed.groupBy("recipe", "n_bytes", "clash").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
-    return keyed.join(groups, ["recipe", "n_bytes", "clash"])
-
+    by = ["recipe", "n_bytes", "clash"]
+    groups = cut(keyed.groupBy(*by).agg(F.count("*").alias("group_size"), F.min(best).alias("best")), "groups")
+    return spread_join(keyed, groups, by)
 
-def _verified_contents(docs: DataFrame, held: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
-    """Distinct (hash, chunk) of all recipes that two rows or more have: the only contents that move, once.
 
-    Up to BROADCAST_HASHES their hashes go to the tasks that cut the texts, and other chunks never leave them; beyond, both sides are shuffled."""
-    again = held.groupBy("recipe", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("recipe")
-    hashes = cut(again.select(F.explode("recipe").alias("hash")).distinct(), "shared-hashes")
-    small = hashes.count() <= BROADCAST_HASHES
-    found = chunks(docs, hash_bits, text_col).join(F.broadcast(hashes) if small else hashes, "hash", "left_semi")
-    return found.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).select("hash", "chunk")
+def _shared_rows(held: DataFrame) -> DataFrame:
+    """The rows whose recipe another row has too: the only ones whose chunks are looked at."""
+    groups = held.groupBy("recipe", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("recipe", "n_bytes")
+    return spread_join(held, cut(groups, "shared-recipes"), ["recipe", "n_bytes"]).select("row")
 
 
 def _tell_apart(docs: DataFrame, held: DataFrame, clashes: DataFrame, hash_bits: int, text_col: str) -> DataFrame:

@@ -1,19 +1,118 @@
-"""Taking rows out of wide tables."""
+"""Taking rows out of wide tables, and joins on keys that may hold any share of the rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.storage import cut
+from folio.storage import cut, new_folder, open_fs
+
+#: A key is hot if it has over LEAST_HOT rows and over one row in MOST_HOT / 2, so at most MOST_HOT keys are.
+LEAST_HOT, MOST_HOT = 256, 1_000_000
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the name of its column, which no other has. It is written, so that the numbers stay: the
+    high bits are those of the writing task."""
+    key = "__row"
+    while key.lower() in map(str.lower, docs.columns):
+        key += "_"
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
+def _lists(chosen: DataFrame, key: str) -> dict[int, str]:
+    """Writes the row numbers of ``chosen`` to a file for each task that numbered them; gives the path of each: as many as there were tasks."""
+    folder = new_folder(chosen.sparkSession, "row-lists")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()  # a repeated task writes files of its own
+        fs, inner = open_fs(folder)
+        fs.create_dir(inner, recursive=True)
+        part, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            path = f"rows-{part}-{attempt}.bin"
+            with fs.open_output_stream(f"{inner}/{path}") as out:
+                out.write(np.concatenate(held).astype("<i8").tobytes())
+            return pa.record_batch([pa.array([part]), pa.array([f"{folder}/{path}"])], names=["part", "path"])
+
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(rows >> 33)) + 1).tolist(), len(rows)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    if held and int(rows[a] >> 33) != part:
+                        yield flush()
+                        held = []
+                    part = int(rows[a] >> 33)
+                    held.append(rows[a:b])
+        if held:
+            yield flush()
+
+    rows = chosen.select(F.col(key).alias("row")).withColumn("part", F.shiftright("row", 33)).repartition("part").sortWithinPartitions("part", "row")
+    return {r.part: r.path for r in rows.select("row").mapInArrow(run, "part long, path string").collect()}
+
 
-#: Eight-byte row numbers that are broadcast at most: 16 MB.
-BROADCAST_ROWS = 2_000_000
+def chooser(chosen: DataFrame, key: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """For tasks over a ``numbered`` table: a function that makes a function from row numbers to whether ``chosen`` has them. Each task
+    reads the lists of its own rows only, so nothing wide is shuffled and no list is sent to all tasks."""
+    paths = _lists(chosen, key)
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        own: dict[int, np.ndarray] = {}
+
+        def among(rows: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(rows), bool)
+            for part in np.unique(rows >> 33).tolist():
+                if part in paths and part not in own:
+                    own.clear()
+                    fs, inner = open_fs(paths[part])
+                    with fs.open_input_stream(inner) as stream:
+                        own[part] = np.frombuffer(stream.read(), "<i8")
+                if part in paths:
+                    found |= np.isin(rows, own[part])
+            return found
+
+        return among
+
+    return make
 
 
 def without_rows(held: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """The rows of ``held`` whose ``key`` isn't in ``dropped``. Up to BROADCAST_ROWS of them go to where the rows are, so that texts
-    don't move; beyond, both sides are shuffled by the key."""
-    gone = cut(dropped.select(key), "dropped")
-    small = gone.count() <= BROADCAST_ROWS
-    return held.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    """The rows of ``held`` (of ``numbered``) whose ``key`` isn't in ``dropped``, however many those are."""
+    make, at = chooser(dropped, key), held.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = make()
+        for batch in batches:
+            yield batch.filter(pa.array(~among(batch.column(at).to_numpy())))
+
+    return held.mapInArrow(run, held.schema)
+
+
+def split_hot(rows: DataFrame, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key isn't in ``hot``, rows whose key is, with n) for ``hot`` (key, n: its rows). Keys that may have a large share of
+    ``rows`` are told by a list of at most MOST_HOT that goes to where the rows are; others by a join."""
+    most = 2 * rows.count() // MOST_HOT
+    top = F.broadcast(cut(hot.where(F.col("n") > max(LEAST_HOT, most)), "hottest"))
+    rest = rows.join(top, key, "left_anti")
+    return rest.join(hot.hint("merge"), key, "left_anti"), rows.join(top, key).unionByName(rest.join(hot.hint("merge"), key))
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has one row for each key, where a key may hold any share of ``rows``.
+
+    Keys that are hot go to where the rows are: at most MOST_HOT of them, however many rows there are. Other keys have at most
+    max(LEAST_HOT, 2 * rows / MOST_HOT) rows in one task. ``rows`` is read twice, so it should be a written table."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    hot = cut(counts.where(F.col("__n") > max(LEAST_HOT, 2 * total // MOST_HOT)).drop("__n").join(one, keys), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(one, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components, spanning
 from folio.llm.encoding import slices
-from folio.llm.rows import without_rows
+from folio.llm.rows import numbered, spread_join, without_rows
+from folio.llm.shingles import majority_bits, shingle_hashes
 from folio.storage import cut
 
 #: Fingerprints that share one variant before it is dealt out in blocks.
@@ -34,45 +35,18 @@ def text_fingerprints(texts: list[str], words: int = 4, seed: int = 42) -> np.nd
     """Unsigned fingerprints: a bit is 1 if it is set in over half the XXH64 hashes of the word shingles, repeats included.
 
     ASCII capitals are lowered; fewer words than a shingle count as one shingle; no words give zero."""
-    from xxhash import xxh64_intdigest
-
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = text.encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
-        if not found:
-            continue
-        if len(found) <= words:
-            hashes.append(xxh64_intdigest(b" ".join(found), seed))
-            counts[i] = 1
-            continue
-        joined = b" ".join(found)
-        starts = [0]
-        for w in found:
-            starts.append(starts[-1] + len(w) + 1)
-        hashes += [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:], strict=False)]
-        counts[i] = len(found) - words + 1
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        ends = np.cumsum(counts[some])
-        values = np.array(hashes, np.uint64)
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, ends - counts[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
-    return out
-
-
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, fp): the fingerprint as a long with the same bits; null texts count as empty; row is that of ``row_col``, or null."""
+    return majority_bits(*shingle_hashes(texts, words, seed))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a long with the same bits; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(2)):
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(text_fingerprints(texts.to_pylist(), words).view(np.int64))], names=["row", "doc_id", "fp"])
+            for at, texts in slices(batch.column(1)):
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(text_fingerprints(texts.to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
 
-    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
-    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -175,33 +149,34 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return cold.unionByName(split)
 
 
-def _roots(held: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
-    """Of the fingerprints in ``held`` (fp, doc_id): (fp, least doc_id, root), and the roots of components of two or more."""
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row.
+
+    component_id is the smallest doc_id that links reach. Null texts are empty; empty texts have fingerprint zero and link like any other;
+    a text of any length gives one fingerprint of all its shingles; a bit that is set in just half of the hashes is 0; repeated rows
+    stay; a null doc_id never names a component that has another, else component_id is null; an empty table gives no rows; other columns are left out,
+    so their names can't clash."""
+    held = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = cut(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(links(distinct, distance))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return cut(member, "members"), found.select("root").distinct()
+    member = cut(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
+    low = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(spread_join(member, low, ["root"]).select("fp", "component_id"), "named")
+    return spread_join(held, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+def without_near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of rows whose sets of word shingles have a Jaccard similarity of ``similar`` or more, the row with the smallest doc_id, as it was.
 
-    component_id is the smallest doc_id that links reach; null texts are empty, empty texts have fingerprint zero and link
-    like any other; repeated rows stay; a null doc_id never names a component that has another, else component_id is null."""
-    held = cut(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    member, joined = _roots(held, distance)
-    low = member.join(joined, "root", "left_semi").groupBy("root").agg(F.min("least").alias("low"))
-    named = member.join(low, "root", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    out = held.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_copies(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest doc_id (null last, any one of repeated rows), as it was. Rows are told apart by a number that is written with them first."""
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    held = cut(fingerprints(numbered, words, id_col, text_col, "__row"), "fingerprints")
-    member, _ = _roots(held, distance)
-    rooted = held.join(member.select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("order"))
+    Fingerprint links retrieve the closest pairs and MinHash bands those that more bits part; exact sets verify all of them (``jaccard``).
+    Of equal doc_ids (null last) any one row stays. Null and empty texts are alike and only like each other; a text of any length counts
+    with all its shingles; an empty table gives no rows; other columns stay as they are. Rows are told apart by a
+    number that is written with them first."""
+    from folio.llm.jaccard import similar_roots
+
+    held_docs, key = numbered(docs)
+    held, roots = similar_roots(held_docs, key, words, similar, distance, id_col, text_col)
+    rooted = cut(spread_join(held, roots, ["fp"]).select("root", "row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row").alias("order")), "rooted")
     best = rooted.groupBy("root").agg(F.min("order").alias("best"))
-    dropped = rooted.join(best, "root").where("row <> best.row").select(F.col("row").alias("__row"))
-    return without_rows(numbered, dropped, "__row").select(*docs.columns)
+    dropped = spread_join(rooted, best, ["root"]).where("row <> best.row").select(F.col("row").alias(key))
+    return without_rows(held_docs, dropped, key).select(*docs.columns)

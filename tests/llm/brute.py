@@ -53,3 +53,27 @@ def near_pairs(prints, distance=4):
 
 def normal(text):
     return (text or "").translate({ord(c): None for c in WHITE})
+
+
+def shingle_set(text, n=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar_left(rows, similar=0.8):
+    """The first row of each component of rows whose shingle sets are similar: all pairs that share a shingle are compared."""
+    sets = [shingle_set(r.text) for r in rows]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            holders.setdefault(x, []).append(i)
+    pairs = set()
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s or [None]:
+            for j in holders[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        pairs |= {(i, j) for j, n in common.items() if not s or n >= similar * (len(s) + len(sets[j]) - n)}
+    root = roots(len(rows), sorted(pairs))
+    return [r for i, r in enumerate(rows) if root[i] == i]

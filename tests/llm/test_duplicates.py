@@ -10,6 +10,7 @@ import pytest
 from brute import fingerprint, near_pairs, normal, roots
 
 from folio.llm import exact_dedup, simhash
+from folio.llm import rows as rows_of_tables
 from folio.llm.components import components, spanning
 
 
@@ -61,6 +62,24 @@ def test_exact_odd(odd, none):
     assert stay.count() == n and stay.columns == odd.columns and exact_dedup.without_copies(none).count() == 0
 
 
+def test_hot_keys_give_the_same_rows(spark, copies, near, monkeypatch):
+    monkeypatch.setattr(rows_of_tables, "LEAST_HOT", 1)
+    want, _ = _exact(copies.collect())
+    got = exact_dedup.deduplicate(copies).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
+    rows = sorted(near.collect(), key=lambda r: r.doc_id)
+    root = roots(len(rows), near_pairs([fingerprint(r.text) for r in rows]))
+    assert [r.component_id for r in sorted(simhash.near_duplicates(near).collect(), key=lambda r: r.doc_id)] == [rows[k].doc_id for k in root]
+
+
+def test_without_rows(spark):
+    held, key = rows_of_tables.numbered(spark.range(5000).selectExpr("id AS __row", "id % 7 AS k").repartition(9))
+    assert key == "__row_"
+    left = rows_of_tables.without_rows(held, held.where("k = 3").select(key), key)
+    assert sorted(r["__row"] for r in left.collect()) == [i for i in range(5000) if i % 7 != 3]
+    assert rows_of_tables.without_rows(held, held.where("k = 9").select(key), key).count() == 5000
+
+
 def test_cut_points_follow_content():
     rnd = np.random.default_rng(1)
     a = rnd.integers(0, 256, 60_000).astype(np.uint8).tobytes()
@@ -101,10 +120,7 @@ def test_near_odd(odd, none):
     rows = odd.collect()
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(rows) and sorted(r.fingerprint for r in got) == sorted(f"{fingerprint(r.text):016x}" for r in rows)
-    assert simhash.near_duplicates(none).count() == 0 and simhash.without_near_copies(none).count() == 0
-    n = len(set(roots(len(rows), near_pairs([fingerprint(r.text) for r in rows]))))
-    stay = simhash.without_near_copies(odd)
-    assert stay.count() == n and stay.columns == odd.columns
+    assert simhash.near_duplicates(none).count() == 0
 
 
 def test_every_distance_is_found():

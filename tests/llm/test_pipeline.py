@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
-from brute import fingerprint, near_pairs, normal, roots
+from brute import normal, similar_left
 
 from folio.llm import line_crf, toxicity
 from folio.llm.labelled import training_rows
@@ -43,8 +43,7 @@ def test_pipeline(spark):
     want = sorted(best.values(), key=lambda r: r.doc_id)
     assert steps[3] == want and len(want) < len(steps[2])
 
-    root = roots(len(want), near_pairs([fingerprint(r.text) for r in want]))
-    want = [r for i, r in enumerate(want) if root[i] == i]
+    want = similar_left(want)
     assert steps[4] == want
 
     packed = corpus_pipeline.run(spark, small).collect()

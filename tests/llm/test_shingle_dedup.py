@@ -4,22 +4,15 @@ from __future__ import annotations
 
 import random
 
-from brute import roots, words
+from brute import similar_left
 from corpus_pipeline import near_dedup
 
-from folio.llm import shingle_dedup
-
-
-def _set(text, n=5):
-    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+from folio.llm import jaccard
+from folio.llm.simhash import without_near_copies
 
 
 def _left(rows):
-    sets = [_set(r.text) for r in rows]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    root = roots(len(rows), pairs)
-    return [r.doc_id for i, r in enumerate(rows) if root[i] == i]
+    return [r.doc_id for r in similar_left(rows)]
 
 
 def _edited(rnd, words_, n):
@@ -50,11 +43,31 @@ def test_large_group(spark):
     text = [f"w{rnd.randrange(5000)}" for _ in range(300)]
     rows = [(i, _edited(rnd, text, 1 + i % 2)) for i in range(400)] + [(1000 + i, _edited(rnd, text, 200)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(r.doc_id for r in shingle_dedup.without_similar(docs).collect()) == _left(docs.orderBy("doc_id").collect())
+    assert sorted(r.doc_id for r in without_near_copies(docs).collect()) == _left(docs.orderBy("doc_id").collect())
+
+
+def test_groups_that_pivots_leave_apart(spark, monkeypatch):
+    """Buckets over the limits, many components in one bucket, and copies of one set for many pairs: nothing is lost."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "FAN", 3)
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows, i = [], 0
+    for _ in range(12):
+        middle = _edited(rnd, base, 14).split()  # of similarity about 0.6 to each other
+        for n in range(5):
+            rows.append((i, _edited(rnd, middle, n)))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _left(docs.orderBy("doc_id").collect())
+    assert 1 < len(want) < 40
+    assert sorted(r.doc_id for r in without_near_copies(docs).collect()) == want
 
 
 def test_odd(odd, none):
-    stay = shingle_dedup.without_similar(odd)
-    assert stay.columns == odd.columns and shingle_dedup.without_similar(none).count() == 0
+    stay = without_near_copies(odd)
+    assert stay.columns == odd.columns and {r["__row"] for r in stay.collect()} == {3} and without_near_copies(none).count() == 0
     seen = odd.collect()
     assert stay.count() == len(_left(sorted(seen, key=lambda r: (r.doc_id is None, r.doc_id or 0))))
