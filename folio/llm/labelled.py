@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import slices
+from folio.storage import cut
+
+#: Parts that training rows are written in.
+PARTS = 32
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -18,18 +22,23 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``limit`` labelled documents for which ``keep`` (over doc_id) holds.
+    """(doc_id, text, label), one row for each of at most ``limit`` labelled documents for which ``keep`` (over doc_id) holds; written.
 
     Over ``limit``, the documents with the least hash of their doc_id are taken: a sample that doesn't depend on how rows are
-    partitioned. Of several labels of one doc_id the largest counts; null labels and rows without a document are left out."""
+    partitioned. Of several labels of one doc_id the largest counts, of several texts the least; null labels, labels without a document and
+    documents without a label or number are left out before the sample is taken."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(keep)
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    sample = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = cut(sample, "sample")  # ``limit`` pairs of numbers at most
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return cut(found.repartition(PARTS, "doc_id"), "training-rows")
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the judge finds true. ``judge()`` is called once in each task."""
+    """The rows of ``docs``, with all their columns whatever their names, whose text the judge finds true; null texts are judged as empty.
+    ``judge()`` is called once in each task."""
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line that holds a word is labelled good or bad. A line's features are its own shape (length, character classes,
-repeated words) and that of the lines before and behind it. Training takes each line's label from its document, on a
-sample of at most ``max_rows`` labelled documents; forward-backward gives each line's marginal of being good, and their mean,
-weighted by the lines' lengths, is calibrated to the document's probability by isotonic regression.
+repeated words) and that of the lines before and behind it. Only documents have labels, so those of lines are hidden: at
+first each line has its document's, then rounds of training and relabelling follow, in which lines that make up at least
+half of a document's length keep its label and the others take that of their own marginal. So good documents may have bad
+lines, and the chain learns where labels change. Forward-backward gives each line's marginal of being good, and their
+mean, weighted by the lines' lengths, is calibrated to the document's probability by isotonic regression. Training uses at most ``MAX_ROWS``
+labelled documents, and of these, in the order of their doc_ids' hashes, those that fit into ``MAX_LINES`` lines together.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 from folio.llm.boosting import Isotonic, fit_isotonic
 from folio.llm.encoding import slices
 from folio.llm.labelled import fold, keep_rows, training_rows
+from folio.storage import cut
 
 MAX_ROWS = 6_000
+MAX_LINES = 150_000
+#: Rounds of relabelling, and steps of the first fit and of those that go on from it.
+ROUNDS, FIRST_STEPS, NEXT_STEPS = 3, 100, 30
 WHITE = " \t\n\x0b\x0c\r"
 OWN = ("log_chars", "log_words", "letters", "capitals", "digits", "exclaims", "signs", "bars", "stops", "word_chars", "distinct", "same_next", "long_word", "seen", "ends")
 #: Own features, those of the line before and of the line behind, and whether there is one.
@@ -123,17 +130,16 @@ def _standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray
     return np.concatenate([np.clip((x - mean) / spread, -5, 5), np.ones((len(x), 1))], axis=1)
 
 
-def fit_chain(x: np.ndarray, chars: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> LineModel:
-    """Maximum conditional likelihood by Adam over all chains, every line labelled as its document; documents weigh the same in the two labels' sums."""
+def fit_chain(x: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = FIRST_STEPS, rate: float = 0.1, penalty: float = 1e-3, begin: LineModel | None = None) -> LineModel:
+    """Maximum conditional likelihood by Adam over all chains, whose lines have the labels ``y``; goes on from ``begin`` if there is one."""
     mean, spread = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
     z = _standard(x, mean, spread)
-    y = np.repeat(labels, counts).astype(np.int64)
     inside = np.ones(len(y), bool)
     inside[(np.cumsum(counts) - counts)[counts > 0]] = False
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[np.flatnonzero(inside) - 1], y[inside]), 1)
     begun = np.bincount(y[~inside], minlength=2).astype(float)
-    params = np.zeros(z.shape[1] + 6)
+    params = np.zeros(z.shape[1] + 6) if begin is None else np.concatenate([begin.weight, begin.trans.ravel(), begin.start])
     m, v = np.zeros_like(params), np.zeros_like(params)
     target = z.T @ y
     n = max(1, len(y))
@@ -149,8 +155,30 @@ def fit_chain(x: np.ndarray, chars: np.ndarray, counts: np.ndarray, labels: np.n
     return LineModel(mean, spread, params[:-6], params[-6:-2].reshape(2, 2), params[-2:], Isotonic(np.zeros(1), np.zeros(1)))
 
 
-def train(rows: DataFrame, folds: int = 2) -> LineModel:
-    """Fits on (doc_id, text, label) rows; calibration uses shares from a chain fitted on the other fold. Without both labels among the rows the score is their share for every text."""
+def relabel(good: np.ndarray, chars: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Line labels: the lines that fit a document's label best, up to half of its length, have it, and others what their marginal says."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    own = labels[owner]
+    fit = np.where(own == 1, good, 1 - good)
+    order = np.lexsort((np.arange(len(owner)), -fit, owner))
+    before = np.cumsum(chars[order]) - chars[order]
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    before -= np.repeat(before[first], counts[counts > 0])
+    needed = np.zeros(len(owner), bool)
+    needed[order] = 2 * before < np.bincount(owner, chars, len(counts))[owner]
+    return np.where(needed, own, good >= 0.5).astype(np.int64)
+
+
+def fit_hidden(x: np.ndarray, chars: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> LineModel:
+    """A chain whose line labels are learned from those of documents."""
+    model = fit_chain(x, counts, np.repeat(labels, counts))
+    for _ in range(rounds):
+        model = fit_chain(x, counts, relabel(model._good(x, counts), chars, counts, labels), NEXT_STEPS, begin=model)
+    return model
+
+
+def _sample(rows: DataFrame, max_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, characters, lines of each document, labels) of training rows, as far as ``max_lines`` lines go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,26 +187,35 @@ def train(rows: DataFrame, folds: int = 2) -> LineModel:
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 flat = np.concatenate([x, chars[:, None]], axis=1).astype(np.float32)
                 pieces = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(pieces, pa.binary())], names=["doc_id", "label", "x"])
-
-    found = rows.mapInArrow(run, "doc_id long, label int, x binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.label, bytes(r.x)))
-    mats = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES + 1).astype(float) for r in found]
-    labels = np.array([int(r.label > 0) for r in found])
-    counts = np.array([len(a) for a in mats], np.int64)
-    every = np.concatenate([*mats, np.zeros((0, N_FEATURES + 1))])
-    x, chars = every[:, :-1], every[:, -1]
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(counts), pa.array(pieces, pa.binary())], names=["doc_id", "label", "n", "x"])
+
+    held = cut(rows.mapInArrow(run, "doc_id long, label int, n long, x binary"), "line-features")
+    chosen, left = [], max_lines
+    for r in held.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():  # a row for each document of the sample
+        if r.n <= left:
+            chosen.append((r.doc_id,))
+            left -= r.n
+    if not chosen:
+        return np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = held.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id").orderBy("doc_id").collect()
+    every = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES + 1) for r in found]).astype(float)
+    return every[:, :-1], every[:, -1], np.array([r.n for r in found], np.int64), np.array([int(r.label > 0) for r in found])
+
+
+def train(rows: DataFrame, folds: int = 2, max_lines: int = MAX_LINES) -> LineModel:
+    """Fits on (doc_id, text, label) rows; calibration uses shares from a chain fitted on the other fold. Without both labels among the rows the score is their share for every text."""
+    x, chars, counts, labels = _sample(rows, max_lines)
     if len(np.unique(labels)) < 2:
-        model = fit_chain(x[:0], chars[:0], np.zeros(0, np.int64), labels[:0], steps=0)
+        model = fit_chain(x[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), steps=0)
         model.calibration = Isotonic(np.zeros(1), np.full(1, float(labels.mean()) if len(labels) else 0.0))
         return model
     shares = np.zeros(len(labels))
     for k in range(folds):
         mine = np.arange(len(labels)) % folds == k
         rows_of = np.repeat(mine, counts)
-        part = fit_chain(x[~rows_of], chars[~rows_of], counts[~mine], labels[~mine])
+        part = fit_hidden(x[~rows_of], chars[~rows_of], counts[~mine], labels[~mine])
         shares[mine] = part.good_share(x[rows_of], chars[rows_of], counts[mine])[0]
-    model = fit_chain(x, chars, counts, labels)
+    model = fit_hidden(x, chars, counts, labels)
     model.calibration = fit_isotonic(shares, labels.astype(float))
     return model
 
@@ -197,20 +234,37 @@ def score_documents(docs: DataFrame, model: LineModel, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_lines long, good_lines long")
 
 
+def label_lines(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line, marginal, good): every line that holds a word, by its number among those of its text, with its marginal of being good and its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                x, chars, counts = line_features(texts.to_pylist())
+                good = model.good_share(x, chars, counts)[1]
+                owner = np.repeat(np.arange(len(counts)), counts)
+                line = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)).take(pa.array(owner)), pa.array(line), pa.array(good), pa.array(good >= 0.5)], names=["doc_id", "line", "marginal", "good"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, line long, marginal double, good boolean")
+
+
 def held_out(doc_id: Column) -> Column:
     return fold(doc_id, 5) == 0
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_lines, good_lines) of every row; learns from rows that aren't held out.
+    """(doc_id, held_out, score, predicted, n_lines, good_lines) of every row; learns from at most ``max_rows`` rows that aren't held out.
 
-    Null texts are scored as empty, empty texts as a text of bad lines; a null doc_id is scored and never learned from; repeated rows stay."""
+    Null and empty texts are scored as a text of bad lines; a text of any length is read whole; a null doc_id is scored and never learned
+    from; repeated rows stay and score alike; texts of equal share have one score. Without labels every score is 0; an empty table gives no rows; other columns are
+    left out, so their names can't clash."""
     model = train(training_rows(docs, labels, "quality", ~held_out(F.col("doc_id")), max_rows))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "good_lines")
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, as they were."""
+    """The rows of ``docs`` that score ``threshold`` or more by the rules of ``quality``, as they were, with all their columns."""
     model = train(training_rows(docs, labels, "quality", ~held_out(F.col("doc_id")), max_rows))
     return keep_rows(docs, lambda: lambda texts: model.calibration.apply(model.good_share(*line_features(texts))[0]) >= threshold)

@@ -2,8 +2,8 @@
 
 The features of a text are densities of lexicon words, their nearness to second-person words, capitals, punctuation and
 obfuscation. The lexicon is a short list of insults and, for each language of the corpus, the words and word beginnings
-that the training rows show to mark toxic documents. Training uses a sample of at most ``max_rows`` labelled rows;
-every document is scored by the same features over its whole text.
+that the training rows show to mark toxic documents, ``MAX_UNITS`` of them at most. Training uses a sample of at most ``max_rows``
+labelled rows; every document is scored by the same features over its whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from folio.llm.encoding import slices
 from folio.llm.labelled import fold, keep_rows, training_rows
 
 MAX_ROWS = 20_000
+#: Words and word beginnings that the training rows may add to the lexicon.
+MAX_UNITS = 5000
 #: A word near a second-person word is at most so many words away.
 NEAR = 5
 #: Lengths of word beginnings that may enter the lexicon.
@@ -132,9 +134,9 @@ class ToxicityModel:
         return self.calibration.apply(self.trees.margin(x))
 
 
-def learned_lexicon(rows: DataFrame, least: int = 4, ratio: float = 3.0, most: int = 5000) -> Lexicon:
+def learned_lexicon(rows: DataFrame, least: int = 4, ratio: float = 3.0, most: int = MAX_UNITS) -> Lexicon:
     """Words and word beginnings of (text, label) rows that at least ``least`` positive documents hold, and in which positive documents
-    outweigh what chance gives by ``ratio`` standard errors and three to one. At most ``most`` by weight."""
+    outweigh what chance gives by ``ratio`` standard errors and the others two to one. At most ``most`` by weight, then by spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -165,29 +167,20 @@ def learned_lexicon(rows: DataFrame, least: int = 4, ratio: float = 3.0, most: i
 def train(rows: DataFrame, folds: int = 3) -> ToxicityModel:
     """Fits on (doc_id, text, label) rows. The lexicon and trees behind a row's calibration score are always those of the other folds, so what a lexicon
     owes to the rows that it was read from doesn't pass for skill. Without both labels among the rows the score is their share for every text."""
-    rows = rows.persist()
-    try:
-        n = rows.count()
-        parts, margins, truth = [], [], []
-        for k in range(folds):
-            mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)) == k
-            lexicon = learned_lexicon(rows.where(~mine))
-            x, y = _matrix(rows.where(mine), lexicon)
-            parts.append((x, y))
-        for k in range(folds):
-            x = np.concatenate([p[0] for i, p in enumerate(parts) if i != k])
-            y = np.concatenate([p[1] for i, p in enumerate(parts) if i != k])
-            margins.append(fit(x, y).margin(parts[k][0]))
-            truth.append(parts[k][1])
-        lexicon = learned_lexicon(rows)
-        x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        assert len(y) == n
-        if len(np.unique(y)) < 2:
-            share = float(y.mean()) if len(y) else 0.0
-            return ToxicityModel(lexicon, fit(x, y), Isotonic(np.zeros(1), np.full(1, share)))
-        return ToxicityModel(lexicon, fit(x, y), fit_isotonic(np.concatenate(margins), np.concatenate(truth)))
-    finally:
-        rows.unpersist()
+    parts, margins, truth = [], [], []
+    for k in range(folds):
+        mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(folds)) == k
+        parts.append(_matrix(rows.where(mine), learned_lexicon(rows.where(~mine))))
+    for k in range(folds):
+        x = np.concatenate([p[0] for i, p in enumerate(parts) if i != k])
+        y = np.concatenate([p[1] for i, p in enumerate(parts) if i != k])
+        margins.append(fit(x, y).margin(parts[k][0]))
+        truth.append(parts[k][1])
+    x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    if len(np.unique(y)) < 2:
+        share = float(y.mean()) if len(y) else 0.0
+        return ToxicityModel(Lexicon(), fit(x, y), Isotonic(np.zeros(1), np.full(1, share)))
+    return ToxicityModel(learned_lexicon(rows), fit(x, y), fit_isotonic(np.concatenate(margins), np.concatenate(truth)))
 
 
 def _matrix(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -222,16 +215,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, lexicon_hits) of every row; learns from rows that aren't held out.
+    """(doc_id, held_out, score, predicted, lexicon_hits) of every row; learns from at most ``max_rows`` rows that aren't held out.
 
-    Null texts are scored as empty; a null doc_id is scored and never learned from; repeated rows stay."""
+    Null and empty texts are scored by the features of an empty text; a text of any length is read whole; a null doc_id is scored and
+    never learned from; repeated rows stay and score alike; of equal margins all have one score. Without labels every score is 0; an empty table gives
+    no rows; other columns are left out, so their names can't clash."""
     model = train(training_rows(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_rows))
     scored = score_documents(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "lexicon_hits")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, as they were."""
+    """The rows of ``docs`` that score under ``threshold`` by the rules of ``toxicity``, as they were, with all their columns."""
     model = train(training_rows(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_rows))
 
     def judge():
