@@ -197,7 +197,7 @@ def _sample(rows: DataFrame, max_lines: int) -> tuple[np.ndarray, np.ndarray, np
             left -= r.n
     if not chosen:
         return np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = held.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id").orderBy("doc_id").collect()
+    found = held.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # so that folds don't follow an order of the labels
     every = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES + 1) for r in found]).astype(float)
     return every[:, :-1], every[:, -1], np.array([r.n for r in found], np.int64), np.array([int(r.label > 0) for r in found])
 
