@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.rows import spread_join
+from folio.llm.spread import spread_join
 from folio.storage import cut
 
 

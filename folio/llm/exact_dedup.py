@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.encoding import slices
-from folio.llm.rows import chooser, numbered, spread_join, without_rows
+from folio.llm.rows import chooser, numbered, without_rows
+from folio.llm.spread import spread_join
 from folio.storage import cut
 
 #: White space that the comparison leaves out.

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components
 from folio.llm.encoding import slices
-from folio.llm.rows import chooser, split_hot, spread_join
+from folio.llm.rows import chooser
 from folio.llm.shingles import distinct_runs, majority_bits, shingle_hashes
 from folio.llm.simhash import links
+from folio.llm.spread import split_hot, spread_join
 from folio.storage import cut
 
 BANDS, ROWS = 20, 5

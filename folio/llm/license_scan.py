@@ -5,6 +5,13 @@ lies within one window of ``2 * stride`` shingles that begin every ``stride``, s
 share; with 64 bands of one row, a template that is all there is retrieved with a probability over 1 - 0.75 ** 64
 (1e-8), and one that is there at 0.8 with over 1 - 0.81 ** 64 (1e-6).
 
+Licenses resemble each other, so containment alone would take one for its sibling. For each other license that has some of a
+template's shingles, the window therefore also has to hold at least half of those that the other one lacks, such as those around a name,
+a version or an extra clause.
+
+Texts and file headers are sought in the stream of a document's words. Short notices ("Released under ...") are sought among
+sentences and lines that speak of a license, with marks for where a sentence begins and ends, so that they only count as sentences of their own.
+
 The templates are a fixed list, so their bands are too. A band of a window can only equal a template's if the window holds
 the shingle that is the template's least there. Windows are therefore made only around those shingles, which leaves out no
 match. All of it is DataFrame functions.
@@ -15,34 +22,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.license_texts import NOTICES, TEXTS
 from folio.llm.quality_rules import windows_of
 
 SHINGLE = 5
 BANDS = 64
-CONTAINED = 0.8
-
-# License notices as published.
-TEMPLATES: dict[str, str] = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+CONTAINED, DISTINCT = 0.8, 0.5
+#: What every notice speaks of; sentences without it can't be one.
+SPEAKS = "licens"
+BEGIN, END = "^", "$"
+
+Template = tuple[str, str]
+
+
+def notice_templates() -> list[Template]:
+    """(license, notice) pairs."""
+    return [(k, v) for k, vs in NOTICES.items() for v in vs]
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def with_shingles(rows: DataFrame, text: str) -> DataFrame:
-    """Replaces ``text`` by ``shingles``: the hashes of its word shingles in order. Word hashes are a column of their own, so they are worked out once."""
-    hashed = rows.withColumn("__words", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))).drop(text)
+def notice_words(text: Column) -> Column:
+    """The words of the sentences and lines that speak of a license, each between a BEGIN and an END."""
+    units = F.filter(F.split(F.lower(text), r"\n|(?<=[.!?])[ \t]+"), lambda u: F.contains(u, F.lit(SPEAKS)))
+    return F.flatten(F.transform(units, lambda u: F.concat(F.array(F.lit(BEGIN)), words_of(u), F.array(F.lit(END)))))
+
+
+def with_shingles(rows: DataFrame, words: Column, drop: str) -> DataFrame:
+    """Adds ``shingles``: the hashes of its word shingles in order. Word hashes are a column of their own, so they are worked out once."""
+    hashed = rows.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w))).drop(drop)
     return hashed.withColumn("shingles", windows_of(F.col("__words"), SHINGLE)).drop("__words")
 
 
@@ -51,31 +61,30 @@ def minhashes(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))).alias("value")))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, shingles, stride): stride is the least power of two that a window of two strides needs."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, body string")
-    rows = with_shingles(rows, "body").select("license", F.array_distinct("shingles").alias("shingles")).where(F.size("shingles") > 0)
+def template_table(spark: SparkSession, templates: list[Template], notices: bool) -> DataFrame:
+    """(template, license, shingles, apart, stride). apart: for each other license that shares shingles, the template's shingles that it
+    lacks; stride is the least power of two that a window of two strides needs. A row for each template, whatever the documents are."""
+    rows = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(templates)], "template int, license string, body string")
+    rows = with_shingles(rows, notice_words(F.col("body")) if notices else words_of(F.col("body")), "body")
+    rows = rows.select("template", "license", F.array_distinct("shingles").alias("shingles")).where(F.size("shingles") > 0)
+    every = rows.groupBy(F.col("license").alias("other")).agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("theirs"))
+    pairs = rows.join(every, (F.col("license") != F.col("other")) & F.arrays_overlap("shingles", "theirs"))  # of the fixed list
+    apart = pairs.groupBy("template").agg(F.collect_list(F.array_except("shingles", "theirs")).alias("apart"))
     stride = F.pow(F.lit(2.0), F.greatest(F.lit(1.0), F.ceil(F.log2(F.greatest(F.size("shingles") - 1, F.lit(1)))).cast("double"))).cast("int")
-    return rows.withColumn("stride", stride)
+    known = rows.join(apart, "template", "left").select("template", "license", "shingles", F.coalesce("apart", F.array().cast("array<array<bigint>>")).alias("apart"), stride.alias("stride"))
+    return spark.createDataFrame(known.collect(), known.schema)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, containment, first_word, n_words): a row for each template found in a row of ``docs``.
-
-    containment is the share of the template's distinct shingles in its best window, which begins at word first_word (the
-    first of equals). Null and empty texts match nothing; a repeated row gives its matches again; other columns are left out."""
+def _matches(docs: DataFrame, words: Column, known: DataFrame, bands: int, contained: float, distinct: float) -> DataFrame:
+    """(row, doc_id, license, containment, first_word, n_words) of docs (doc_id, text): the best window for each template and row."""
     spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
-    rows = known.select("license", "shingles", "stride", F.explode(minhashes(F.col("shingles"), bands)).alias("m")).select("license", "shingles", "stride", "m.*")
-    found = rows.collect()  # templates x bands rows, whatever the documents are
-    least = {(r.stride, r.band, r.value) for r in found}
-    strides = sorted({r.stride for r in found})
-    of = {r.license: r.shingles for r in found}
-    seeds = spark.createDataFrame([(k, h) for k, hs in of.items() for h in hs], "license string, h long").select("h", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select("h", "band", F.xxhash64("h", "band").alias("value")).distinct().collect()
-    wanted = {(b, v) for _, b, v in least}
-    anchors = sorted({r.h for r in seeds if (r.band, r.value) in wanted})
-
-    texts = with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text")
+    rows = known.select("template", "stride", F.explode(minhashes(F.col("shingles"), bands)).alias("m")).select("template", "stride", "m.*")
+    least = {(r.band, r.value) for r in rows.collect()}  # templates x bands
+    strides = sorted({r.stride for r in known.select("stride").distinct().collect()})
+    seeds = known.select(F.explode("shingles").alias("h")).distinct().select("h", F.explode(minhashes(F.array("h"), bands)).alias("m")).select("h", "m.*").collect()
+    anchors = sorted({r.h for r in seeds if (r.band, r.value) in least})
+
+    texts = with_shingles(docs, words, "text")
     marked = F.filter(F.transform("shingles", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"].isin(anchors))
     held = texts.withColumn("at", F.transform(marked, lambda x: x["i"])).where((F.size("at") > 0) & (F.size("shingles") > 0))
     windows = held.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "shingles", "at", F.explode(F.array(*map(F.lit, strides))).alias("stride"))
@@ -84,9 +93,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, band
     windows = windows.select("doc_id", "row", "shingles", "stride", F.explode(numbers).alias("number"))
     windows = windows.select("doc_id", "row", "stride", "number", F.slice("shingles", (F.col("number") * F.col("stride") + 1).cast("int"), 2 * F.col("stride")).alias("window"))
     banded = windows.select("*", F.explode(minhashes(F.col("window"), bands)).alias("m")).select("doc_id", "row", "stride", "number", "window", "m.*")
-    candidates = banded.join(F.broadcast(rows.select("license", "stride", "band", "value")), ["stride", "band", "value"])
-    candidates = candidates.groupBy("row", "number", "license").agg(F.first("doc_id").alias("doc_id"), F.first("stride").alias("stride"), F.first("window").alias("window"))
-    share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    checked = candidates.join(F.broadcast(known.select("license", "shingles")), "license").withColumn("containment", F.round(share, 4)).where(F.col("containment") >= contained)
-    best = F.min_by(F.struct("doc_id", "containment", (F.col("number") * F.col("stride")).cast("long").alias("first_word"), (2 * F.col("stride") + SHINGLE - 1).cast("long").alias("n_words")), F.struct(-F.col("containment"), F.col("number")))
+    candidates = banded.join(F.broadcast(rows), ["stride", "band", "value"])
+    candidates = candidates.groupBy("row", "number", "template").agg(F.first("doc_id").alias("doc_id"), F.first("window").alias("window"))
+    share = lambda part: F.size(F.array_intersect("window", part)) / F.size(part)
+    checked = candidates.join(F.broadcast(known), "template").withColumn("containment", F.round(share("shingles"), 4)).where(F.col("containment") >= contained)
+    checked = checked.where(F.forall("apart", lambda part: F.size(F.array_intersect("window", part)) >= distinct * F.size(part)))
+    best = F.min_by(F.struct("doc_id", "containment", (F.col("number") * F.col("stride")).cast("long").alias("first_word"), (2 * F.col("stride") + SHINGLE - 1).cast("long").alias("n_words")), F.struct(-F.col("containment"), F.col("number"), F.col("template")))
     return checked.groupBy("row", "license").agg(best.alias("b")).select("b.doc_id", "license", "b.containment", "b.first_word", "b.n_words")
+
+
+def scan_licenses(docs: DataFrame, texts: list[Template] | None = None, notices: list[Template] | None = None, bands: int = BANDS, contained: float = CONTAINED, distinct: float = DISTINCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, kind, containment, first_word, n_words): a row for each license found in a row of ``docs``, as a ``text`` or a ``notice``.
+
+    containment is the share of a template's distinct shingles in its best window, which begins at word first_word (the first of
+    equals); for notices, words are those of the sentences that speak of a license, with their two marks. Null and empty texts match nothing; a
+    text of any length is scanned whole; a repeated row gives its matches again; an empty table gives no rows; other columns are left
+    out, so their names can't clash."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    whole = _matches(rows, words_of(F.col("text")), template_table(spark, texts or list(TEXTS.items()), False), bands, contained, distinct)
+    speaking = rows.where(F.contains(F.lower("text"), F.lit(SPEAKS)))
+    short = _matches(speaking, notice_words(F.col("text")), template_table(spark, notices or notice_templates(), True), bands, contained, distinct)
+    kind = lambda found, name: found.select("doc_id", "license", F.lit(name).alias("kind"), "containment", "first_word", "n_words")
+    return kind(whole, "text").unionByName(kind(short, "notice"))

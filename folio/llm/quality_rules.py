@@ -3,8 +3,9 @@
 A line is normalised (ends trimmed of ASCII white space, lower case) and hashed. For each host, documents are counted by
 distinct text, so that copies of one document, which exact deduplication deals with, don't make its lines boilerplate.
 A line is removed on a host where more than ``max_docs`` distinct texts have it and they are more than ``max_share_percent`` of
-the host's. So a host has at most 100 * (lines a text) / ``max_share_percent`` such lines, and its list of hashes is bounded.
-All of it is DataFrame functions; the only rows shuffled are hashes.
+the host's, or, as a share says little on a large host, where it has LONG_LINE characters and more than ``always_docs`` texts have it.
+All of it is DataFrame functions; the only rows shuffled are hashes, as long as ``clean_text`` isn't asked for or the list of
+frequent lines is small.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.spread import spread_join
 from folio.storage import cut
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -19,6 +21,8 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Hashes that are broadcast at most: 16 MB.
 BROADCAST_HASHES = 2_000_000
+#: Characters from which a line that very many documents share is no chance.
+LONG_LINE = 30
 
 
 def words_of(text: Column) -> Column:
@@ -57,12 +61,28 @@ def with_coverage(rows: DataFrame, windows: str, size: int, name: str) -> DataFr
     return rows.withColumn(name, total).drop("__places")
 
 
-def frequent_lines(docs: DataFrame, max_docs: int, max_share_percent: int) -> DataFrame:
-    """(host, frequent array<long>): the hashes of each host's lines above the limits."""
-    rows = docs.select("host", F.xxhash64("text").alias("t"), F.array_distinct(F.transform(lines_of(F.col("text")), line_hash)).alias("hashes"))
-    by_line = rows.select("host", "t", F.explode("hashes").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+def frequent_lines(docs: DataFrame, max_docs: int, max_share_percent: int, always_docs: int) -> DataFrame:
+    """(host, h): the hashes of each host's lines above the limits."""
+    line = lambda x: F.struct(line_hash(x).alias("h"), (F.length(F.btrim(x, F.lit(WHITE_CHARS))) >= LONG_LINE).alias("long"))
+    rows = docs.select("host", F.xxhash64("text").alias("t"), F.array_distinct(F.transform(lines_of(F.col("text")), line)).alias("lines"))
+    by_line = rows.select("host", "t", F.explode("lines").alias("x")).select("host", "t", "x.*").distinct().groupBy("host", "h", "long").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     by_host = rows.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    return by_line.join(by_host, "host").where(100 * F.col("n") > max_share_percent * F.col("texts")).groupBy("host").agg(F.collect_list("h").alias("frequent"))
+    above = (100 * F.col("n") > max_share_percent * F.col("texts")) | (F.col("long") & (F.col("n") > always_docs))
+    return by_line.join(by_host, "host").where(above).select("host", "h")
+
+
+def _with_common(counted: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Adds ``common``: a row's line hashes that are frequent on its host. The list goes to all tasks up to BROADCAST_HASHES of them; beyond, only
+    (row, hash) pairs are joined with it, those of hot lines where they are, and a row's own hashes come back to it."""
+    none = F.array().cast("array<long>")
+    hashes = F.transform("lines", lambda x: x["h"])
+    if frequent.count() <= BROADCAST_HASHES:
+        by_host = frequent.groupBy("host").agg(F.collect_list("h").alias("frequent"))
+        return counted.join(F.broadcast(by_host), "host", "left").withColumn("common", F.coalesce(F.array_intersect(hashes, F.col("frequent")), none)).drop("frequent")
+    held = cut(counted.withColumn("__row", F.monotonically_increasing_id()), "counted")
+    pairs = cut(held.select("__row", "host", F.explode(F.array_distinct(hashes)).alias("h")), "line-rows")
+    common = spread_join(pairs, frequent, ["host", "h"]).groupBy("__row").agg(F.collect_list("h").alias("common"))  # no more than a row's lines
+    return held.join(common, "__row", "left").withColumn("common", F.coalesce("common", none)).drop("__row")
 
 
 def quality_rules(
@@ -72,17 +92,18 @@ def quality_rules(
     max_removed_percent: int = 70,
     min_words: int = 10,
     max_repeat_percent: int = 20,
+    always_docs: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
 ) -> DataFrame:
     """A row for each row of ``docs``: doc_id, counts, base_failed, kept, and ``clean_text`` without the frequent lines.
 
-    Null texts count as empty and fail the base rules; a null host is the empty host; ties need no order; repeated rows count
-    as one text and each gets its row. Other columns of ``docs`` are left out, so their names can't clash."""
+    Null and empty texts fail the base rules; a null host is the empty host; a text of any length is read whole; ties need no order;
+    repeated rows count as one text and each gets its row; an empty table gives no rows. Other columns of ``docs`` are left out, so
+    their names can't clash."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    frequent = cut(frequent_lines(rows, max_docs, max_share_percent), "frequent-lines")
-    size = frequent.agg(F.coalesce(F.sum(F.size("frequent") + 4), F.lit(0))).first()[0]
+    frequent = cut(frequent_lines(rows, max_docs, max_share_percent, always_docs), "frequent-lines")
 
     text = F.col("text")
     counted = rows.withColumn("words", F.transform(words_of(text), lambda w: F.xxhash64(w))).withColumn("lines", lines_of(text))
@@ -95,10 +116,7 @@ def quality_rules(
         windows_of(F.col("words"), 5).alias("windows"),
         F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))).alias("lines"),
     )
-    counted = with_coverage(counted, "windows", 5, "n_repeat_words")
-    joined = counted.join(F.broadcast(frequent) if size <= BROADCAST_HASHES else frequent, "host", "left")
-    none = F.array().cast("array<long>")
-    joined = joined.withColumn("common", F.coalesce(F.array_intersect(F.transform("lines", lambda x: x["h"]), F.col("frequent")), none))
+    joined = _with_common(with_coverage(counted, "windows", 5, "n_repeat_words"), frequent)
     gone = F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"]))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x["n"])
     some = F.size("common") > 0

@@ -120,7 +120,7 @@ line AS (
 hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
 frequent AS (
   SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS n FROM line GROUP BY host, k) JOIN hosts USING (host)
-  WHERE n > 10 AND 100 * n > 2 * texts
+  WHERE n > 10 AND (100 * n > 2 * texts OR length(k) >= 30 AND n > 1000)
 ),
 judged AS (
   SELECT doc_id, count(*) AS n_lines, sum(n) AS line_chars,
@@ -145,25 +145,35 @@ FROM base LEFT JOIN judged USING (doc_id)
 
 
 def _op5_sql() -> str:
-    from folio.llm.license_scan import CONTAINED, SHINGLE, TEMPLATES
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
-    shingled = """
-SELECT {key}, i - 1 AS i, array_to_string(words[i:i + {last}], ' ') AS s
-FROM (SELECT {key}, words, unnest(range(1, len(words) - {last} + 1)) AS i
-      FROM (SELECT {key}, list_filter(regexp_split_to_array(lower({body}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words FROM {table}))"""
-    return f"""
-WITH templates(license, body) AS (VALUES {values}),
-t AS (SELECT DISTINCT license, s FROM ({shingled.format(key="license", body="body", table="templates", last=SHINGLE - 1)})),
-sizes AS (SELECT license, n, CAST(pow(2, greatest(1, ceil(log2(greatest(n - 1, 1))))) AS BIGINT) AS stride FROM (SELECT license, count(*) AS n FROM t GROUP BY license)),
-d AS ({shingled.format(key="doc_id", body="coalesce(text, '')", table="documents", last=SHINGLE - 1)}),
-hits AS (SELECT doc_id, license, s, n, stride, i FROM d JOIN t USING (s) JOIN sizes USING (license)),
-placed AS (SELECT DISTINCT doc_id, license, s, n, stride, unnest([i // stride, greatest(i // stride - 1, 0)]) AS number FROM hits),
-shares AS (SELECT doc_id, license, stride, number, round(count(DISTINCT s) / n, 4) AS containment FROM placed GROUP BY doc_id, license, stride, number, n)
-SELECT doc_id, license, containment, number * stride AS first_word, 2 * stride + {SHINGLE - 1} AS n_words
-FROM shares WHERE containment >= {CONTAINED}
-QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, number) = 1
-"""
+    from folio.llm.license_scan import CONTAINED, DISTINCT, SHINGLE, SPEAKS, notice_templates
+    from folio.llm.license_texts import TEXTS
+
+    plain = lambda body: f"list_filter(regexp_split_to_array(lower({body}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    # DuckDB's patterns don't look behind, so ends of sentences become line ends first
+    units = lambda body: f"list_filter(str_split(regexp_replace(lower({body}), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda u: contains(u, '{SPEAKS}'))"
+    marked = lambda body: f"flatten(list_transform({units(body)}, lambda u: list_concat(['^'], list_concat({plain('u')}, ['$']))))"
+
+    def part(kind: str, rows: list[tuple[str, str]], words) -> str:
+        values = ", ".join("({}, '{}', '{}')".format(i, k, v.replace("'", "''")) for i, (k, v) in enumerate(rows))
+        shingled = lambda key, body, table: f"""SELECT {key}, i - 1 AS i, array_to_string(words[i:i + {SHINGLE - 1}], ' ') AS s
+FROM (SELECT {key}, words, unnest(range(1, len(words) - {SHINGLE - 2})) AS i FROM (SELECT {key}, {words(body)} AS words FROM {table}))"""
+        return f"""
+{kind}_list(template, license, body) AS (VALUES {values}),
+{kind}_t AS (SELECT DISTINCT template, license, s FROM ({shingled("template, license", "body", kind + "_list")})),
+{kind}_sizes AS (SELECT template, license, n, CAST(pow(2, greatest(1, ceil(log2(greatest(n - 1, 1))))) AS BIGINT) AS stride FROM (SELECT template, license, count(*) AS n FROM {kind}_t GROUP BY ALL)),
+{kind}_both AS (SELECT DISTINCT a.template, b.license AS other, s FROM {kind}_t a JOIN {kind}_t b USING (s) WHERE a.license <> b.license),
+{kind}_apart AS (SELECT template, other, s FROM {kind}_t JOIN (SELECT DISTINCT template, other FROM {kind}_both) USING (template) ANTI JOIN {kind}_both USING (template, other, s)),
+{kind}_needed AS (SELECT template, other, count(*) AS n_apart FROM {kind}_apart GROUP BY ALL),
+{kind}_d AS ({shingled("doc_id", "coalesce(text, '')", "documents")}),
+{kind}_placed AS (SELECT DISTINCT doc_id, template, s, unnest([i // stride, greatest(i // stride - 1, 0)]) AS number FROM {kind}_d JOIN {kind}_t USING (s) JOIN {kind}_sizes USING (template)),
+{kind}_shares AS (SELECT doc_id, template, license, stride, number, round(count(*) / n, 4) AS containment FROM {kind}_placed JOIN {kind}_sizes USING (template) GROUP BY doc_id, template, license, stride, number, n),
+{kind}_shown AS (SELECT doc_id, template, number, other, count(*) AS c FROM {kind}_placed JOIN {kind}_apart USING (template, s) GROUP BY ALL),
+{kind}_mistaken AS (SELECT DISTINCT doc_id, template, number FROM {kind}_shares JOIN {kind}_needed USING (template) LEFT JOIN {kind}_shown USING (doc_id, template, number, other) WHERE coalesce(c, 0) < {DISTINCT} * n_apart),
+{kind}_found AS (SELECT doc_id, license, '{kind}' AS kind, containment, number * stride AS first_word, 2 * stride + {SHINGLE - 1} AS n_words
+  FROM {kind}_shares ANTI JOIN {kind}_mistaken USING (doc_id, template, number) WHERE containment >= {CONTAINED}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, number, template) = 1)"""
+
+    return f"WITH {part('text', list(TEXTS.items()), plain)}, {part('notice', notice_templates(), marked)} SELECT * FROM text_found UNION ALL SELECT * FROM notice_found"
 
 
 ORACLES: dict[str, str] = {

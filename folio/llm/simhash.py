@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components, spanning
 from folio.llm.encoding import slices
-from folio.llm.rows import numbered, spread_join, without_rows
+from folio.llm.rows import numbered, without_rows
 from folio.llm.shingles import majority_bits, shingle_hashes
+from folio.llm.spread import spread_join
 from folio.storage import cut
 
 #: Fingerprints that share one variant before it is dealt out in blocks.

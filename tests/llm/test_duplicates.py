@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from brute import fingerprint, near_pairs, normal, roots
 
-from folio.llm import exact_dedup, simhash
+from folio.llm import exact_dedup, simhash, spread
 from folio.llm import rows as rows_of_tables
 from folio.llm.components import components, spanning
 
@@ -63,7 +63,7 @@ def test_exact_odd(odd, none):
 
 
 def test_hot_keys_give_the_same_rows(spark, copies, near, monkeypatch):
-    monkeypatch.setattr(rows_of_tables, "LEAST_HOT", 1)
+    monkeypatch.setattr(spread, "LEAST_HOT", 1)
     want, _ = _exact(copies.collect())
     got = exact_dedup.deduplicate(copies).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want

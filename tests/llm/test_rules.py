@@ -8,6 +8,8 @@ import re
 from brute import base, words
 
 from folio.llm import license_scan, quality_rules
+from folio.llm.license_texts import TEXTS
+from folio.llm.queries import ORACLES
 
 
 def test_base_counts(odd, none):
@@ -47,21 +49,94 @@ def test_licenses(spark, none):
     filler = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
     docs, planted = [], set()
     for i in range(150):
-        name = rnd.choice(list(license_scan.TEMPLATES))
-        body = license_scan.TEMPLATES[name].split()
+        name = rnd.choice(list(TEXTS))
+        body = TEXTS[name].split()
         if i % 3 == 0:
             docs.append((i, filler(60)))
             continue
-        if len(body) > 60 and i % 3 == 1:
+        if len(body) > 100 and i % 3 == 1:
             body[len(body) // 2] = "changed"  # five of many shingles go
         docs.append((i, filler(rnd.randint(0, 80)) + "\n" + " ".join(body).upper() + "\n" + filler(rnd.randint(0, 80))))
         planted.add((i, name))
     df = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(df).collect()}
-    assert planted <= set(got)
+    got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(df).collect() if r.kind == "text"}
+    assert planted == set(got)  # each license, and no sibling of it
     texts = dict(docs)
     for (i, name), r in got.items():
-        template = set(_shingles(license_scan.TEMPLATES[name]))
+        template = set(_shingles(TEXTS[name]))
         assert len(template & set(_shingles(texts[i]))) / len(template) >= r.containment - 1e-4 >= 0.7999
     assert license_scan.scan_licenses(none).count() == 0
     assert words("a b") == ["a", "b"]
+
+
+def test_licenses_of_odd_rows(odd):
+    assert license_scan.scan_licenses(odd).count() == 0
+    docs = odd.select("doc_id", "row").selectExpr("*", "'Released under the MIT License.' AS text")
+    assert license_scan.scan_licenses(docs).count() == docs.count()  # repeated rows and null doc_ids too
+
+
+def test_siblings_are_told_apart(spark):
+    """Invented files with the notices of related licenses, wrapped, commented and among other words."""
+    header = lambda name: "\n".join(f" * {line}" for line in re.findall(r".{1,60}(?:\s|$)", TEXTS[name]))
+    names = ["gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "mit", "bsl-1.0", "apache-2.0"]
+    docs = [(i, f"Some tool\nCopyright 2020 A. Person\n{header(name)}\nint main() {{}}") for i, name in enumerate(names)]
+    short_bsd2 = TEXTS["bsd-2-clause"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "AUTHOR")
+    docs.append((100, short_bsd2))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.kind == "text"}
+    assert got == {(i, name) for i, name in enumerate(names)} | {(100, "bsd-2-clause")}
+
+
+def test_notices_are_sentences_of_their_own(spark):
+    rows = [
+        ("Released under the MIT License.", {"mit"}), ("A tool. Released under the MIT license!\nMore.", {"mit"}), ("This is not released under the MIT License.", set()),
+        ("Never released under the MIT License, says the author.", set()), ("x\nLicensed under CC BY-NC 4.0.\ny", {"cc-by-nc-4.0"}), ("Licensed under CC BY 4.0.", {"cc-by-4.0"}), ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl-3.0"}), ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}), ("Licensed under the Apache License, Version 2.0.", {"apache-2.0"}), ("Licensed under the Mozilla Public License, version 2.0.", {"mpl-2.0"}),
+        ("A license is a permission.", set()),
+    ]
+    found = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    for i, (_, want) in enumerate(rows):
+        assert {r.license for r in found if r.doc_id == i} == want
+
+
+def test_every_template_tells_itself_from_every_other():
+    sets = {k: set(_shingles(v)) for k, v in TEXTS.items()}
+    for name, own in sets.items():
+        assert len(own) > 5 and all(own - theirs for k, theirs in sets.items() if k != name)
+    assert all(license_scan.SPEAKS in v.lower() for _, v in license_scan.notice_templates())
+
+
+def test_sql_of_siblings(spark):
+    """The SQL over all templates, each in a file of its own, gives the operator's rows."""
+    import duckdb
+
+    rows = [(i, f"head words\n{v}\ntail words here") for i, v in enumerate([*TEXTS.values(), *(v for _, v in license_scan.notice_templates())])]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = connection.sql(ORACLES["op5_license_bands"]).df()
+    plain = lambda frame: sorted(map(tuple, frame[sorted(frame.columns)].astype(str).values.tolist()))
+    assert plain(got) == plain(want) and len(got) >= len(rows)
+
+
+def test_lines_beyond_the_broadcast(spark, odd, none, monkeypatch):
+    """More frequent lines than may be sent to all tasks, and lines that a large share of all rows has: the same rows."""
+    from folio.llm import spread
+
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"Shared LINE of the host \n{own(i)}\n\nother line {i % 3}", "a") for i in range(60)] + [(100, None, None), (100, None, None), (101, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(odd.select("doc_id", "text", "source"))
+    want = sorted(map(str, quality_rules.quality_rules(docs).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(spread, "LEAST_HOT", 3)
+    assert sorted(map(str, quality_rules.quality_rules(docs).collect())) == want
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_long_lines_of_very_many_documents(spark):
+    """On a large host a share says little: a long line goes from a number of documents on."""
+    rows = [(i, f"{'This very line stands in many of the documents here' if i < 30 else 'x'}\nown{i} words of document {i}", "a") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed_lines for r in quality_rules.quality_rules(docs, always_docs=25).collect()}
+    assert got[0] == 1 and quality_rules.quality_rules(docs).where("doc_id = 0").first().n_removed_lines == 0
