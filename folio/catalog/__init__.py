@@ -30,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql_tokens(text: str) -> str:
     """The SQL of ``folio.functions.text.tokens``."""
-    return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    plain = rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    apart = rf"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '([一-鿿]+)', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    paired = f"flatten(list_transform({apart}, lambda t: CASE WHEN regexp_matches(t, '^[一-鿿]{{3,}}$') THEN list_transform(range(1, length(t)), lambda i: t[i:i + 1]) ELSE [t] END))"
+    return f"CASE WHEN regexp_matches(lower({text}), '[一-鿿]') THEN {paired} ELSE {plain} END"
 
 
 def load_all() -> None:

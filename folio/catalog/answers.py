@@ -36,15 +36,16 @@ def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.history_lines(table(spark, sf_dir, "conversations"))
 
 
-@query("""SELECT doc_id % 10 AS query, string_agg('### [' || rank || '] ' || source || '（修改于 2026-01-0' || (1 + doc_id % 3) || '）' || chr(10) || left(text, 20), chr(10) || chr(10) ORDER BY rank) AS context
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5 GROUP BY doc_id % 10""")
+@query("""SELECT doc_id // 10 AS query, string_agg('### [' || rank || '] ' || source || '（修改于 2026-01-0' || (1 + doc_id % 3) || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS rank FROM documents) GROUP BY doc_id // 10""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents' whole texts as the context of each question."""
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").withColumn("query", F.col("doc_id") % 10)
-    docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id"))).where("rank <= 5")
+    docs = table(spark, sf_dir, "documents").withColumn("query", F.floor(F.col("doc_id") / 10))
+    docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id")))
     first = F.lit(1767225600)  # the first of January 2026
-    return answers.context_block(docs.select("query", "rank", F.col("source").alias("title"), (first + 86400 * (F.col("doc_id") % 3)).alias("mtime"), F.left("text", F.lit(20)).alias("content")))
+    return answers.context_block(docs.select("query", "rank", F.col("source").alias("title"), (first + 86400 * (F.col("doc_id") % 3)).alias("mtime"), F.col("text").alias("content")))
 
 
 @query("""SELECT * FROM (VALUES (1, 'obsidian://open?vault=My%20Notes&file=a%2Fb%20c', '1a-ff', '[x](http://h/assets/1)')) v(id, link, tag, url)""")

@@ -8,66 +8,71 @@ from pyspark.sql import functions as F
 from folio.catalog import query, table
 from folio.functions import html as H
 from folio.operators import graph
+from folio.storage import cut
 
-VAULT = """(VALUES ('a.md', 'A', 'B|C|A', ''), ('b.md', 'B', 'c|ghost', 'bee'), ('c.md', 'C', '', 'See|sea'), ('d/e.md', 'Echo', 'SEA|e|bee|Ghost', '')) v(filepath, title, links, names)"""
+_SQL_TITLE = "coalesce({}, {})".format(*(rf"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>', 1), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')" for tag in ("title", "h1")))
+_GRAPH = rf"""
+links AS (SELECT DISTINCT 'p' || page_id || '.html' AS src, ltrim(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1)), '/') AS link FROM pages),
+titled AS MATERIALIZED (SELECT 'p' || page_id || '.html' AS dst, {_SQL_TITLE} AS title FROM pages),
+names AS (SELECT key, arg_min(dst, (level, dst)) AS dst FROM (
+  SELECT lower(title) AS key, 1 AS level, dst FROM titled UNION ALL SELECT lower(replace(dst, '.html', '')), 2, dst FROM titled
+  UNION ALL SELECT lower(unnest(list_filter(str_split(title, ' '), lambda x: x <> ''))), 3, dst FROM titled) WHERE key IS NOT NULL GROUP BY key),
+edges AS MATERIALIZED (SELECT DISTINCT src, coalesce(dst, '[[' || link || ']]') AS dst, dst IS NULL AS is_stub FROM links LEFT JOIN names ON key = lower(trim(link)) WHERE src <> coalesce(dst, '[[' || link || ']]'))"""
 
 
-def _vault(spark: SparkSession) -> DataFrame:
-    split = lambda c: F.array_remove(F.split(c, r"\|"), "")
-    return spark.sql("SELECT * FROM " + VAULT).select("filepath", "title", split("links").alias("wikilinks"), split("names").alias("aliases"))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages by the rules of notes: a link is another page's title, its name, or a word of its title."""
+    html = F.col("html")
+    name = F.concat(F.lit("p"), "page_id", F.lit(".html"))
+    pages = table(spark, sf_dir, "pages").select(name.alias("filepath"), H.title(html, F.col("url")).alias("title"), F.transform(H.hrefs(html), lambda x: F.ltrim(x, F.lit("/"))).alias("wikilinks"))
+    return graph.resolve_links(pages.withColumn("aliases", F.array_remove(F.split("title", " "), "")))
 
 
-@query("""SELECT * FROM (VALUES ('a.md', 'b.md', false), ('a.md', 'c.md', false), ('b.md', 'c.md', false), ('b.md', '[[ghost]]', true),
-  ('d/e.md', 'c.md', false), ('d/e.md', 'b.md', false), ('d/e.md', '[[Ghost]]', true)) v(src, dst, is_stub)""")
+@query(f"WITH {_GRAPH} SELECT src, dst, is_stub FROM edges")
 def edges_resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.resolve_links(_vault(spark))
-
-
-_LINKS = r"""
-links AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
-edges AS (SELECT DISTINCT 'p' || page_id AS src, 'h' || (length(href) % 17) AS dst FROM links)"""
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(H.hrefs(F.col("html"))).alias("href"))
-    return links.select(F.concat(F.lit("p"), F.col("page_id")).alias("src"), F.concat(F.lit("h"), F.length("href") % 17).alias("dst")).distinct()
+    return _edges(spark, sf_dir)
 
 
-@query(f"""WITH {_LINKS} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
+@query(f"""WITH {_GRAPH} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
 FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node""")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(_edges(spark, sf_dir))
 
 
-_CHAIN = """
-e AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey % 200 AS src, (o_custkey * 7 + o_orderkey) % 200 AS dst FROM orders WHERE o_orderkey % 50 = 0) WHERE src <> dst),
-seeds AS (SELECT DISTINCT src AS seed FROM e WHERE src % 40 = 0)"""
+@query(f"""WITH {_GRAPH}, d AS (SELECT src AS node, count(*) AS n FROM edges GROUP BY src)
+SELECT (SELECT count(DISTINCT node) FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, node, n AS out_degree, rank
+FROM (SELECT *, row_number() OVER (ORDER BY n DESC, node)::INTEGER AS rank FROM d) WHERE rank <= 3""")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(_edges(spark, sf_dir))
+
+
+_SEEDED = f"""{_GRAPH}, e AS (SELECT src, dst FROM edges WHERE NOT is_stub), seeds AS (SELECT 'p' || page_id || '.html' AS seed FROM pages WHERE page_id % 100 = 0)"""
 
 
-def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    e = orders.select((F.col("o_custkey") % 200).alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 200).alias("dst")).where("src <> dst").distinct()
-    return e, e.where("src % 40 = 0").select(F.col("src").alias("seed")).distinct()
+def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links between pages, and as seeds the stated query set: pages with a number that 100 divides."""
+    seeds = table(spark, sf_dir, "pages").where("page_id % 100 = 0").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("seed"))
+    return _edges(spark, sf_dir).where("not is_stub").select("src", "dst"), seeds
 
 
-@query(f"""WITH {_CHAIN},
+@query(f"""WITH {_SEEDED},
 h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN e ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON src = node),
 h3 AS (SELECT DISTINCT seed, dst AS node FROM h2 JOIN e ON src = node),
 every AS (SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2 UNION ALL SELECT seed, node, 3 FROM h3)
 SELECT seed, node, min(hop) AS hop, 1 / pow(2.0, min(hop) - 1) AS decay FROM every WHERE node <> seed GROUP BY seed, node""")
 def bfs_expand_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, seeds = _chain(spark, sf_dir)
-    return graph.expand(e, seeds, 3)
+    e, seeds = _seeded(spark, sf_dir)
+    return graph.expand(cut(e, "edges"), seeds, 3)
 
 
-@query(f"""WITH {_CHAIN},
+@query(f"""WITH {_SEEDED},
 h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN e ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON src = node),
 r AS (SELECT seed, node, 1 / pow(2.0, min(hop) - 1) AS decay FROM (SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2) WHERE node <> seed GROUP BY seed, node),
-c AS (SELECT doc_id % 200 AS filepath, doc_id AS chunk_id FROM documents),
+c AS (SELECT 'p' || doc_id // 4 || '.html' AS filepath, doc_id AS chunk_id FROM documents),
 f AS (SELECT * FROM r WHERE node IN (SELECT filepath FROM c) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY decay DESC, node) <= 8)
 SELECT seed, filepath, chunk_id, round(decay * 0.1, 6) AS score FROM f JOIN c ON node = filepath
 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY decay DESC, filepath, chunk_id) <= 24""")
 def neighbor_chunks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, seeds = _chain(spark, sf_dir)
-    chunks = table(spark, sf_dir, "documents").select((F.col("doc_id") % 200).alias("filepath"), F.col("doc_id").alias("chunk_id"))
-    return graph.neighbour_chunks(graph.expand(e, seeds, 2), chunks).withColumn("score", F.round("score", 6))
+    e, seeds = _seeded(spark, sf_dir)
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 4), F.lit(".html")).alias("filepath"), F.col("doc_id").alias("chunk_id"))
+    return graph.neighbour_chunks(graph.expand(cut(e, "edges"), seeds, 2), chunks).withColumn("score", F.round("score", 6))

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.catalog import query, table
-from folio.operators import metrics
-
-_RANKED = """
-ranked AS (SELECT doc_id % 40 AS query, doc_id // 40 % 12 AS item, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-gold AS (SELECT DISTINCT doc_id % 40 AS query, doc_id // 40 % 12 AS item FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 3 = 0)"""
+from folio.catalog import query, sql_tokens, table
+from folio.functions.text import ngrams
+from folio.operators import bm25, metrics
+
+_RANKED = f"""
+tok AS MATERIALIZED (SELECT doc_id, {sql_tokens("text")} AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+post AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS token FROM tok) GROUP BY doc_id, token),
+raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY token), st),
+idf AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+asked AS (SELECT query, token, count(*) AS qtf FROM (SELECT item_id AS query, unnest({sql_tokens("text")}) AS token FROM benchmark) GROUP BY query, token),
+scored AS (SELECT query, post.doc_id AS item, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl))) AS score FROM asked JOIN idf USING (token) JOIN post USING (token) JOIN tok USING (doc_id), st GROUP BY query, post.doc_id),
+ranked AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, item) AS rank FROM scored QUALIFY rank <= 10),
+gold AS (SELECT item_id AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
+    """The ten best documents for each benchmark item, and the documents that hold its passage."""
+    from folio.catalog.retrieval import saved_index
 
-    docs = table(spark, sf_dir, "documents").withColumn("query", F.col("doc_id") % 40).withColumn("item", F.floor(F.col("doc_id") / 40) % 12)
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc_id")))
-    gold = docs.where("doc_id % 3 = 0").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
-    return ranked.select("query", "item", "rank"), gold.select("query", "item").distinct()
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    found = bm25.scores(saved_index(spark, sf_dir), bm25.query_tokens(asked)).withColumn("score", F.round("score", 6))
+    return bm25.top_k(found, 10).select("query", F.col("id").alias("item"), "rank"), gold_by_passage(spark, sf_dir).select(F.col("item_id").alias("query"), F.col("doc_id").alias("item"))
 
 
 def _at(k: int) -> str:
@@ -36,31 +44,47 @@ def mrr_recall_precision_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", *(F.round(c, 5).alias(c) for c in found.columns if c != "query"))
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def gold_by_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages are found by their first eight words, an equality join over the documents' eight-word windows, and then compared whole."""
-    from folio.functions.text import ngrams
+#: Passages of one block that texts are searched for directly.
+SHORT_BLOCK = 1000
+
+
+def passages_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents (doc_id, text) that hold a passage (item_id, text) letter for letter. Null texts hold and are nothing.
 
+    A passage's second to last but one words stand whole in any text that holds it, so up to eight of them (as many as the largest power of
+    two) are looked up by an equality join with the windows of all texts, read once, and passages found are compared whole.
+    Passages without such words are compared with each text, in blocks of a stated size."""
     words = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    # the second to ninth words are whole wherever the passage stands inside a longer word run
-    keyed = asked.select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, F.greatest(F.lit(1), F.least(F.lit(8), F.size("w") - 2))), " ")).alias("key"), F.greatest(F.lit(1), F.least(F.lit(8), F.size("w") - 2)).alias("n"))
-    sizes = [r.n for r in keyed.select("n").distinct().collect()]
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
-    hit = None
-    for n in sizes:
-        grams = docs.select("doc_id", F.explode(F.transform(ngrams(F.col("w"), n), lambda g: F.xxhash64(g))).alias("key"))
-        found = grams.join(keyed.where(F.col("n") == n).select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-        hit = found if hit is None else hit.unionByName(found)
-    checked = hit.join(asked.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
-    return checked.select("item_id", "doc_id")
+    asked = passages.where("text is not null").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    inner = F.size("w") - 2
+    width = F.when(inner >= 8, 8).when(inner >= 4, 4).when(inner >= 2, 2).otherwise(1)
+    keyed = asked.where(inner >= 1).select("item_id", F.xxhash64(F.array_join(F.slice("w", F.lit(2), width), " ")).alias("key"))
+    texts = docs.where("text is not null").select("doc_id", "text")
+    w = words(F.col("text"))
+    grams = texts.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(F.transform(ngrams(F.col("w"), n), lambda g: F.xxhash64(g)) for n in (1, 2, 4, 8)))))).alias("key"))
+    hit = grams.join(keyed, "key").select("doc_id", "item_id").distinct()
+    found = hit.join(asked.select("item_id", "passage"), "item_id").join(texts, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    short = asked.where(inner < 1)
+    for block in range(-(-short.count() // SHORT_BLOCK)):
+        n = short.count()
+        mine = short.where(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // SHORT_BLOCK))) == block).agg(F.collect_list(F.struct("item_id", "passage")).alias("some"))
+        held = texts.crossJoin(F.broadcast(mine)).select("doc_id", F.explode(F.filter("some", lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"))  # one row
+        found = found.unionByName(held.select("p.item_id", "doc_id"))
+    return found
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def gold_by_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages_in(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
-_PAIRS = "pairs AS (SELECT doc_id AS pair, left(text, 200) AS candidate, substring(text, 101, 200) AS reference FROM documents)"
+_PAIRS = "pairs AS (SELECT a.doc_id AS pair, a.text AS candidate, b.text AS reference FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), F.left("text", F.lit(200)).alias("candidate"), F.substring("text", 101, 200).alias("reference"))
+    """Each document's whole text with that of the next one."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("pair"), F.col("text").alias("candidate")).join(docs.select((F.col("doc_id") - 1).alias("pair"), F.col("text").alias("reference")), "pair")
 
 
 def _words(side: str) -> str:

@@ -70,11 +70,11 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT vec_id AS ask_id, label % 3 AS ctx, embedding AS e, vec_id * 10.0 AS t FROM embeddings WHERE vec_id % 5 = 0), c AS (SELECT vec_id AS entry_id, label % 3 AS ctx, embedding AS e, vec_id * 10.0 AS ts FROM embeddings WHERE vec_id % 5 <> 0),
+WITH a AS (SELECT vec_id AS ask_id, label % 3 AS ctx, embedding AS e, vec_id * 10.0 AS t FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS entry_id, label % 3 AS ctx, embedding AS e, vec_id * 10.0 + 5 AS ts FROM embeddings),
 s AS (SELECT ask_id, entry_id, list_cosine_similarity(a.e::DOUBLE[], c.e::DOUBLE[]) AS similarity FROM a JOIN c ON a.ctx = c.ctx AND ts <= t AND t - ts <= 3600)
 SELECT ask_id, entry_id, round(similarity, 5) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY ask_id ORDER BY similarity DESC, entry_id) = 1""")
 def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("ctx_key", F.col("label") % 3).withColumn("time", F.col("vec_id") * 10.0)
-    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("ask_id"), "ctx_key", "embedding", F.col("time").alias("at"))
-    entries = vectors.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("entry_id"), "ctx_key", "embedding", F.col("time").alias("ts"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("ask_id"), "ctx_key", "embedding", F.col("time").alias("at"))
+    entries = vectors.select(F.col("vec_id").alias("entry_id"), "ctx_key", "embedding", (F.col("time") + 5).alias("ts"))
     return state.cache_lookup(asked, entries, 0.3).withColumn("similarity", F.round("similarity", 5))

@@ -30,7 +30,7 @@ def _notes(spark: SparkSession) -> DataFrame:
 
 @query("""
 SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS filepath, n_chars, source || ' › 《' || title || '》' AS prefix
-FROM (SELECT *, trim(left(str_split(text, chr(10))[1], 40)) AS title FROM documents)
+FROM (SELECT *, trim(str_split(text, chr(10))[1]) AS title FROM documents)
 WHERE lang = 'fr' AND n_chars >= 500""")
 def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang = 'fr' and n_chars >= 500")

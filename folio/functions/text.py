@@ -24,15 +24,22 @@ INJECTION = (
     r"forget\s+(all\s+)?(previous|prior|above)\s+(instructions|rules)",
 )
 REDACTED = "[已屏蔽：疑似注入指令]"
+# Marks of Markdown notes.
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 HEADING = r"^(#{1,6})\s+(.+)$"
 FRONT_MATTER = r"^---\s*\n([\s\S]*?)\n---"
 NO_HEADING = "无标题"
+#: A Chinese character.
+HAN = r"[\x{4e00}-\x{9fff}]"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case. Chinese is not segmented: a run is one token."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits in lower case. A run of Chinese characters counts as its pairs of neighbours, since no dictionary parts its words."""
+    low = F.lower(text)
+    plain = F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), "")
+    apart = F.array_remove(F.split(F.regexp_replace(low, f"({HAN}+)", " $1 "), r"[^\p{L}\p{N}]+"), "")
+    paired = F.flatten(F.transform(apart, lambda t: F.when(t.rlike(f"^{HAN}{{3,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array(t))))
+    return F.when(low.rlike(HAN), paired).otherwise(plain)
 
 
 def squeeze(text: Column) -> Column:
@@ -67,18 +74,37 @@ def headings(text: Column) -> Column:
 
 def front_matter(text: Column) -> Column:
     """The block between the leading dashes; empty if there is none."""
-    return F.regexp_extract(text, FRONT_MATTER, 1)
+    return F.regexp_extract(F.regexp_replace(text, "\r\n", "\n"), FRONT_MATTER, 1)
+
+
+def _entry(text: Column, key: str) -> Column:
+    """What stands behind a top-level key, with the indented, listed and blank lines that go on from it."""
+    return F.regexp_extract(front_matter(text), rf"(?m)^{key}:[ \t]*((?:.*)(?:\n(?:[ \t]+.*|-[ \t].*|[ \t]*$))*)", 1)
+
+
+def _yaml_scalar(raw: Column) -> Column:
+    """A plain or quoted scalar without its comment."""
+    double, single = r'^\s*"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$', r"^\s*'((?:[^']|'')*)'\s*(?:#.*)?$"
+    unescaped = F.regexp_replace(F.regexp_extract(raw, double, 1), r"\\(.)", "$1")
+    plain = F.trim(F.regexp_replace(raw, r"(^|\s)#.*$", ""))
+    return F.when(raw.rlike(double), unescaped).when(raw.rlike(single), F.replace(F.regexp_extract(raw, single, 1), F.lit("''"), F.lit("'"))).otherwise(plain)
 
 
 def front_matter_value(text: Column, key: str) -> Column:
-    """A scalar of the front matter, or null."""
-    return F.nullif(F.trim(F.regexp_extract(front_matter(text), rf"(?m)^{key}:[ \t]*(.*)$", 1)), F.lit(""))
+    """A scalar of the front matter, or null: plain, quoted, over several lines, or a block (``|`` keeps lines, ``>`` joins them)."""
+    entry = _entry(text, key)
+    block = F.trim(F.regexp_replace(F.regexp_replace(entry, r"^[|>][+-]?[ \t]*\n[ \t]*", ""), r"\s+$", ""))
+    value = F.when(entry.rlike(r"^\|[+-]?[ \t]*\n"), F.regexp_replace(block, r"\n[ \t]+", "\n")).when(entry.rlike(r"^>[+-]?[ \t]*\n"), F.regexp_replace(block, r"\s*\n\s*", " "))
+    value = value.otherwise(_yaml_scalar(F.regexp_replace(F.regexp_replace(entry, r"(?m)[ \t]+#.*$", ""), r"\s*\n\s*", " ")))
+    return F.when(~value.isin("", "~", "null"), value)
 
 
 def front_matter_list(text: Column, key: str) -> Column:
-    """A flow list ``[a, b]`` of the front matter; anything else gives an empty list."""
-    inner = F.regexp_extract(front_matter(text), rf"(?m)^{key}:[ \t]*\[(.*)\][ \t]*$", 1)
-    return F.array_remove(F.transform(F.split(inner, ","), lambda x: F.trim(x)), "")
+    """A list of the front matter, in brackets or with a dash a line; anything else gives an empty list."""
+    entry = _entry(text, key)
+    flow = F.split(F.regexp_extract(entry, r"^\[([\s\S]*)\]\s*(?:#.*)?$", 1), r""",(?=(?:[^"']|"[^"]*"|'[^']*')*$)""")
+    dashed = F.when(entry.rlike(r"^(?:#.*)?\n\s*-[ \t]"), F.regexp_extract_all(entry, F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.transform(F.when(entry.startswith("["), flow).otherwise(dashed), _yaml_scalar), "")
 
 
 def without_front_matter(text: Column) -> Column:

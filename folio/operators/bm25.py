@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import tokens
@@ -26,6 +26,17 @@ class Index:
     vocabulary: DataFrame
     stats: DataFrame
 
+    def save(self, path: str) -> None:
+        """Writes the index to a folder that doesn't exist yet; postings are sorted by token within files, so that a search reads few row groups."""
+        self.postings.repartition("token").sortWithinPartitions("token").write.parquet(f"{path}/postings")
+        self.vocabulary.write.parquet(f"{path}/vocabulary")
+        self.stats.write.parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``Index.save`` wrote."""
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats")))
+
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)

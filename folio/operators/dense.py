@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.vectors import cosine
 from folio.operators.bm25 import top_k
+from folio.storage import new_folder, open_fs
 
-#: Query vectors that one pass compares with the table; more are taken in further passes.
-QUERY_BLOCK = 1024
+#: Query vectors that are multiplied at once, and blocks of them that one pass over the table takes.
+QUERY_BLOCK, PASS_BLOCKS = 1024, 16
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -29,44 +33,74 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, where: Column | None =
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """(query, id, similarity, rank): the k most similar rows of ``vectors`` to each row of ``queries``.
+    """(query, id, similarity, rank): the k most similar rows of ``vectors`` to each row of ``queries``. Rows and queries without an id or a vector take no part.
 
-    Queries are taken in blocks of ``QUERY_BLOCK``, whose size is known; each task multiplies a block by its rows and keeps
-    the k best of each query, so that k rows a task and query are shuffled and no table of pairs is made."""
-    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector_col).alias("v")).where("q is not null and v is not null")
+    Tasks write the queries in blocks of ``QUERY_BLOCK`` to the shared folder; the driver only has the blocks' names. Each task reads block after
+    block, multiplies it by its rows and keeps the k best of each query, so that k rows a task and query are shuffled and no table of pairs is
+    made. A pass over ``vectors`` takes ``PASS_BLOCKS`` blocks, which bounds what a task keeps."""
+    paths = _write_blocks(queries, id_col, vector_col)
+    rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
     out = None
-    blocks = [[]]
-    for row in asked.orderBy("q").toLocalIterator():
-        if len(blocks[-1]) >= QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append(row)
-    for block in blocks:
-        if not block and len(blocks) > 1:
-            continue
-        ids = np.array([r.q for r in block], np.int64)
-        matrix = _unit(np.array([r.v for r in block], np.float64)) if block else np.zeros((0, 1))
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for first in range(0, max(1, len(paths)), PASS_BLOCKS):
+
+        def run(batches: Iterator[pa.RecordBatch], mine: list[str] = paths[first : first + PASS_BLOCKS]) -> Iterator[pa.RecordBatch]:
+            found: dict[str, list[np.ndarray]] = {}
             for batch in batches:
-                for at in range(0, batch.num_rows if len(ids) else 0, 4096):
-                    some = batch.slice(at, 4096)
-                    own = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    similarity = matrix @ _unit(np.stack([np.asarray(v.as_py(), np.float64) for v in some.column(1)])).T
-                    if exclude_self:
-                        similarity[ids[:, None] == own] = -np.inf
-                    least = max(0, len(own) - k)
-                    enough = np.partition(similarity, least, axis=1)[:, least, None]  # the k-th best of these rows; ties with it stay for now
-                    q, r = np.nonzero((similarity >= enough) & (similarity > -np.inf))
-                    found = _best([np.concatenate(x) for x in zip(found, (ids[q], own[r], similarity[q, r]), strict=True)], k)
-            yield pa.record_batch([pa.array(x) for x in found], names=["query", "id", "similarity"])
-
-        rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-        found = rows.mapInArrow(run, "query long, id long, similarity double")
-        out = found if out is None else out.unionByName(found)
+                for at in range(0, batch.num_rows, 16_384):
+                    own, unit = batch.column(0).slice(at, 16_384).to_numpy(), _unit(_rows_of(batch.column(1).slice(at, 16_384)))
+                    for path in mine:
+                        ids, matrix = _read_block(path)
+                        similarity = matrix @ unit.T
+                        if exclude_self:
+                            similarity[ids[:, None] == own] = -np.inf
+                        least = max(0, len(own) - k)
+                        enough = np.partition(similarity, least, axis=1)[:, least, None]  # the k-th best of these rows; ties with it stay for now
+                        q, r = np.nonzero((similarity >= enough) & (similarity > -np.inf))
+                        fresh = (ids[q], own[r], similarity[q, r])
+                        found[path] = _best([np.concatenate(x) for x in zip(found[path], fresh, strict=True)] if path in found else list(fresh), k)
+            for some in found.values():
+                yield pa.record_batch([pa.array(x) for x in some], names=["query", "id", "similarity"])
+
+        passed = rows.mapInArrow(run, "query long, id long, similarity double")
+        out = passed if out is None else out.unionByName(passed)
     return top_k(out, k, by="similarity")
 
 
+def _write_blocks(queries: DataFrame, id_col: str, vector_col: str) -> list[str]:
+    """Paths of files of at most QUERY_BLOCK queries each: ids, then unit vectors, as numpy arrays."""
+    folder = new_folder(queries.sparkSession, "query-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, n = TaskContext.get().taskAttemptId(), 0  # a repeated task writes files of its own
+        fs, inner = open_fs(folder)
+        fs.create_dir(inner, recursive=True)
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                content = io.BytesIO()
+                np.save(content, batch.column(0).slice(at, QUERY_BLOCK).to_numpy())
+                np.save(content, _unit(_rows_of(batch.column(1).slice(at, QUERY_BLOCK))))
+                with fs.open_output_stream(f"{inner}/{attempt}-{n}.npy") as out:
+                    out.write(content.getvalue())
+                yield pa.record_batch([pa.array([f"{folder}/{attempt}-{n}.npy"])], names=["path"])
+                n += 1
+
+    asked = queries.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    return [r.path for r in asked.mapInArrow(run, "path string").collect()]
+
+
+@functools.lru_cache(maxsize=32)
+def _read_block(path: str) -> tuple[np.ndarray, np.ndarray]:
+    fs, inner = open_fs(path)
+    with fs.open_input_stream(inner) as stream:
+        content = io.BytesIO(stream.read())
+    return np.load(content), np.load(content)
+
+
+def _rows_of(column: pa.ListArray) -> np.ndarray:
+    """A column of lists of one length as a matrix, without a Python object a row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Of (query, id, similarity) the k most similar of each query, ties by id."""
     order = np.lexsort((found[1], -found[2], found[0]))

@@ -33,6 +33,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def summary(edges: DataFrame, most: int = 3) -> DataFrame:
+    """(n_nodes, n_edges, node, out_degree, rank): the sizes of a graph, beside each of the ``most`` nodes with the most links out."""
+    found = cut(degrees(edges), "degrees")
+    sizes = found.agg(F.count("*").alias("n_nodes"), F.sum("out_degree").alias("n_edges"))
+    best = found.where("out_degree > 0").orderBy(F.desc("out_degree"), "node").limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("out_degree"), "node"))).crossJoin(F.broadcast(sizes)).select("n_nodes", "n_edges", "node", "out_degree", "rank")  # one row
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, node, hop, decay): what each seed reaches along edges, at its least hop, with decay 1 / 2 ** (hop - 1).
 

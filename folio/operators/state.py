@@ -75,8 +75,13 @@ def rolling_summary(turns: DataFrame, cost: Column, budget: int = 3000, keep: in
 def cache_lookup(asked: DataFrame, entries: DataFrame, likeness: float = CACHE_LIKENESS, ttl: float = CACHE_TTL) -> DataFrame:
     """(ask_id, entry_id, similarity): of each question the most similar entry of its context that is young enough and similar enough; ties by id.
 
-    asked: ask_id, ctx_key, embedding, at. entries: entry_id, ctx_key, embedding, ts."""
-    pairs = asked.alias("a").join(entries.alias("e"), (F.col("a.ctx_key") == F.col("e.ctx_key")) & (F.col("e.ts") <= F.col("a.at")) & (F.col("a.at") - F.col("e.ts") <= ttl))
+    asked: ask_id, ctx_key, embedding, at. entries: entry_id, ctx_key, embedding, ts. Times are dealt in buckets as long as the time to live, so
+    a question only meets its context's entries of its own bucket and the one before, and a busy context is spread over its buckets."""
+    bucket = lambda at: F.floor(at / F.lit(ttl))
+    asked = asked.withColumn("__bucket", F.explode(F.array(bucket(F.col("at")), bucket(F.col("at")) - 1)))
+    entries = entries.withColumn("__bucket", bucket(F.col("ts")))
+    same = (F.col("a.ctx_key") == F.col("e.ctx_key")) & (F.col("a.__bucket") == F.col("e.__bucket"))
+    pairs = asked.alias("a").join(entries.alias("e"), same & (F.col("e.ts") <= F.col("a.at")) & (F.col("a.at") - F.col("e.ts") <= ttl))
     scored = pairs.select("a.ask_id", "e.entry_id", cosine(F.col("a.embedding"), F.col("e.embedding")).alias("similarity")).where(F.col("similarity") >= likeness)
     return scored.groupBy("ask_id").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct(-F.col("similarity"), F.col("entry_id"))).alias("b")).select("ask_id", "b.entry_id", "b.similarity")
 

@@ -58,7 +58,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """The note columns of a plain documents table: the source is the directory, the language a tag, the first line the title."""
-    first = F.trim(F.left(F.get(F.split("text", "\n"), F.lit(0)), F.lit(40)))
+    first = F.trim(F.get(F.split("text", "\n"), F.lit(0)))
     return docs.select("doc_id", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".md"))).alias("filepath"), F.col("source").alias("dir"), first.alias("title"), F.array("lang").alias("tags"), "text")
 
 
