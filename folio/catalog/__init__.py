@@ -37,4 +37,4 @@ def sql_tokens(text: str) -> str:
 
 
 def load_all() -> None:
-    from folio.catalog import answers, context, graph, guard, metrics, pages, relational, retrieval, splitting, state, streams, texts  # noqa: F401
+    from folio.catalog import answers, context, graph, guard, metrics, more, pages, relational, retrieval, splitting, state, streams, texts  # noqa: F401

@@ -44,6 +44,13 @@ def mrr_recall_precision_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", *(F.round(c, 5).alias(c) for c in found.columns if c != "query"))
 
 
+@query(f"""WITH {_RANKED}, f AS (SELECT query, item, rank FROM ranked), s AS (SELECT query, count(*) AS n_seen FROM f GROUP BY query), h AS (SELECT query, count(*) FILTER (rank <= 5) AS hits FROM f JOIN gold USING (query, item) GROUP BY query)
+SELECT query, round(coalesce(hits, 0) / greatest(1, least(5, n_seen)), 5) AS precision_5 FROM s LEFT JOIN h USING (query)""")
+def precision_by_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.ranking_metrics(*_ranked(spark, sf_dir), ks=(5,), by_shown=True)
+    return found.join(_ranked(spark, sf_dir)[0].select("query").distinct(), "query", "left_semi").select("query", F.round("precision_5", 5).alias("precision_5"))
+
+
 #: Passages of one block that texts are searched for directly.
 SHORT_BLOCK = 1000
 

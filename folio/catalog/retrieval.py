@@ -49,7 +49,7 @@ sparse_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query OR
 
 def _scored(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     found = bm25.scores(saved_index(spark, sf_dir), bm25.query_tokens(questions(spark, sf_dir)))
-    return top_k(found.withColumn("score", F.round("score", 6)), k)
+    return top_k(found.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6)), k)
 
 
 _HAN_SQL = "(SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '检索评测指标与向量检索' WHEN 1 THEN '评测指标 recall@k 的含义' WHEN 2 THEN '知识图谱扩展检索' ELSE '' END AS text FROM documents)"
@@ -64,12 +64,12 @@ def bm25_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), line).alias("text"))
     asked = spark.sql("SELECT 0L AS query, '评测指标' AS text")
     found = bm25.scores(bm25.build_index(docs), bm25.query_tokens(asked))
-    return top_k(found.withColumn("score", F.round("score", 6)), 10).select("id", F.round("score", 4).alias("score"), "rank")
+    return top_k(found.withColumn("key", F.round("score", 6)), 10, by="key").select("id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_bm25_sql(10)} SELECT query, id, round(score, 4) AS score, rank::INTEGER AS rank FROM sparse_top")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, 10).select("query", "id", F.round("score", 4).alias("score"), "rank")
+    return _scored(spark, sf_dir, 10).select("query", "id", F.round("exact", 4).alias("score"), "rank")
 
 
 _KNN_SQL = """

@@ -44,13 +44,33 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(max(epoch(ts)), 3) AS last FROM events GROUP BY user_id")
 def stream_stateful_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.run_to_end(S.running_counts(_stream(spark, sf_dir)), "update").withColumn("last", F.round("last", 3))
+    return S.run_to_end(S.running_counts(_stream(spark, sf_dir)), "complete").withColumn("last", F.round("last", 3))
 
 
 @query("SELECT 'u' || user_id AS path, last(event_type ORDER BY ts, event_type) AS op, count(*) AS n FROM events GROUP BY user_id")
 def stream_debounce_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("op"), "ts")
-    return S.debounced(changes).select("path", "op", "n")
+    changes = _stream(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("op"), "ts")
+    return S.run_to_end(S.debounced(changes), "complete").select("path", "op", "n")
+
+
+@query("""
+WITH e AS (SELECT user_id AS ctx_key, event_id, epoch(ts) AS t, CASE WHEN event_type = 'purchase' THEN 'put' ELSE 'get' END AS kind, 'q' || (event_id % 3) AS question FROM events),
+p AS (SELECT *, max(CASE WHEN kind = 'put' THEN t END) OVER (PARTITION BY ctx_key, question ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS put_at FROM e)
+SELECT ctx_key, event_id, coalesce(t - put_at <= 86400, false) AS hit FROM p WHERE kind = 'get'""")
+def stream_cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases put a question of their user into a cache that keeps it for a day; other events ask for it."""
+    kind = F.when(F.col("event_type") == "purchase", "put").otherwise("get")
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("ctx_key"), "event_id", "ts", kind.alias("kind"), F.concat(F.lit("q"), F.col("event_id") % 3).alias("question"))
+    return S.run_to_end(S.cache_stream(rows, ttl=86_400.0))
+
+
+@query("""
+SELECT conv_id AS session, count(*) AS n, arg_max(CASE WHEN role = 'user' THEN left(text, 5) END, turn) FILTER (role = 'user') AS last_entity, arg_max(text LIKE '%?', turn) AS just_clarified FROM conversations GROUP BY conv_id""")
+def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet")
+    rows = turns.select(F.col("conv_id").alias("session"), "turn", F.timestamp_seconds(86_400 + 60 * F.col("turn")).alias("ts"), F.when(F.col("role") == "user", F.left("text", F.lit(5))).alias("entity"), F.col("text").endswith("?").alias("clarified"))
+    return S.run_to_end(S.session_stream(rows), "update", last_only=False)
 
 
 @query("""

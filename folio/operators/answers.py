@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +13,28 @@ MARK = r"\[\[IMG:([^\]\s]+)\]\]"
 PREVIEW, OBSERVATION, MOST_IMAGES = 200, 500, 4
 
 
-def json_block(text: Column) -> Column:
-    """The text from the first brace to the last, if that is JSON; else null."""
-    block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(block).isNotNull() & (block != ""), block)
+def json_block(text: Column, required: tuple[str, ...] = ()) -> Column:
+    """The first balanced JSON object in a text that has all ``required`` keys; else null."""
+
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def one(t: str | None) -> str | None:
+            at = (t or "").find("{")
+            while at >= 0:
+                try:
+                    value, end = decoder.raw_decode(t, at)
+                    if all(k in value for k in required):
+                        return t[at:end]
+                except ValueError:
+                    pass
+                at = t.find("{", at + 1)
+            return None
+
+        return texts.map(one)
+
+    return F.when(F.contains(text, F.lit("{")), find(text))
 
 
 def verdict(text: Column) -> Column:
@@ -92,3 +113,9 @@ def truncated(text: Column, most: int = OBSERVATION) -> Column:
 
 def etag(mtime: Column, size: Column) -> Column:
     return F.concat_ws("-", F.lower(F.hex(mtime.cast("long"))), F.lower(F.hex(size)))
+
+
+def should_clarify(verdict: Column, question: Column, confidence: Column, just_clarified: Column, threshold: float = 0.5, enabled: bool = True) -> Column:
+    """Whether to ask back: the judge wants it and words a question, the condensed question can't be trusted, and the last turn wasn't a question back."""
+    unsure = F.coalesce(confidence, F.lit(1.0)) < threshold
+    return F.lit(enabled) & (F.coalesce(verdict, F.lit("")) == "need_clarify") & (F.trim(F.coalesce(question, F.lit(""))) != "") & unsure & ~F.coalesce(just_clarified, F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,35 @@ def _number(content: Column, at: int, size: int, little: bool = False) -> Column
     return F.conv(digits, 16, 10).cast("long")
 
 
+@F.pandas_udf("width long, height long")
+def _jpeg(content: pd.Series) -> pd.DataFrame:
+    """Sizes from the frame header of JPEG files, which follows other segments of stated lengths."""
+
+    def one(data: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while data is not None and at + 9 <= len(data):
+            if data[at] != 0xFF:
+                at += 1
+            elif 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            else:
+                alone = data[at + 1] == 0xFF or 0xD0 <= data[at + 1] <= 0xD9
+                at += (1 if data[at + 1] == 0xFF else 2) if alone else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        return None, None
+
+    return pd.DataFrame([one(c) for c in content], columns=["width", "height"]).astype("Int64")
+
+
 def dimensions(content: Column) -> Column:
-    """struct<width, height> of PNG and GIF headers and of SVG attributes; nulls where they can't be told."""
+    """struct<width, height> of PNG, GIF and JPEG headers and of SVG attributes; nulls where they can't be told."""
     text = F.try_validate_utf8(F.substring(content, 1, 2048).cast("string"))
     side = lambda name: F.regexp_extract(text, rf'(?is)<svg[^>]*\s{name}\s*=\s*["\'](\d+)', 1).try_cast("long")
     kind = mime(content)
     low = lambda at: F.conv(F.concat(F.hex(F.substring(content, at + 1, 1)), F.hex(F.substring(content, at, 1))), 16, 10).cast("long")
     width = F.when(kind == "image/png", _number(content, 17, 4)).when(kind == "image/gif", low(7)).when(kind == "image/svg+xml", side("width"))
     height = F.when(kind == "image/png", _number(content, 21, 4)).when(kind == "image/gif", low(9)).when(kind == "image/svg+xml", side("height"))
-    return F.struct(width.alias("width"), height.alias("height"))
+    jpeg = F.when(kind == "image/jpeg", _jpeg(content))
+    return F.struct(F.coalesce(width, jpeg["width"]).alias("width"), F.coalesce(height, jpeg["height"]).alias("height"))
 
 
 def treatment(name: Column, kind: Column, width: Column, height: Column, size: Column) -> Column:

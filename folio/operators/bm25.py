@@ -76,6 +76,16 @@ def scores(index: Index, asked: DataFrame) -> DataFrame:
     return index.postings.join(weighted, "token").groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
+def with_zero_scores(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+    """Adds to ``scores`` (query, id, score) what queries with fewer than k hits need: the documents with the least ids that share no token, at 0.
+
+    Of any 2 * k ids at least k aren't among a query's fewer than k hits, so these few are enough for all queries."""
+    few = docs.select(F.col(id_col).alias("id")).distinct().orderBy("id").limit(2 * k)
+    short = queries.select("query").distinct().join(found.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
+    zeros = short.crossJoin(F.broadcast(few)).join(found.select("query", "id"), ["query", "id"], "left_anti")  # 2 * k rows
+    return found.select("query", "id", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
+
+
 def top_k(scored: DataFrame, k: int, *, by: str = "score", group: str | None = "query", tie: str = "id", ascending: bool = False) -> DataFrame:
     """The k best of each group with their rank, ties by id: a row_number bound that Catalyst pushes below the shuffle."""
     if k < 1:

@@ -70,3 +70,13 @@ def successors(edges: DataFrame, node: Column | str) -> DataFrame:
 
 def predecessors(edges: DataFrame, node: Column | str) -> DataFrame:
     return edges.where(F.col("dst") == node).select(F.col("src").alias("node"))
+
+
+def image_neighbours(hits: DataFrame, chunks: DataFrame, budget: int = 6) -> DataFrame:
+    """(query, chunk_id): text chunks that stand under the heading of an image that was hit, at most ``budget`` for each query, by id.
+
+    hits: query, chunk_id, kind, heading_path. chunks: chunk_id, kind, heading_path. Chunks that were hit themselves don't count."""
+    headings = hits.where("kind = 'image' and heading_path <> ''").select("query", "heading_path").distinct()
+    near = headings.join(chunks.where("kind <> 'image'"), "heading_path").join(hits.select("query", "chunk_id"), ["query", "chunk_id"], "left_anti").select("query", "chunk_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("chunk_id"))
+    return near.withColumn("n", nth).where(F.col("n") <= budget).drop("n")

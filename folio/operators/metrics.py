@@ -13,11 +13,11 @@ from pyspark.sql.types import DoubleType
 from folio.functions.text import ngrams
 
 
-def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (3, 5, 10), query: str = "query", item: str = "item") -> DataFrame:
+def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (3, 5, 10), query: str = "query", item: str = "item", by_shown: bool = False) -> DataFrame:
     """(query, mrr, and recall, precision and ndcg at each k) of every query that either side has.
 
     ranked: query, item, rank from 1. gold: query, item. An item counts at its first rank. Without gold and without results recall
-    is 1; without gold but with results, or the other way round, 0. Precision divides by k."""
+    is 1; without gold but with results, or the other way round, 0. Precision divides by k, or ``by_shown`` by how many of the first k there are, one at least."""
     if min(ks) < 1:
         raise ValueError("k must be at least 1")
     first = ranked.groupBy(query, item).agg(F.min("rank").alias("rank"))
@@ -34,7 +34,7 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (3,
     out = [F.col(query), F.col("mrr")]
     for k in ks:
         ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_gold").cast("int")))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-        out += [F.coalesce(empty, F.col(f"hits_{k}") / F.col("n_gold")).alias(f"recall_{k}"), (F.col(f"hits_{k}") / k).alias(f"precision_{k}"), F.coalesce(empty, F.col(f"dcg_{k}") / ideal).alias(f"ndcg_{k}")]
+        out += [F.coalesce(empty, F.col(f"hits_{k}") / F.col("n_gold")).alias(f"recall_{k}"), (F.col(f"hits_{k}") / (F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_seen"))) if by_shown else k)).alias(f"precision_{k}"), F.coalesce(empty, F.col(f"dcg_{k}") / ideal).alias(f"ndcg_{k}")]
     return found.select(*out)
 
 
@@ -135,3 +135,14 @@ def first_by_rank(ranked: DataFrame, query: str, item: str) -> DataFrame:
     """Each item once at its first rank, ranks closed up."""
     first = ranked.groupBy(query, item).agg(F.min("rank").alias("__r"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("__r", item))).drop("__r")
+
+
+def run_report(runs: DataFrame, group: str, ok: Column, latency: Column) -> DataFrame:
+    """(group, n, n_ok, ok_rate, latency): how many runs succeeded, and the mean latency of those that did, to four places; null where none did."""
+    counted = runs.groupBy(group).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.round(F.avg(F.when(ok, latency)), 4).alias("latency"))
+    return counted.select(group, "n", "n_ok", F.round(F.col("n_ok") / F.col("n"), 4).alias("ok_rate"), "latency")
+
+
+def unanswered(records: DataFrame, answer: str = "answer") -> DataFrame:
+    """Records without an answer: a run that has any is not to be compared with others."""
+    return records.where(F.trim(F.coalesce(answer, F.lit(""))) == "")

@@ -89,3 +89,10 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, likeness: float = CACHE_L
 def evict(entries: DataFrame, cap: int = CACHE_ENTRIES) -> DataFrame:
     """The newest entries up to the cap."""
     return entries.orderBy(F.desc("ts"), "entry_id").limit(cap)
+
+
+def cache_stats(asked: DataFrame, found: DataFrame, group: str = "ctx_key") -> DataFrame:
+    """(group, hits, misses, hit_rate) of questions (group, ask_id) and what ``cache_lookup`` found for them."""
+    joined = asked.select(group, "ask_id").join(found.select("ask_id", F.lit(1).alias("hit")), "ask_id", "left")
+    counted = joined.groupBy(group).agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    return counted.withColumn("hit_rate", F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 4))

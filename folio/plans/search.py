@@ -46,6 +46,16 @@ def hybrid_search(
     return pinned.select("query", "id", "rank", "score", "dense", "sparse", "structural", "content")
 
 
+def search_trace(chunks: DataFrame, queries: DataFrame, index: bm25.Index | None = None, per_side: int = PER_SIDE, fused: int = FUSED) -> DataFrame:
+    """(query, dense, sparse, both, merged, kept): how many hits each step of a search has for each query; 0 where a query has none."""
+    index = index or bm25.build_index(chunks, "id", "content")
+    sparse = top_k(bm25.scores(index, bm25.query_tokens(queries)), per_side).select("query", "id", F.lit(1).alias("s"))
+    near = dense.knn_join(chunks.select("id", "embedding"), queries.select(F.col("query").alias("id"), "embedding"), per_side, "id", exclude_self=False).select("query", "id", F.lit(1).alias("d"))
+    merged = near.join(sparse, ["query", "id"], "full_outer").groupBy("query").agg(F.count("d").alias("dense"), F.count("s").alias("sparse"), F.count_if(F.col("d").isNotNull() & F.col("s").isNotNull()).alias("both"), F.count("*").alias("merged"))
+    counted = queries.select("query").join(merged, "query", "left").fillna(0)
+    return counted.withColumn("kept", F.least("merged", F.lit(fused).cast("long")))
+
+
 def with_neighbours(results: DataFrame, chunks: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(query, chunk_id, origin, score): results, and the chunks that links from their files reach, none twice."""
     found = results.join(chunks.select("id", "filepath"), "id")

@@ -25,20 +25,20 @@ def _quoted(text: str) -> str:
 
 
 def load(files: DataFrame) -> DataFrame:
-    """Documents of ``scan``: filepath, dir, title, tags, aliases, wikilinks, headings, text, mtime, sha256."""
+    """Documents of ``scan``: filepath, dir, title, tags, aliases, wikilinks, headings, url (of a page's canonical link), text, mtime, sha256."""
     markdown = files.where(F.lower("filepath").rlike(r"\.md$")).select("*", F.decode("content", "UTF-8").alias("raw"))
     pages = files.where(~F.lower("filepath").rlike(r"\.md$")).select("*", H.decode_html(F.col("content")).alias("raw"))
     raw = F.col("raw")
     notes = markdown.select(
         *_common(), F.coalesce(T.front_matter_value(raw, "title"), T.stem(F.col("filepath"))).alias("title"), T.front_matter_list(raw, "tags").alias("tags"),
-        T.front_matter_list(raw, "aliases").alias("aliases"), F.array().cast("array<string>").alias("linked"), T.without_front_matter(raw).alias("text"),
+        T.front_matter_list(raw, "aliases").alias("aliases"), F.array().cast("array<string>").alias("linked"), F.lit(None).cast("string").alias("url"), T.without_front_matter(raw).alias("text"),
     )
     sites = pages.select(
         *_common(), H.title(raw, F.col("filepath")).alias("title"), H.keywords(raw).alias("tags"), F.array().cast("array<string>").alias("aliases"),
-        H.internal_links(raw).alias("linked"), H.html_to_markdown(raw).alias("text"),
+        H.internal_links(raw).alias("linked"), H.canonical(raw).alias("url"), H.html_to_markdown(raw).alias("text"),
     )
     both = notes.unionByName(sites)
-    return both.select("filepath", "dir", "title", "tags", "aliases", F.array_distinct(F.concat("linked", T.wikilinks(F.col("text")))).alias("wikilinks"), T.headings(F.col("text")).alias("headings"), "text", "mtime", "sha256")
+    return both.select("filepath", "dir", "title", "tags", "aliases", F.array_distinct(F.concat("linked", T.wikilinks(F.col("text")))).alias("wikilinks"), T.headings(F.col("text")).alias("headings"), "url", "text", "mtime", "sha256")
 
 
 def _common() -> list[Column]:
@@ -56,6 +56,11 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("name", "question_no", "turn_no", "t.question", F.coalesce("t.golden_answer", "q.golden_answer").alias("golden_answer"), F.coalesce("t.relevant_files", "q.relevant_files").alias("relevant_files"))
 
 
+def first_questions(questions: DataFrame, n: int) -> DataFrame:
+    """The first n questions of each evaluation set, with all their turns."""
+    return questions.where(F.col("question_no") < n)
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """The note columns of a plain documents table: the source is the directory, the language a tag, the first line the title."""
     first = F.trim(F.get(F.split("text", "\n"), F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.state import delete_keys, upsert
-from folio.storage import new_folder
+from folio.storage import open_fs
 
 
 def overwrite(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -14,24 +14,34 @@ def overwrite(rows: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def _replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Writes beside the table first, since ``rows`` reads it."""
-    beside = new_folder(spark, "replace")
-    rows.write.parquet(beside)
-    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").parquet(path)
+def _versions(path: str) -> list[str]:
+    """Names of a table's complete versions, oldest first: a version counts once Spark has put its mark of success into it."""
+    from pyarrow import fs as pafs
+
+    fs, inner = open_fs(path)
+    found = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+    names = sorted(f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("version-"))
+    return [n for n in names if fs.get_file_info(f"{inner}/{n}/_SUCCESS").type == pafs.FileType.File]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a merged table; None if there is none yet."""
+    names = _versions(path)
+    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
 
 
 def merge_into(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], gone: DataFrame | None = None) -> None:
-    """Upserts ``changes`` into the table at ``path`` and deletes the keys of ``gone``. A table that doesn't exist yet is made."""
-    try:
-        table = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        changes.write.parquet(path)
-        return
-    merged = upsert(delete_keys(table, gone, keys) if gone is not None else table, changes, keys)
-    _replace(spark, merged, path)
+    """Upserts ``changes`` into the table at ``path`` and deletes the keys of ``gone``; a table that doesn't exist yet is made.
+
+    The result is a new version in a folder of its own, so a failure leaves the version before it as it was, and a reader of that one
+    can finish. Of older versions only the one before stays. One writer at a time."""
+    names, table = _versions(path), read_table(spark, path)
+    merged = changes if table is None else upsert(delete_keys(table, gone, keys) if gone is not None else table, changes, keys)
+    number = int(names[-1].removeprefix("version-")) + 1 if names else 0
+    merged.write.mode("overwrite").parquet(f"{path}/version-{number:08d}")
+    fs, inner = open_fs(path)
+    for old in names[:-1]:
+        fs.delete_dir(f"{inner}/{old}")
 
 
 def append_once(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:

@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="folio-")
         atexit.register(shutil.rmtree, _fallback, ignore_errors=True)

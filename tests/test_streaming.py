@@ -37,5 +37,17 @@ def test_counts_in_state(spark, tmp_path):
     path = str(tmp_path / "events")
     for k in range(2):
         spark.range(4).select(F.timestamp_seconds(F.col("id") + k).alias("ts"), (F.col("id") % 2).alias("user_id"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(path)
-    got = S.run_to_end(S.running_counts(S.read_events(spark, path, files_per_batch=1)), "update")
+    got = S.run_to_end(S.running_counts(S.read_events(spark, path, files_per_batch=1)), "complete")
     assert sorted((r.user_id, r.n) for r in got.collect()) == [(0, 4), (1, 4)]
+
+
+def test_cached_questions_expire(spark, tmp_path):
+    """A put is found by later batches until its time to live is over; a context's state ends with its last put."""
+    path = str(tmp_path / "asks")
+    batches = [[("a", 1, 1000.0, "put", "x"), ("a", 2, 1001.0, "get", "x"), ("b", 3, 1001.0, "get", "x")], [("a", 4, 1050.0, "get", "x"), ("a", 5, 1060.0, "get", "y")], [("a", 6, 1101.0, "get", "x"), ("c", 7, 90_000.0, "put", "z")], [("a", 8, 90_001.0, "get", "x"), ("c", 9, 90_002.0, "get", "z")]]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "ctx_key string, event_id long, at double, kind string, question string")
+        frame.select("ctx_key", "event_id", F.timestamp_seconds("at").alias("ts"), "kind", "question").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("ctx_key string, event_id long, ts timestamp, kind string, question string").option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r.event_id: r.hit for r in S.run_to_end(S.cache_stream(stream, ttl=100.0)).collect()}
+    assert got == {2: True, 3: False, 4: True, 5: False, 6: False, 8: False, 9: True}
