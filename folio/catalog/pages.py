@@ -53,29 +53,32 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-FLOWS = r"""(VALUES
-  (1, 'graph TD' || chr(10) || 'A[Start] --> B{Choice}' || chr(10) || 'B -->|yes| C((End))' || chr(10) || 'subgraph S' || chr(10) || 'C --> D[(Store)]' || chr(10) || 'end'),
-  (2, 'sequenceDiagram' || chr(10) || 'A->>B: hi'),
-  (3, 'flowchart LR' || chr(10) || 'X -- some text --> Y')) v(id, source)"""
-
-
 @query("""
-SELECT * FROM (VALUES (1, 'edge', 0, 'A', 'B', '', ''), (1, 'edge', 1, 'B', 'C', 'yes', ''), (1, 'edge', 2, 'C', 'D', '', ''),
-  (1, 'node', 0, 'A', 'rect', 'Start', ''), (1, 'node', 1, 'B', 'diamond', 'Choice', ''), (1, 'node', 2, 'C', 'circle', 'End', 'S'), (1, 'node', 3, 'D', 'cylinder', 'Store', 'S'),
-  (3, 'edge', 0, 'X', 'Y', 'some text', ''), (3, 'node', 0, 'X', 'rect', 'X', ''), (3, 'node', 1, 'Y', 'rect', 'Y', '')) v(id, what, number, a, b, label, "group")""")
+SELECT doc_id AS id, what, number, replace(a, '#', doc_id::VARCHAR) AS a, replace(b, '#', doc_id::VARCHAR) AS b, replace(replace(label, '#', doc_id::VARCHAR), '@', lang) AS label, "group" FROM documents, (VALUES
+  (0, 'edge', 0, 'A#', 'B', '', ''), (0, 'edge', 1, 'B', 'C', '@', ''), (0, 'edge', 2, 'C', 'D', '', ''),
+  (0, 'node', 0, 'A#', 'rect', 'Start #', ''), (0, 'node', 1, 'B', 'diamond', 'Choice', ''), (0, 'node', 2, 'C', 'circle', 'End', 'S'), (0, 'node', 3, 'D', 'cylinder', 'Store', 'S'),
+  (1, 'edge', 0, 'X', 'Y#', 'some text', ''), (1, 'node', 0, 'X', 'rect', 'X', ''), (1, 'node', 1, 'Y#', 'rect', 'Y#', '')) v(k, what, number, a, b, label, "group") WHERE doc_id % 3 = k""")
 def mermaid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diagrams.mermaid_graph(spark.sql("SELECT * FROM " + FLOWS.replace("chr(10)", "char(10)")))
-    return found.withColumn("number", F.col("number").cast("int"))
+    """A flow chart for each document: shapes, labels and groups; every third is a sequence diagram, which has no graph."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    shapes = F.concat(F.lit("graph TD\nA"), i, F.lit("[Start "), i, F.lit("] --> B{Choice}\nB -->|"), "lang", F.lit("| C((End))\nsubgraph S\nC --> D[(Store)]\nend"))
+    plain = F.concat(F.lit("flowchart LR\nX -- some text --> Y"), i)
+    charts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, shapes).when(k == 1, plain).otherwise("sequenceDiagram\nA->>B: hi").alias("source"))
+    return diagrams.mermaid_graph(charts).withColumn("number", F.col("number").cast("int"))
 
 
-DRAWINGS = """(VALUES (1, '<svg xmlns="http://www.w3.org/2000/svg"><rect id="a" x="0" y="0" width="40" height="20"/><text x="20" y="10">Client</text><rect id="b" x="200" y="0" width="40" height="20"/><text x="220" y="12">Server</text><line x1="40" y1="10" x2="200" y2="10"/><text x="120" y="5">call</text></svg>'), (2, 'no xml')) v(id, source)"""
+def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing for each document: two boxes, a line between them and texts; every fourth is no XML."""
+    label = F.concat(F.lit("Client "), F.col("doc_id").cast("string"))
+    drawn = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><rect id="a" x="0" y="0" width="40" height="20"/><text x="20" y="10">'), label, F.lit('</text><rect id="b" x="200" y="0" width="40" height="20"/><text x="220" y="12">'), "source", F.lit('</text><line x1="40" y1="10" x2="200" y2="10"/><text x="120" y="5">call</text></svg>'))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 3, "no xml").otherwise(drawn).alias("source"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a', 'b', 'call')) v(id, a, b, label)""")
+@query("""SELECT doc_id AS id, 'a' AS a, 'b' AS b, 'call' AS label FROM documents WHERE doc_id % 4 <> 3""")
 def svg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagrams.svg_graph(spark.sql("SELECT * FROM " + DRAWINGS))[1]
+    return diagrams.svg_graph(_drawings(spark, sf_dir))[1]
 
 
-@query("""SELECT * FROM (VALUES (1, 'a', 'rect', 'Client'), (1, 'b', 'rect', 'Server')) v(id, name, shape, label)""")
+@query("""SELECT doc_id AS id, name, 'rect' AS shape, CASE name WHEN 'a' THEN 'Client ' || doc_id ELSE source END AS label FROM documents, (VALUES ('a'), ('b')) v(name) WHERE doc_id % 4 <> 3""")
 def svg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagrams.svg_graph(spark.sql("SELECT * FROM " + DRAWINGS))[0]
+    return diagrams.svg_graph(_drawings(spark, sf_dir))[0]

@@ -16,18 +16,6 @@ SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ai/' WHEN 1 THEN '.obsidian/' WHEN 2
   || source || '/' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.HTML' WHEN 2 THEN '.txt' ELSE '.htm' END AS path
 FROM documents"""
 
-NOTE_VALUES = r"""(VALUES
-  (1, '---' || chr(10) || 'title: RAG 入门' || chr(10) || 'tags: [ai, rag]' || chr(10) || 'aliases: [检索增强]' || chr(10) || '---' || chr(10) || '# 概述' || chr(10) || '用 [[vector-search]] 检索，见 [[vector-search|向量]] 和 [[BM25]]。'),
-  (2, '# hi' || chr(10) || 'text' || chr(10) || '## Second  ' || chr(10) || '####### seven' || chr(10) || '#no space'),
-  (3, 'plain [[a]] [[b|B]] [[a]]'),
-  (4, '---' || chr(10) || 'tags: not a list' || chr(10) || '---' || chr(10) || 'body'),
-  (5, '')) v(id, raw)"""
-
-
-def _notes(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM " + NOTE_VALUES.replace("|| chr(10) ||", "|| char(10) ||"))
-
-
 @query("""
 SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS filepath, n_chars, source || ' › 《' || title || '》' AS prefix
 FROM (SELECT *, trim(str_split(text, chr(10))[1]) AS title FROM documents)
@@ -91,49 +79,61 @@ def regex_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(rf"""
-SELECT id, coalesce(nullif(trim(regexp_extract(fm, '(?m)^title:[ \t]*(.*)$', 1)), ''), 'note' || id) AS title,
-       array_to_string(list_filter(list_transform(str_split(regexp_extract(fm, '(?m)^tags:[ \t]*\[(.*)\][ \t]*$', 1), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags,
-       array_to_string(list_filter(list_transform(str_split(regexp_extract(fm, '(?m)^aliases:[ \t]*\[(.*)\][ \t]*$', 1), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS aliases
-FROM (SELECT *, regexp_extract(raw, '^---\s*\n([\s\S]*?)\n---', 1) AS fm FROM {NOTE_VALUES})""")
+@query("""
+SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN 'It''s: ' || doc_id WHEN 2 THEN 'two lines ' || doc_id WHEN 3 THEN 'folded text ' || doc_id ELSE 'note' || doc_id END AS title,
+       CASE doc_id % 5 WHEN 0 THEN 'ai|' || source WHEN 1 THEN 'ai|' || source || '|a, b' WHEN 2 THEN 'one|' || source ELSE '' END AS tags, CASE doc_id % 5 WHEN 1 THEN '检索增强' ELSE '' END AS aliases
+FROM documents""")
 def front_matter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("raw")
-    return _notes(spark).select(
-        "id", F.coalesce(T.front_matter_value(raw, "title"), F.concat(F.lit("note"), F.col("id"))).alias("title"),
+    """Documents under front matter of five kinds: lists in brackets, with dashes and over several lines, quotes, comments, folded text, and none."""
+    i, source = F.col("doc_id").cast("string"), F.col("source")
+    flow = F.concat(F.lit("---\ntitle: Doc "), i, F.lit("  # the title\ntags: [ai, "), source, F.lit("]\nmeta:\n  title: inner\n---\n"))
+    dashed = F.concat(F.lit("---\ntitle: 'It''s: "), i, F.lit("'\ntags:  # all of them\n  - ai\n  - \""), source, F.lit("\"\n\n  - 'a, b'  # one tag\naliases:\n- 检索增强\n---\n"))
+    lines = F.concat(F.lit("---\ntags: [one,\n  "), source, F.lit("]\ntitle: two\n  lines "), i, F.lit("\n---\n"))
+    folded = F.concat(F.lit("---\r\ntitle: >\r\n  folded\r\n  text "), i, F.lit("\r\ntags: not a list\r\n---\r\n"))
+    k = F.col("doc_id") % 5
+    raw = F.concat(F.when(k == 0, flow).when(k == 1, dashed).when(k == 2, lines).when(k == 3, folded).otherwise(""), F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.coalesce(T.front_matter_value(raw, "title"), F.concat(F.lit("note"), i)).alias("title"),
         F.array_join(T.front_matter_list(raw, "tags"), "|").alias("tags"), F.array_join(T.front_matter_list(raw, "aliases"), "|").alias("aliases"),
     )
 
 
-@query(rf"""
+@query(r"""
+WITH r AS (SELECT doc_id AS id, regexp_replace(text, '(^|\n)([^\s\[\]|]+)', '\1[[\2|x]] [[\2]]', 'g') AS raw FROM documents)
 SELECT id, i AS place, link FROM (
   SELECT id, link, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS i FROM (
     SELECT id, link, min(n) AS first FROM (
-      SELECT id, unnest(links) AS link, generate_subscripts(links, 1) AS n FROM (SELECT id, regexp_extract_all(raw, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1) AS links FROM {NOTE_VALUES})
+      SELECT id, unnest(links) AS link, generate_subscripts(links, 1) AS n FROM (SELECT id, regexp_extract_all(raw, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1) AS links FROM r)
     ) GROUP BY id, link))""")
 def wikilinks_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark).select("id", F.posexplode(T.wikilinks(F.col("raw"))).alias("place", "link")).select("id", F.col("place").cast("long").alias("place"), "link")
+    """Documents whose lines begin with links to their first words."""
+    raw = F.regexp_replace("text", r"(^|\n)([^\s\[\]|]+)", "$1[[$2|x]] [[$2]]")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.wikilinks(raw)).alias("place", "link")).select("id", F.col("place").cast("long").alias("place"), "link")
 
 
-@query(rf"""
-SELECT id, length(regexp_extract(l, '^(#{{1,6}})\s+(.+)$', 1))::INTEGER AS level, trim(regexp_extract(l, '^(#{{1,6}})\s+(.+)$', 2)) AS heading, n::INTEGER AS line
-FROM (SELECT id, unnest(str_split(raw, chr(10))) AS l, generate_subscripts(str_split(raw, chr(10)), 1) AS n FROM {NOTE_VALUES})
-WHERE regexp_matches(l, '^(#{{1,6}})\s+(.+)$')""")
+@query(r"""
+WITH r AS (SELECT doc_id AS id, list_transform(str_split(text, chr(10)), lambda x: CASE WHEN length(x) <= 25 AND trim(x) <> '' THEN '## ' || trim(x) WHEN length(x) % 7 = 0 THEN '####### seven' WHEN length(x) % 7 = 1 THEN '#none' ELSE x END) AS lines FROM documents)
+SELECT id, length(regexp_extract(l, '^(#{1,6})\s+(.+)$', 1))::INTEGER AS level, trim(regexp_extract(l, '^(#{1,6})\s+(.+)$', 2)) AS heading, n::INTEGER AS line
+FROM (SELECT id, unnest(lines) AS l, generate_subscripts(lines, 1) AS n FROM r)
+WHERE regexp_matches(l, '^(#{1,6})\s+(.+)$')""")
 def headings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark).select("id", F.explode(T.headings(F.col("raw"))).alias("h")).select("id", "h.level", F.col("h.text").alias("heading"), "h.line")
-
-
-BLOCK_VALUES = r"""(VALUES
-  (1, 'intro' || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || 'A-->B' || chr(10) || '```' || chr(10) || '![[img.png|300]] and ![alt](p.png)'),
-  (2, '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || 'Caption' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || 'end'),
-  (3, 'no blocks | here')) v(id, raw)"""
+    """Documents with short lines as headings, and lines that only look like one."""
+    n = F.length
+    line = lambda x: F.when((n(x) <= 25) & (F.trim(x) != ""), F.concat(F.lit("## "), F.trim(x))).when(n(x) % 7 == 0, "####### seven").when(n(x) % 7 == 1, "#none").otherwise(x)
+    raw = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(T.headings(raw)).alias("h")).select("id", "h.level", F.col("h.text").alias("heading"), "h.line")
 
 
 @query(r"""
-SELECT * FROM (VALUES
-  (1, 0, 'mermaid', '[MERMAID_UID_00000000]', true), (1, 1, 'image', '[IMAGE_UID_00000001]', true), (1, 2, 'image', '[IMAGE_UID_00000002]', true),
-  (2, 0, 'code', '<CODE_UID_00000000>', true), (2, 1, 'table', '[TABLE_UID_00000001]', true)) v(id, place, kind, placeholder, restored)""")
+SELECT doc_id AS id, place, kind, placeholder, true AS restored FROM documents, (VALUES
+  (0, 0, 'mermaid', '[MERMAID_UID_00000000]'), (0, 1, 'code', '<CODE_UID_00000001>'), (0, 2, 'image', '[IMAGE_UID_00000002]'), (0, 3, 'image', '[IMAGE_UID_00000003]'),
+  (1, 0, 'code', '<CODE_UID_00000000>'), (1, 1, 'table', '[TABLE_UID_00000001]')) v(k, place, kind, placeholder) WHERE doc_id % 3 = k""")
 def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = spark.sql("SELECT * FROM " + BLOCK_VALUES.replace("chr(10)", "char(10)")).withColumn("text", F.col("raw"))
+    """Documents with diagrams, code, tables and images around their text."""
+    k, text = F.col("doc_id") % 3, F.regexp_replace("text", r"[|!`\[]", " ")
+    many = F.concat(F.lit("```mermaid\ngraph TD\nA-->B\n```\n"), text, F.lit("\n```py\nx = 1\n```\n![[img.png|300]] and ![alt](p.png)"))
+    some = F.concat(F.lit("```python\nx = 1\n```\nCaption\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"), text)
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, many).when(k == 1, some).otherwise(text).alias("raw")).withColumn("text", F.col("raw"))
     held = blocks.extract(notes)
     back = blocks.restore(F.col("text"), F.col("blocks")) == F.col("raw")
     return held.select("id", back.alias("restored"), F.posexplode("blocks").alias("place", "b")).select("id", "place", "b.kind", "b.placeholder", "restored")

@@ -86,7 +86,7 @@ def _yaml_scalar(raw: Column) -> Column:
     """A plain or quoted scalar without its comment."""
     double, single = r'^\s*"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$', r"^\s*'((?:[^']|'')*)'\s*(?:#.*)?$"
     unescaped = F.regexp_replace(F.regexp_extract(raw, double, 1), r"\\(.)", "$1")
-    plain = F.trim(F.regexp_replace(raw, r"(^|\s)#.*$", ""))
+    plain = F.regexp_replace(F.regexp_replace(raw, r"(^|\s)#.*$", ""), r"^\s+|\s+$", "")
     return F.when(raw.rlike(double), unescaped).when(raw.rlike(single), F.replace(F.regexp_extract(raw, single, 1), F.lit("''"), F.lit("'"))).otherwise(plain)
 
 

@@ -29,7 +29,7 @@ def hybrid_search(
     chunks: id, content, title, heading_path, dir, kind, parent_id, embedding. queries: query, text, embedding. Hits of the two
     sides meet by id, not by text; parents are collapsed before the cut, so that ``fused`` different ones are left."""
     index = index or bm25.build_index(chunks, "id", "content")
-    sparse = top_k(bm25.scores(index, bm25.query_tokens(queries)), per_side)
+    sparse = top_k(bm25.scores(index, bm25.query_tokens(queries)).withColumn("score", F.round("score", 6)), per_side)  # sums in another order tie too
     sparse = dense.min_max_sparse(sparse, group="query")
     near = dense.knn_join(chunks.select("id", "embedding"), queries.select(F.col("query").alias("id"), "embedding"), per_side, "id", exclude_self=False)
     near = dense.min_max_similarity(near.withColumn("distance", 1 - F.col("similarity")), group="query")
@@ -40,7 +40,7 @@ def hybrid_search(
     hits = hits.withColumn("score", fusion.boosted(F.col("score"), F.col("structural"), fusion.title_hit(F.col("asked"), F.col("title")), F.col("asked"), F.col("kind")))
     if parents is not None:
         hits = fusion.collapse_parents(hits, parents, "query")
-    ranked = top_k(hits, fused)
+    ranked = top_k(hits.withColumn("score", F.round("score", 6)), fused)
     best = fusion.rerank(ranked.drop("rank"), scorer, F.col("asked"), fused)
     pinned = fusion.pin_visual(best, final, F.col("kind").isin("image", "mermaid"), F.col("asked").rlike(fusion.IMAGE_INTENT))
     return pinned.select("query", "id", "rank", "score", "dense", "sparse", "structural", "content")
