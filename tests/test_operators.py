@@ -198,3 +198,84 @@ def test_dedup_keeps_newest_then_best(spark):
         "id long, filepath string, heading_path string, kind string, placeholder string, mtime double, score double, content string",
     )
     assert [r.id for r in context.dedup(hits).orderBy("id").collect()] == [2, 3]
+
+
+def test_front_matter_lists_and_scalars(spark):
+    raw = """---
+title: "A \\"quoted\\" title: x"  # comment
+tags:
+  - ai
+  - 'it''s'   # second
+  - "a, b"
+aliases: [one, "two, three",
+  four]
+empty:
+nested:
+  title: inner
+  tags: [no]
+note: |
+  first
+  second
+---
+body"""
+    row = spark.createDataFrame([(raw,), ("---\ntags: plain\ntitle: x # y\n---\n",), ("no front matter",), (None,), ("---\ntitle: ~\n---\n",)], "raw string").select(
+        T.front_matter_value(F.col("raw"), "title").alias("title"), T.front_matter_list(F.col("raw"), "tags").alias("tags"), T.front_matter_list(F.col("raw"), "aliases").alias("aliases"), T.front_matter_value(F.col("raw"), "empty").alias("empty"), T.front_matter_value(F.col("raw"), "note").alias("note")
+    ).collect()
+    assert (row[0].title, list(row[0].tags), list(row[0].aliases), row[0].empty, row[0].note) == ('A "quoted" title: x', ["ai", "it's", "a, b"], ["one", "two, three", "four"], None, "first\nsecond")
+    assert (row[1].title, list(row[1].tags), row[2].title, row[4].title) == ("x", [], None, None)
+
+
+def test_chinese_tokens(spark):
+    got = spark.createDataFrame([("评测指标",), ("用BM25检索 向量",), ("Plain words",), ("",)], "t string").select(T.tokens(F.col("t")).alias("w")).collect()
+    assert [list(r.w) for r in got] == [["评测", "测指", "指标"], ["用", "bm25", "检索", "向量"], ["plain", "words"], []]
+
+
+def test_saved_index_gives_the_same_scores(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green hen here")], "doc_id long, text string")
+    index = bm25.build_index(docs)
+    index.save(str(tmp_path / "index"))
+    asked = bm25.query_tokens(spark.createDataFrame([(0, "red hen fox")], "query long, text string"))
+    assert rows(bm25.scores(bm25.load_index(spark, str(tmp_path / "index")), asked), "id") == rows(bm25.scores(index, asked), "id")
+    zero = bm25.with_zero_scores(bm25.scores(index, bm25.query_tokens(spark.createDataFrame([(0, "blue")], "query long, text string"))), docs, spark.createDataFrame([(0,), (1,)], "query long"), 2)
+    assert rows(bm25.top_k(zero, 2).select("query", "id", (F.col("score") > 0).alias("s")), "query", "s") == [(0, 1, False), (0, 2, True), (1, 1, False), (1, 2, False)]
+
+
+def test_passages_of_any_length(spark):
+    from folio.catalog.metrics import passages_in
+
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "xalpha betay", "beta", None, "one two\nthree four five"]
+    asked = ["alpha", "alpha beta", "pha be", "beta gamma delta", "two\nthree", "gamma delta epsilon zeta eta theta iota kappa lam", "", None, "two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    want = sorted((i, d) for i, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t)
+    assert rows(passages_in(items, docs), "item_id", "doc_id") == want
+
+
+def test_jpeg_sizes(spark):
+    from folio.operators import assets
+
+    jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFDB0004AABBFFC0001108025803200301") + bytes(20)
+    row = spark.createDataFrame([(jpeg,), (jpeg[:24],), (None,)], "c binary").select(assets.dimensions(F.col("c")).alias("d")).collect()
+    assert [(r.d.width, r.d.height) for r in row] == [(800, 600), (None, None), (None, None)]
+
+
+def test_json_from_text(spark):
+    from folio.operators import answers
+
+    texts = ['say {"a": 1} and {"b": 2}', "{broken {\"b\": {\"c\": \"}\"}} tail}", "none", None, '{"a": {"b": 1}}']
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(answers.json_block(F.col("t"))).collect()] == ['{"a": 1}', '{"b": {"c": "}"}}', None, None, '{"a": {"b": 1}}']
+    assert [r[0] for r in frame.select(answers.json_block(F.col("t"), ("b",))).collect()] == ['{"b": 2}', '{"b": {"c": "}"}}', None, None, '{"b": 1}']
+
+
+def test_knn_over_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dense, "PASS_BLOCKS", 2)
+    rnd = random.Random(4)
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(80)] + [(None, [1.0] * 4), (90, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    known = [(i, v) for i, v in vectors if i is not None and v is not None]
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    want = {(q, i) for q, a in known[:20] for _, i in sorted((-sum(x * y for x, y in zip(unit(a), unit(b), strict=True)), i) for i, b in known if i != q)[:5]}
+    assert {(r.query, r.id) for r in dense.knn_join(df, df.where("vec_id < 20"), 5).collect()} == want
+    assert dense.knn_join(df, df.where("vec_id < 0"), 5).count() == 0
