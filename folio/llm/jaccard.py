@@ -1,14 +1,18 @@
 """Near copies by the Jaccard similarity of word shingles, over SimHash links and MinHash bands.
 
-Texts of equal shingle sets are one node. Three ways retrieve pairs of nodes:
-
-* fingerprints that differ by few bits (``simhash.links``), which join most copies of a group by a spanning forest,
-* buckets: two sets of similarity J share one of ``BANDS`` bands of ``ROWS`` least hashes with a probability of
-  1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. In a bucket of up to ``SMALL`` nodes all pairs are compared,
-* in a larger bucket each node first meets ``PIVOTS`` of its nodes. Where that leaves a bucket's nodes in several components, its nodes are
-  dealt in pairs of blocks, and all pairs over different components that share a second band (over 0.995 at 0.8) are compared.
-
-Pairs whose sizes rule the similarity out are left aside; of all others the exact sets decide. No bucket is cut short.
+Texts of equal shingle sets are one node. Pairs of nodes are retrieved in steps, and after each one the exact sets decide which of them
+are similar and join components; pairs within a component need no look.
+
+* Fingerprints that differ by few bits (``simhash.links``) join most copies of a group by a spanning forest.
+* Buckets: two sets of similarity J share one of ``BANDS`` bands of ``ROWS`` least hashes with a probability of
+  1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. In a bucket of up to ``SMALL`` nodes all pairs over different components are compared. In a
+  larger one all nodes outside its largest component first meet ``PIVOTS`` nodes of that.
+* Large buckets that still hold several components are dealt in pairs of blocks, with a signature of ``SIGNATURE`` bytes, each of another least
+  hash, for each node. Each node outside a pair's largest component is held against all others there. Pairs whose signatures agree nearly as
+  often as similar sets' do (within four standard deviations, so 0.9999 of those at 0.8) are compared: the best few of a node first, then,
+  where components are still apart, all others (``TURNS``). No bucket is cut short.
+
+Pairs whose sizes rule the similarity out are left aside.
 """
 
 from __future__ import annotations
@@ -21,16 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
-from folio.llm.encoding import slices
+from folio.llm.encoding import binary_column, flat_values, slices
 from folio.llm.rows import chooser
 from folio.llm.shingles import distinct_runs, majority_bits, shingle_hashes
 from folio.llm.simhash import links
-from folio.llm.spread import split_hot, spread_join
+from folio.llm.spread import spread_join, with_hot
 from folio.storage import cut
 
 BANDS, ROWS = 20, 5
-#: Nodes of a bucket that are all compared; nodes of a larger one that all others meet first.
+#: Nodes of a bucket that are all compared; nodes of a larger one that others meet first.
 SMALL, PIVOTS = 64, 4
+#: Which of a node's partners in a pair of blocks, by how far their signatures agree, are compared in each turn.
+TURNS = ((0, 4), (4, 1 << 40))
+#: Least hashes that a signature has a byte of, and rows with signatures that a task takes at a time.
+SIGNATURE, SIGNED_ROWS = 512, 20_000
 #: Nodes of a block where a large bucket is dealt in pairs of blocks.
 BLOCK = 1024
 #: Rows paired at a time.
@@ -39,6 +47,7 @@ CHUNK = 400_000
 FAN = 1024
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_SIGNED = np.random.default_rng(43).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -54,6 +63,21 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``SIGNATURE`` bytes for each set, none of them empty: a hash of each least hash. Sets of similarity J agree in about J + (1 - J) / 256 of them."""
+    values, sizes = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), SIGNATURE), np.uint8)
+    first = np.cumsum(sizes) - sizes
+    for j in range(SIGNATURE if len(sets) else 0):
+        out[:, j] = (np.minimum.reduceat(values * _SIGNED[0, j], first) * _SIGNED[1, j]) >> np.uint64(56)
+    return out
+
+
+def _least_agreeing(similar: float) -> float:
+    """The share of a signature in which sets of ``similar`` agree but for four standard deviations."""
+    return similar - 4 * (similar * (1 - similar) / SIGNATURE) ** 0.5
+
+
 def _set_hash(shingles: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -90,8 +114,13 @@ def _fingerprint_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     return same.unionByName(spread_join(half, least, ["sim"]).select("x", F.col("least").alias("y")))
 
 
-def _pairs(group: np.ndarray, fp: np.ndarray, m: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of each group, for rows sorted by group, of sizes that allow the similarity."""
+def _band_rows(nodes: DataFrame) -> DataFrame:
+    """(key, fp, m, root) of nodes (fp, m, root, keys)."""
+    return nodes.select(F.explode("keys").alias("key"), "fp", "m", "root")
+
+
+def _pairs(group: np.ndarray, fp: np.ndarray, m: np.ndarray, root: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs over different components of each group, for rows sorted by group, of sizes that allow the similarity."""
     edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
     sizes = np.diff(np.append(edges, len(group)))
     at = np.arange(len(group))
@@ -99,20 +128,20 @@ def _pairs(group: np.ndarray, fp: np.ndarray, m: np.ndarray, similar: float) ->
     a, b = [fp[:0]], [fp[:0]]
     for shift in range(1, int(sizes.max(initial=0))):
         at = at[left[at] >= shift]
-        fits = at[np.minimum(m[at], m[at + shift]) >= similar * np.maximum(m[at], m[at + shift])]
+        fits = at[(root[at] != root[at + shift]) & (np.minimum(m[at], m[at + shift]) >= similar * np.maximum(m[at], m[at + shift]))]
         a.append(fp[fits])
         b.append(fp[fits + shift])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
-    """Runs of whole groups (equal first column) of about CHUNK rows, as arrays; list columns come as a matrix of ``BANDS``."""
+def _grouped(batches: Iterator[pa.RecordBatch], columns: int, chunk: int = CHUNK) -> Iterator[tuple]:
+    """Runs of whole groups (equal first column) of about ``chunk`` rows, as arrays; signatures come as a matrix."""
     held: list[tuple] = []
     rows = 0
     for batch in batches:
-        held.append(tuple(c.flatten().to_numpy().reshape(-1, BANDS) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns[:columns]))
+        held.append(tuple(flat_values(c, np.uint8).reshape(-1, SIGNATURE) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns[:columns]))
         rows += batch.num_rows
-        if rows >= CHUNK:
+        if rows >= chunk:
             whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
             end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
             held, rows = [tuple(x[end:] for x in whole)], rows - end
@@ -129,41 +158,57 @@ def _batches(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _small_bucket_pairs(rows: DataFrame, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp, m in _grouped(batches, 3):
-            yield from _batches(*_pairs(group, fp, m, similar))
+        for group, fp, m, root in _grouped(batches, 4):
+            yield from _batches(*_pairs(group, fp, m, root, similar))
 
-    return rows.select("key", "fp", "m").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "x long, y long")
+    return rows.select("key", "fp", "m", "root").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "x long, y long")
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    first = rows.groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(PIVOTS)).alias("part")).agg(F.min("fp").alias("y"))
+    """Nodes outside a bucket's largest component with PIVOTS of that. rows: key, fp, root; a written table."""
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = cut(by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top")), "largest-roots")
+    held = cut(spread_join(rows.select("key", "fp", "root"), largest, ["key"]), "bucket-roots")
+    first = held.where("root = top").groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(PIVOTS)).alias("part")).agg(F.min("fp").alias("y"))
     pivots = cut(first.groupBy("key").agg(F.collect_list("y").alias("pivots")), "pivots")  # PIVOTS of them for a key
-    return spread_join(rows.select("key", "fp"), pivots, ["key"]).select(F.col("fp").alias("x"), F.explode("pivots").alias("y")).where("x <> y")
+    others = cut(held.where("root <> top").select("key", "fp"), "other-nodes")
+    return spread_join(others, pivots, ["key"]).select(F.col("fp").alias("x"), F.explode("pivots").alias("y"))
 
 
-def _open_pairs(rows: DataFrame, open_keys: DataFrame, similar: float) -> DataFrame:
-    """Pairs over different components in the buckets ``open_keys`` (key, n); rows: key, fp, m, root, keys."""
+def _open_pairs(rows: DataFrame, open_keys: DataFrame, similar: float, turn: tuple[int, int]) -> DataFrame:
+    """The pairs of one turn over different components in the buckets ``open_keys`` (key, n); rows: key, fp, m, root, sig."""
+    least = _least_agreeing(similar) * SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp, m, root, own, keys in _grouped(batches, 6):
+        for group, fp, m, root, own, sig in _grouped(batches, 6, SIGNED_ROWS):
             edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)).tolist()
             for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
+                roots, inverse, sizes = np.unique(root[a:b], return_inverse=True, return_counts=True)
+                if len(roots) < 2:
+                    continue
                 two = len(np.unique(own[a:b])) > 1  # pairs within a block are those of the block with itself
                 x, y = [fp[:0]], [fp[:0]]
-                for i in range(a, b - 1):
-                    j = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
-                    j = j[np.minimum(m[j], m[i]) >= similar * np.maximum(m[j], m[i])]
-                    j = j[own[j] != own[i]] if two else j
-                    j = j[(keys[j] == keys[i]).sum(axis=1) >= 2]
+                for i in (np.flatnonzero(inverse != sizes.argmax()) + a).tolist():
+                    fits = np.minimum(m[a:b], m[i]) >= similar * np.maximum(m[a:b], m[i])
+                    j = np.flatnonzero(fits & (own[a:b] != own[i]) if two else fits) + a
+                    agreeing = (sig[j] == sig[i]).sum(axis=1)
+                    j = j[np.argsort(-agreeing, kind="stable")][: int((agreeing >= least).sum())]
+                    j = j[j != i][turn[0] : turn[1]]
+                    j = j[root[j] != root[i]]
                     x.append(np.full(len(j), fp[i]))
                     y.append(fp[j])
                 yield from _batches(np.concatenate(x), np.concatenate(y))
 
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
-    dealt = spread_join(rows, open_keys, ["key"]).select("key", "fp", "m", "root", "keys", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = spread_join(rows, open_keys, ["key"]).select("key", "fp", "m", "root", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    return dealt.select(pair, "fp", "m", "root", "own", "keys").repartition("pair").sortWithinPartitions("pair", "fp").mapInArrow(run, "x long, y long")
+    return dealt.select(pair, "fp", "m", "root", "own", "sig").repartition("pair").sortWithinPartitions("pair", "fp").mapInArrow(run, "x long, y long")
+
+
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """(key, n) of the buckets whose rows (key, root) lie in several components."""
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
 
 
 def _dealt(pairs: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
@@ -180,21 +225,38 @@ def _with_set(pairs: DataFrame, copies: DataFrame, sets: DataFrame, side: str, n
     return pairs.join(mine.withColumn(f"{side}_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"), [side, f"{side}_copy"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, words: int, similar: float, text_col: str) -> DataFrame:
-    """(a, b) of ``pairs`` (x, y) whose sets are similar. Only the sets of nodes in pairs are made, once, and move."""
-    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    ends = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
-    make = chooser(nodes.join(ends, "fp", "left_semi").select("row"), "row")
+def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(fp, shingles) of the ``rows`` (row) of the numbered ``docs``; other texts are read and left."""
+    make = chooser(rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = make()
         for batch in batches:
-            chosen = batch.column(1).filter(pa.array(among(batch.column(0).to_numpy())))
-            for _, texts in slices(chosen):
+            for _, texts in slices(batch.column(1).filter(pa.array(among(batch.column(0).to_numpy())))):
                 sets = distinct_runs(*shingle_hashes(texts.to_pylist(), words))
                 yield pa.record_batch([pa.array(np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)), _lists(np.concatenate(sets), np.array([len(s) for s in sets]))], names=["fp", "shingles"])
 
-    sets = cut(docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, shingles array<long>"), "shingle-sets")
+    return docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """(fp, sig) of (fp, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                some = batch.slice(i, 500)
+                sig = signatures([x.values.to_numpy().view(np.uint64) for x in some.column(1)])
+                yield pa.record_batch([some.column(0), binary_column(sig.reshape(-1), np.full(len(sig), SIGNATURE))], names=["fp", "sig"])
+
+    return sets.mapInArrow(run, "fp long, sig binary")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, words: int, similar: float, text_col: str) -> DataFrame:
+    """(a, b) of ``pairs`` (x, y) whose sets are similar. Only the sets of nodes in pairs are made, once, and move."""
+    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    ends = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
+    sets = cut(_chosen_sets(docs, key, nodes.join(ends, "fp", "left_semi").select("row"), words, text_col), "shingle-sets")
     dealt, copies_x = _dealt(pairs, "x")
     dealt, copies_y = _dealt(dealt, "y")
     both = _with_set(_with_set(dealt, copies_x, sets, "x", "p"), copies_y, sets, "y", "q")
@@ -207,23 +269,32 @@ def similar_roots(docs: DataFrame, key: str, words: int, similar: float, distanc
     held = cut(_sketches(docs, key, words, id_col, text_col), "sketches")
     every = cut(held.groupBy("fp").agg(F.min("row").alias("row"), F.first("sim").alias("sim"), F.first("m").alias("m"), F.first("keys").alias("keys")), "nodes")
     nodes = every.where("m > 0")
-    rows = nodes.select("fp", "m", F.explode("keys").alias("key"))
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "large-buckets")
+
+    def joined(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        """(node, root) after the similar ones of ``pairs`` have joined their components."""
+        more = _verified(pairs, nodes, docs, key, words, similar, text_col)
+        return components(more if before is None else more.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def placed(found: DataFrame, name: str) -> DataFrame:
+        return cut(nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "m", "keys", F.coalesce("root", "fp").alias("root")), name)
+
+    found = joined(_fingerprint_pairs(nodes, distance), None)
+    rows = _band_rows(placed(found, "members"))
+    buckets = cut(_open_buckets(rows), "buckets")
+    held_rows = cut(with_hot(rows, buckets, "key"), "bucket-rows")
+    large = held_rows.where(F.col("n") > SMALL)
+    pairs = _small_bucket_pairs(held_rows.where(F.col("n") <= SMALL), similar)
     some_large = not large.isEmpty()
-    if some_large:
-        small_rows, large_rows = split_hot(rows, large, "key")
-        large_rows = cut(large_rows, "large-bucket-rows")
-    pairs = _fingerprint_pairs(nodes, distance).unionByName(_small_bucket_pairs(small_rows if some_large else rows, similar))
-    if some_large:
-        pairs = pairs.unionByName(_pivot_pairs(large_rows))
-    found = components(_verified(pairs, nodes, docs, key, words, similar, text_col))
-
-    if some_large:
-        member = cut(nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "keys", F.coalesce("root", "fp").alias("root")), "members")
-        placed = cut(large_rows.drop("n").join(member, "fp"), "placed")
-        open_keys = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n"), "open-buckets")
-        if not open_keys.isEmpty():
-            more = _verified(_open_pairs(placed, open_keys, similar), nodes, docs, key, words, similar, text_col)
-            found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    found = joined(pairs.unionByName(_pivot_pairs(large)) if some_large else pairs, found)
+    signed = None
+    for turn in TURNS if some_large else ():
+        at = cut(large.select("key", "fp").join(placed(found, "members").drop("keys"), "fp"), "large-buckets")
+        open_keys = cut(_open_buckets(at), "open-buckets")
+        if open_keys.isEmpty():
+            break
+        if signed is None:
+            wanted = nodes.join(at.join(open_keys, "key", "left_semi").select("fp").distinct(), "fp", "left_semi").select("row")
+            signed = cut(_signed(_chosen_sets(docs, key, wanted, words, text_col)), "signatures")
+        found = joined(_open_pairs(cut(at.join(signed, "fp"), "signed-buckets"), open_keys, similar, turn), found)
     member = every.select("fp").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     return held.select("row", "doc_id", "fp"), cut(member.select("fp", F.coalesce("root", "fp").alias("root")), "roots")

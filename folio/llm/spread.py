@@ -11,13 +11,16 @@ from folio.storage import cut
 LEAST_HOT, MOST_HOT = 256, 1_000_000
 
 
-def split_hot(rows: DataFrame, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key isn't in ``hot``, rows whose key is, with n) for ``hot`` (key, n: its rows). Keys that may have a large share of
-    ``rows`` are told by a list of at most MOST_HOT that goes to where the rows are; others by a join."""
-    most = 2 * rows.count() // MOST_HOT
-    top = F.broadcast(cut(hot.where(F.col("n") > max(LEAST_HOT, most)), "hottest"))
-    rest = rows.join(top, key, "left_anti")
-    return rest.join(hot.hint("merge"), key, "left_anti"), rows.join(top, key).unionByName(rest.join(hot.hint("merge"), key))
+def with_hot(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``known`` (key, n: its rows). Keys that may have a large share of ``rows`` go to where the rows are: at most MOST_HOT
+    of them, as many as the sum of all n lets be that large."""
+    most = 2 * (known.agg(F.sum("n")).first()[0] or 0) // MOST_HOT
+    is_hot = F.col("n") > max(LEAST_HOT, most)
+    hot = cut(known.where(is_hot), "hottest")
+    if hot.isEmpty():
+        return rows.join(known.hint("merge"), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.where(~is_hot).hint("merge"), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def spread_join(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
