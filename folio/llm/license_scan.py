@@ -85,8 +85,10 @@ def _matches(docs: DataFrame, words: Column, known: DataFrame, bands: int, conta
     anchors = sorted({r.h for r in seeds if (r.band, r.value) in least})
 
     texts = with_shingles(docs, words, "text")
+    # most rows hold none of them, which a set tells faster than a look at each place
+    some = texts.where(F.size(F.array_intersect("shingles", F.array(*map(F.lit, anchors)))) > 0)
     marked = F.filter(F.transform("shingles", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"].isin(anchors))
-    held = texts.withColumn("at", F.transform(marked, lambda x: x["i"])).where((F.size("at") > 0) & (F.size("shingles") > 0))
+    held = some.withColumn("at", F.transform(marked, lambda x: x["i"]))
     windows = held.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "shingles", "at", F.explode(F.array(*map(F.lit, strides))).alias("stride"))
     # each place lies in two windows: the one that begins at or before it, and the one before that
     numbers = F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(F.floor(i / F.col("stride")), F.greatest(F.floor(i / F.col("stride")) - 1, F.lit(0))))))
