@@ -41,8 +41,8 @@ TURNS = ((0, 4), (4, 1 << 40))
 SIGNATURE, SIGNED_ROWS = 512, 20_000
 #: Nodes of a block where a large bucket is dealt in pairs of blocks.
 BLOCK = 1024
-#: Rows paired at a time.
-CHUNK = 400_000
+#: Rows paired at a time: a row has under SMALL pairs in a small bucket, so this bounds what a task holds.
+CHUNK = 50_000
 #: Pairs with one set in a task.
 FAN = 1024
 
