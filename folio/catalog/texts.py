@@ -48,8 +48,8 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf
 FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens("text")}) AS token FROM documents) GROUP BY doc_id, token) GROUP BY token""")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25.build_index(table(spark, sf_dir, "documents"))
-    return index.postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    counted = bm25.counted_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return counted.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"""
@@ -59,7 +59,9 @@ SELECT count(*) AS n_docs, round(avg(dl), 6) AS avgdl, (SELECT count(*) FROM v)
        (SELECT round(avg(ln((SELECT count(*) FROM d) - df + 0.5) - ln(df + 0.5)), 6) FROM v) AS mean_idf
 FROM d""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25.build_index(table(spark, sf_dir, "documents"))
+    from folio.catalog.retrieval import saved_index
+
+    index = saved_index(spark, sf_dir)
     n = index.vocabulary.agg(F.count("*").alias("n_tokens"))
     return index.stats.crossJoin(F.broadcast(n)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens", F.round("mean_idf", 6).alias("mean_idf"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERDICTS = ("sufficient", "insufficient", "rewrite", "clarify")
+# Fixed value: the mark of an image in an answer.
 MARK = r"\[\[IMG:([^\]\s]+)\]\]"
 PREVIEW, OBSERVATION, MOST_IMAGES = 200, 500, 4
 

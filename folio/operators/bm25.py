@@ -27,8 +27,9 @@ class Index:
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        """Writes the index to a folder that doesn't exist yet; postings are sorted by token within files, so that a search reads few row groups."""
-        self.postings.repartition("token").sortWithinPartitions("token").write.parquet(f"{path}/postings")
+        """Writes the index to a folder that doesn't exist yet; postings are dealt in ranges of token and id, so that
+        a search reads few row groups and a token that all documents have is split."""
+        self.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(f"{path}/postings")
         self.vocabulary.write.parquet(f"{path}/vocabulary")
         self.stats.write.parquet(f"{path}/stats")
 

@@ -26,13 +26,17 @@ def decayed(score: Column, turns: Column) -> Column:
 
 
 def within_budget(rows: DataFrame, budget: int, order: list[Column], group: tuple[str, ...] = (), tokens: Column | None = None, most: int | None = None, content: str = "content") -> DataFrame:
-    """The longest beginning of each group, in ``order``, whose tokens fit the budget; the first row always stays. Adds ``used``."""
+    """The longest beginning of each group, in ``order``, whose tokens fit the budget; the first row always stays. Adds ``used``.
+
+    A row costs a token at least unless ``tokens`` says otherwise, so no more than ``budget`` rows of a group can stay: their bound on the row
+    number takes effect in each task before the shuffle, and no task sorts a whole group."""
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
     upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cost = token_count(F.col(content)) if tokens is None else tokens
-    out = rows.withColumn("used", F.sum(cost).over(upto)).withColumn("__n", F.row_number().over(over))
-    out = out.where((F.col("used") <= budget) | (F.col("__n") == 1))
-    return (out.where(F.col("__n") <= most) if most else out).drop("__n")
+    first = min([x for x in (most, max(1, budget) if tokens is None else None) if x], default=None)
+    rows = rows.withColumn("__n", F.row_number().over(over))
+    out = (rows.where(F.col("__n") <= first) if first else rows).withColumn("used", F.sum(cost).over(upto))
+    return out.where((F.col("used") <= budget) | (F.col("__n") == 1)).drop("__n")
 
 
 def total_budget(pieces: DataFrame, history: DataFrame, budget: int, session: str) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +45,8 @@ def total_budget(pieces: DataFrame, history: DataFrame, budget: int, session: st
     spent = kept.groupBy(session).agg(F.max("used").alias("spent"))
     over = Window.partitionBy(session).orderBy(F.desc("turn"))
     cost = F.sum(token_count(F.col("content"))).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    turns = history.withColumn("used", cost).withColumn("__n", F.row_number().over(over)).join(spent, session, "left")
+    newest = history.withColumn("__n", F.row_number().over(over)).where(F.col("__n") <= max(1, budget))  # a turn costs a token at least
+    turns = newest.withColumn("used", cost).join(spent, session, "left")
     turns = turns.where((F.col("used") + F.coalesce("spent", F.lit(0)) <= budget) | (F.col("__n") == 1)).drop("__n", "spent")
     return kept, turns
 

@@ -117,13 +117,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def min_max_similarity(found: DataFrame, distance: str = "distance", group: str | None = None) -> DataFrame:
     """Adds ``dense``: 1 for the nearest of a result set, 0 for the farthest, 1 for all where they are equal."""
-    over = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    low, high = F.min(distance).over(over), F.max(distance).over(over)
-    return found.withColumn("dense", 1 - (F.col(distance) - low) / F.when(high > low, high - low).otherwise(1.0))
+    found, low, high = _bounds(found, distance, group)
+    return found.withColumn("dense", 1 - (F.col(distance) - low) / F.when(high > low, high - low).otherwise(1.0)).drop("__low", "__high")
 
 
 def min_max_sparse(found: DataFrame, score: str = "score", group: str | None = None) -> DataFrame:
     """Adds ``sparse``: 1 for the best hit, 0 for the worst, 0 for all where they are equal."""
-    over = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    low, high = F.min(score).over(over), F.max(score).over(over)
-    return found.withColumn("sparse", (F.col(score) - low) / F.when(high > low, high - low).otherwise(1.0))
+    found, low, high = _bounds(found, score, group)
+    return found.withColumn("sparse", (F.col(score) - low) / F.when(high > low, high - low).otherwise(1.0)).drop("__low", "__high")
+
+
+def _bounds(found: DataFrame, value: str, group: str | None) -> tuple[DataFrame, Column, Column]:
+    """``found`` with the least and largest value of its group, or of all rows, which one row then tells every task."""
+    if group:
+        over = Window.partitionBy(group)
+        return found, F.min(value).over(over), F.max(value).over(over)
+    one = found.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    return found.crossJoin(F.broadcast(one)), F.col("__low"), F.col("__high")

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from folio.functions.text import injection_hits
 
+# Fixed value: the syntax of a remote image.
 REMOTE_IMAGE = r"!\[([^\]]*)\]\((https?://[^)\s]+)\)"
 # Networks that must not be reached.
 BLOCKED_V4 = ("0.0.0.0/8", "127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16")
