@@ -13,12 +13,16 @@ Texts and file headers are sought in the stream of a document's words. Short not
 sentences and lines that speak of a license, with marks for where a sentence begins and ends, so that they only count as sentences of their own.
 
 The templates are a fixed list, so their bands are too. A band of a window can only equal a template's if the window holds
-the shingle that is the template's least there. Windows are therefore made only around those shingles, which leaves out no
-match. All of it is DataFrame functions.
+the shingle that is the template's least there. Windows are therefore made only around those shingles, and only texts with one of
+a few words are cut into shingles at all (``telling_words``); neither leaves out a match. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,29 @@ def notice_words(text: Column) -> Column:
     return F.flatten(F.transform(units, lambda u: F.concat(F.array(F.lit(BEGIN)), words_of(u), F.array(F.lit(END)))))
 
 
+def telling_words(templates: list[Template], contained: float) -> list[str]:
+    """A few words of which each text that holds a template has at least one.
+
+    Of a template the words chosen here stand in over 1 - ``contained`` of its shingles, so a text without any of them lacks too many. Long words
+    come first, as they are rare. Without enough plain words in a template there are none, and every text is to be read."""
+    chosen: list[str] = []
+    for _, body in templates:
+        words = re.findall(r"[^\W_]+", body.lower())
+        shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        left = set(shingles)
+        plain = sorted((w for w in set(words) if w.isascii()), key=lambda w: (w not in chosen, len(w) < 7, -sum(w in x for x in shingles), w))
+        for w in plain:
+            if len(shingles) - len(left) > (1 - contained) * len(shingles):
+                break
+            if any(w in x for x in left):
+                left = {x for x in left if w not in x}
+                if w not in chosen:
+                    chosen.append(w)
+        if shingles and len(shingles) - len(left) <= (1 - contained) * len(shingles):
+            return []
+    return chosen
+
+
 def with_shingles(rows: DataFrame, words: Column, drop: str) -> DataFrame:
     """Adds ``shingles``: the hashes of its word shingles in order. Word hashes are a column of their own, so they are worked out once."""
     hashed = rows.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w))).drop(drop)
@@ -113,7 +140,9 @@ def scan_licenses(docs: DataFrame, texts: list[Template] | None = None, notices:
     out, so their names can't clash."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = _matches(rows, words_of(F.col("text")), template_table(spark, texts or list(TEXTS.items()), False), bands, contained, distinct)
+    told = telling_words(texts or list(TEXTS.items()), contained)
+    possible = rows.where(reduce(or_, (F.contains(F.lower("text"), F.lit(w)) for w in told))) if told else rows
+    whole = _matches(possible, words_of(F.col("text")), template_table(spark, texts or list(TEXTS.items()), False), bands, contained, distinct)
     speaking = rows.where(F.contains(F.lower("text"), F.lit(SPEAKS)))
     short = _matches(speaking, notice_words(F.col("text")), template_table(spark, notices or notice_templates(), True), bands, contained, distinct)
     kind = lambda found, name: found.select("doc_id", "license", F.lit(name).alias("kind"), "containment", "first_word", "n_words")

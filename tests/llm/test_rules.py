@@ -106,6 +106,16 @@ def test_every_template_tells_itself_from_every_other():
     assert all(license_scan.SPEAKS in v.lower() for _, v in license_scan.notice_templates())
 
 
+def test_telling_words_leave_out_no_match():
+    """A text without any of them has lost over a fifth of every template's shingles."""
+    told = license_scan.telling_words(list(TEXTS.items()), 0.8)
+    assert 0 < len(told) < 60
+    for body in TEXTS.values():
+        sets = set(_shingles(body))
+        assert sum(not set(told) & set(x.split()) for x in sets) < 0.8 * len(sets)
+    assert license_scan.telling_words([("x", "é à ü ö ñ è")], 0.8) == []
+
+
 def test_sql_of_siblings(spark):
     """The SQL over all templates, each in a file of its own, gives the operator's rows."""
     import duckdb
