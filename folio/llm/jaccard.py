@@ -45,6 +45,8 @@ BLOCK = 1024
 CHUNK = 50_000
 #: Pairs with one set in a task.
 FAN = 1024
+#: Bytes of text that a task sketches at a time.
+SKETCH_BYTES = 500_000
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = np.random.default_rng(43).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,7 +95,7 @@ def _sketches(docs: DataFrame, key: str, words: int, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(2)):
+            for at, texts in slices(batch.column(2), SKETCH_BYTES):
                 values, counts = shingle_hashes(texts.to_pylist(), words)
                 sets = distinct_runs(values, counts)
                 fp, m = np.array([_set_hash(s) for s in sets], np.uint64), np.array([len(s) for s in sets], np.int64)
@@ -232,7 +234,7 @@ def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = make()
         for batch in batches:
-            for _, texts in slices(batch.column(1).filter(pa.array(among(batch.column(0).to_numpy())))):
+            for _, texts in slices(batch.column(1).filter(pa.array(among(batch.column(0).to_numpy()))), SKETCH_BYTES):
                 sets = distinct_runs(*shingle_hashes(texts.to_pylist(), words))
                 yield pa.record_batch([pa.array(np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)), _lists(np.concatenate(sets), np.array([len(s) for s in sets]))], names=["fp", "shingles"])
 

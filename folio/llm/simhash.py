@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), 500_000):
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(text_fingerprints(texts.to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
