@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
-from folio.llm.encoding import binary_column, flat_values, slices
+from folio.llm.encoding import binary_column, flat_values, give_back, slices
 from folio.llm.rows import chooser
 from folio.llm.shingles import distinct_runs, majority_bits, shingle_hashes
 from folio.llm.simhash import links
@@ -151,6 +151,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: int, chunk: int = CHUNK
                 yield tuple(x[:end] for x in whole)
     if rows:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    held = []
+    give_back()
 
 
 def _batches(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components, spanning
-from folio.llm.encoding import slices
+from folio.llm.encoding import give_back, slices
 from folio.llm.rows import numbered, without_rows
 from folio.llm.shingles import majority_bits, shingle_hashes
 from folio.llm.spread import spread_join
@@ -29,7 +29,7 @@ BLOCK = 8192
 #: Groups up to this size are compared together, by shifts over the sorted rows.
 SMALL = 64
 #: Rows compared at a time.
-CHUNK = 400_000
+CHUNK = 100_000
 
 
 def text_fingerprints(texts: list[str], words: int = 4, seed: int = 42) -> np.ndarray:
@@ -130,6 +130,8 @@ def _linker(distance: int):
                 yield from done(False)
         if rows:
             yield from done(True)
+        held = []
+        give_back()
 
     return run
 
