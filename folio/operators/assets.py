@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # First bytes of image formats, extensions' types, and bounds of what is worth a description.
 MAGIC = (("image/png", "89504E470D0A1A0A"), ("image/gif", "47494638"), ("image/jpeg", "FFD8FF"), ("image/bmp", "424D"), ("image/webp", "52494646"))
@@ -31,7 +32,7 @@ def _number(content: Column, at: int, size: int, little: bool = False) -> Column
     return F.conv(digits, 16, 10).cast("long")
 
 
-@F.pandas_udf("width long, height long")
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
 def _jpeg(content: pd.Series) -> pd.DataFrame:
     """Sizes from the frame header of JPEG files, which follows other segments of stated lengths."""
 
