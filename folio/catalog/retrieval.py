@@ -187,7 +187,7 @@ def pin_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.pin_visual(ranked, 5, F.col("visual"), F.lit(True)).select("query", "id", "visual", "rank")
 
 
-@query(f"""{_FUSED_SQL.replace(" AND q.vec_id <> v.vec_id", "")}, {_STRUCT_SQL},
+@query(f"""{_FUSED_SQL.replace(" AND q.vec_id <> v.vec_id", " AND q.vec_id IN (SELECT doc_id FROM documents) AND v.vec_id IN (SELECT doc_id FROM documents)")}, {_STRUCT_SQL},
 b AS (SELECT query, id, structural, round(score + CASE WHEN structural > 0.5 THEN 0.25 * structural ELSE 0 END + CASE WHEN hit THEN 0.15 ELSE 0 END, 6) AS score FROM fused JOIN struct USING (query, id)),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 20),
 r AS (SELECT t.query, t.id, structural, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END AS overlap
