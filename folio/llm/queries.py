@@ -78,6 +78,12 @@ def op10_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1, 2048)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.merkle import document_manifest
+
+    return document_manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_separator_scan": op2_separator_scan,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_simhash_links": op9_simhash_links,
     "op10_min_slack_packing": op10_min_slack_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 OP8_SQL = """
@@ -176,8 +183,58 @@ FROM (SELECT {key}, words, unnest(range(1, len(words) - {SHINGLE - 2})) AS i FRO
     return f"WITH {part('text', list(TEXTS.items()), plain)}, {part('notice', notice_templates(), marked)} SELECT * FROM text_found UNION ALL SELECT * FROM notice_found"
 
 
+# a path has for each level L and the left digest, R and the right one, or R alone where a node is alone in its run
+OP11_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+),
+d AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS f1, coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS f2,
+         coalesce(strlen(text) || ':' || text, '-') AS f4,
+         coalesce(xor(list_reduce(list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 7 = 0, false) AS tampered
+  FROM documents, crc_table
+),
+leaves AS (
+  SELECT doc_id, lang, sha256(f1 || f2 || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || f4) AS leaf,
+         sha256(f1 || f2 || coalesce(strlen(CAST(n_chars + CAST(tampered AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(tampered AS INT)), '-') || f4) AS given
+  FROM d
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+tree AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM tree WHERE len(nodes) > 1
+),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM tree WHERE len(nodes) = 1),
+whole AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM whole WHERE len(nodes) > 1
+),
+below AS (
+  SELECT lang, pos, list(CASE WHEN spot % 2 = 1 THEN 'L' || nodes[spot] ELSE 'R' || coalesce(nodes[spot + 2], '') END ORDER BY level) AS path
+  FROM (SELECT p.lang, p.pos, level, nodes, p.pos >> level AS spot FROM placed p JOIN tree t ON p.lang IS NOT DISTINCT FROM t.lang WHERE len(nodes) > 1) GROUP BY lang, pos
+),
+above AS (
+  SELECT lang, list(CASE WHEN spot % 2 = 1 THEN 'L' || nodes[spot] ELSE 'R' || coalesce(nodes[spot + 2], '') END ORDER BY level) AS path
+  FROM (SELECT lang, level, nodes, pos >> level AS spot FROM subroots, whole WHERE len(nodes) > 1) GROUP BY lang
+),
+shown AS (
+  SELECT p.doc_id, leaf, given, subroot, (SELECT nodes[1] FROM whole WHERE len(nodes) = 1) AS root, list_concat(coalesce(below.path, []), coalesce(above.path, [])) AS path
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN below ON p.lang IS NOT DISTINCT FROM below.lang AND p.pos = below.pos LEFT JOIN above ON p.lang IS NOT DISTINCT FROM above.lang
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+       list_reduce(path, lambda made, x: CASE WHEN x[1] = 'L' THEN sha256(substr(x, 2) || made) ELSE sha256(made || substr(x, 2)) END, given) AS folded_root,
+       folded_root = root AS verified
+FROM shown
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_frequency": OP1_SQL,
     "op5_license_bands": _op5_sql(),
     "op8_chunk_recipes": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
