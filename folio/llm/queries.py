@@ -84,6 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(_read(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.alignment import align
+
+    return align(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_separator_scan": op2_separator_scan,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_links": op9_simhash_links,
     "op10_min_slack_packing": op10_min_slack_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 OP8_SQL = """
