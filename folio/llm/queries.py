@@ -84,6 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(_read(spark, sf_dir, "documents"))
 
 
+def op12_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.repeats import without_repeats
+
+    return without_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.alignment import align
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_links": op9_simhash_links,
     "op10_min_slack_packing": op10_min_slack_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_repeat_groups": op12_repeat_groups,
     "op13_token_alignment": op13_token_alignment,
 }
 
