@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog import query, sql_tokens, table
-from folio.operators import bm25, dense, fusion
+from folio.operators import bm25, dense, fusion, vector_index
 from folio.operators.bm25 import top_k
 from folio.sources.notes import from_documents
 from folio.storage import new_folder
@@ -14,21 +16,30 @@ from folio.storage import new_folder
 #: Documents with an id divisible by this are the queries of searches, with their whole texts.
 EVERY = 100
 
-_saved: dict[tuple[str, str], str] = {}
+_saved: dict[tuple[str, str, str, str], str] = {}
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query"), "text")
 
 
-def saved_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """The index of a folder's documents: made and saved by the first search of an application, and read by all further ones."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _saved_once(spark: SparkSession, name: str, source: str, save: Callable[[str], None], load: Callable[[SparkSession, str], object]) -> object:
+    """What ``save`` wrote for the files that ``source`` has now: made by the first search of an application, read by all further ones; a table that has been
+    written anew is another one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(hadoop)
+    found = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(hadoop)) if status.isDirectory() else [(status.getLen(), status.getModificationTime())]
+    key = (spark.sparkContext.applicationId, name, source, str(found))
     if key not in _saved:
-        path = new_folder(spark, "bm25")
-        bm25.build_index(table(spark, sf_dir, "documents")).save(path)
+        path = new_folder(spark, name)
+        save(path)
         _saved[key] = path
-    return bm25.load_index(spark, _saved[key])
+    return load(spark, _saved[key])
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    return _saved_once(spark, "bm25", f"{sf_dir}/documents.parquet", lambda path: bm25.build_index(table(spark, sf_dir, "documents")).save(path), bm25.load_index)
 
 
 def _bm25_sql(k: int) -> str:
@@ -113,6 +124,28 @@ sn AS (SELECT query, id, (s - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS
        FROM (SELECT query, id, round(score, 6) AS s, min(round(score, 6)) OVER (PARTITION BY query) AS lo, max(round(score, 6)) OVER (PARTITION BY query) AS hi FROM sparse_top))"""
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The index of a folder's vectors, saved by the first search of an application, and loaded by all further ones."""
+    source = f"{sf_dir}/embeddings.parquet"
+    return _saved_once(spark, "vectors", source, lambda path: vector_index.build_index(spark.read.parquet(source)).save(path), vector_index.load_index)
+
+
+@query()
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 nearest by the index's own choice of cells; tests hold its recall against ``knn_join``."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0)
+    found = vector_index.search(_vector_index(spark, sf_dir), asked, 50)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"WITH {_KNN_SQL} SELECT query, id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM knn WHERE rank <= 10")
+def dense_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's exact way: all cells, all rows of their blocks."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0)
+    found = vector_index.search(_vector_index(spark, sf_dir), asked, 10, probes=vector_index.MOST_CELLS, refined=0)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(f"WITH {_KNN_SQL}, {_DENSE_NORM} SELECT query, id, round(dense, 5) AS dense FROM dn")
 def minmax_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dense.min_max_similarity(_knn(spark, sf_dir).withColumn("distance", 1 - F.col("similarity")), group="query")

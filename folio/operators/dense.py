@@ -24,14 +24,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - cosine(a, b)
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, distance, rank) of the k nearest rows to the one vector of ``query``; ``where`` filters rows before the search, not its result."""
-    rows = vectors if where is None else vectors.where(where)
-    one = F.broadcast(query.select(F.col(vector_col).alias("__query")).limit(1))
-    found = rows.select(F.col(id_col).alias("id"), vector_col).crossJoin(one).select("id", cosine_distance(F.col(vector_col), F.col("__query")).alias("distance"))
-    return found.orderBy("distance", "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
-
-
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query, id, similarity, rank): the k most similar rows of ``vectors`` to each row of ``queries``. Rows and queries without an id or a vector take no part.
 
@@ -85,7 +77,8 @@ def _write_blocks(queries: DataFrame, id_col: str, vector_col: str) -> list[str]
                 n += 1
 
     asked = queries.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    return [r.path for r in asked.mapInArrow(run, "path string").collect()]
+    full = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)))  # queries may be strewn over many partitions; each block is a read of all vectors
+    return [r.path for r in full.mapInArrow(run, "path string").collect()]
 
 
 @functools.lru_cache(maxsize=32)
