@@ -25,8 +25,8 @@ from folio.llm.encoding import INSIDE_RUN, PieceEncoder, binary_column, flat_val
 from folio.llm.piece_bpe import SPACE, PieceModel
 from folio.storage import cut
 
-#: Bytes of text whose words are aligned together.
-SLICE = 4_000_000
+#: Bytes of text whose words are counted together, and words that are aligned at a time.
+SLICE, WORDS = 1_000_000, 16_384
 
 
 class Vocabulary:
@@ -58,7 +58,7 @@ class Aligner:
     """Both tokenizers, with their vocabularies."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
-        self.a, self.b = PieceEncoder(byte_path, plain_special=True, max_cached=200_000), PieceModel(piece_path, max_cached=200_000)
+        self.a, self.b = PieceEncoder(byte_path, plain_special=True, max_cached=100_000), PieceModel(piece_path, max_cached=100_000)
         self.a_tokens = Vocabulary(byte_level_tokens(byte_path))
         self.b_tokens = Vocabulary([self.b.piece_bytes[s : s + n].tobytes() for s, n in zip(self.b.piece_starts.tolist(), self.b.piece_lengths.tolist(), strict=True)])
         self.numbers = Vocabulary([b"%d," % i for i in range(max(len(self.a_tokens.lengths), len(self.b_tokens.lengths)))])
@@ -86,11 +86,19 @@ class Aligner:
         coded = pieces.dictionary_encode()
         return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
-    def align(self, words: pa.Array) -> "Alignment":
-        a, n_a = self.a.encode(pc.binary_join_element_wise(pa.scalar("", words.type), words, " "))
-        b, n_b = self.b.encode(words)
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        return Alignment(self, words, a, n_a.astype(np.int64), b, n_b.astype(np.int64))
+    def align(self, words: pa.Array) -> Alignment:
+        parts = []
+        for at in range(0, len(words), WORDS):
+            some = words.slice(at, WORDS)
+            a, n_a = self.a.encode(pc.binary_join_element_wise(pa.scalar("", some.type), some, " "))
+            b, n_b = self.b.encode(some)
+            parts.append(Alignment(self, some, a.astype(np.int64), n_a.astype(np.int64), b.astype(np.int64), n_b.astype(np.int64)))
+        whole = parts[0] if parts else Alignment(self, words, *[np.zeros(0, np.int64)] * 4)
+        if len(parts) > 1:
+            for name in ("sound", "n_a", "n_b", "n_groups", "n_links", "pairs"):
+                setattr(whole, name, np.concatenate([getattr(p, name) for p in parts]))
+            whole.text = [t for p in parts for t in p.text]
+        return whole
 
 
 class Alignment:
