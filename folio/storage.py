@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +55,29 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in here leave no shuffle files: what they wrote to the shared folder is all that is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_folder = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for ``table``, which no plan reads any more."""
+    _remove(table._folio_folder)
