@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.storage import cut, new_folder, open_fs
+from folio.storage import cut, freed_shuffles, new_folder, open_fs
 
 
 def numbered(docs: DataFrame, name: str = "numbered", codec: str = "snappy") -> tuple[DataFrame, str]:
@@ -58,7 +58,8 @@ def lists_by_part(rows: DataFrame, name: str) -> str:
             close()
         yield pa.record_batch([pa.array(written, pa.int64())], names=["part"])
 
-    rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
+    with freed_shuffles(rows.sparkSession):
+        rows.select("part", "data").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long").write.format("noop").mode("overwrite").save()
     return folder
 
 
