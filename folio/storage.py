@@ -78,6 +78,6 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes what ``cut`` wrote for ``table``, which no plan reads any more."""
-    _remove(table._folio_folder)
+def discard(table: DataFrame | str) -> None:
+    """Deletes what ``cut`` wrote for ``table``, or a folder of ``new_folder``, which no plan reads any more."""
+    _remove(table if isinstance(table, str) else table._folio_folder)
