@@ -11,15 +11,15 @@ from folio.storage import cut
 LEAST_HOT, MOST_HOT = 256, 1_000_000
 
 
-def with_hot(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with ``known`` (key, n: its rows). Keys that may have a large share of ``rows`` go to where the rows are: at most MOST_HOT
+def with_hot(rows: DataFrame, known: DataFrame, key: str | list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``known`` (the key or keys, n: its rows). Keys that may have a large share of ``rows`` go to where the rows are: at most MOST_HOT
     of them, as many as the sum of all n lets be that large."""
     most = 2 * (known.agg(F.sum("n")).first()[0] or 0) // MOST_HOT
     is_hot = F.col("n") > max(LEAST_HOT, most)
     hot = cut(known.where(is_hot), "hottest")
     if hot.isEmpty():
         return rows.join(known.hint("merge"), key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.where(~is_hot).hint("merge"), key)
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(known.where(~is_hot).hint("merge"), key)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
