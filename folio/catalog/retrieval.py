@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog import query, sql_tokens, table
-from folio.operators import bm25, dense, fusion, vector_index
+from folio.operators import bm25, bm25_blocks, dense, fusion, vector_index
 from folio.operators.bm25 import top_k
 from folio.sources.notes import from_documents
 from folio.storage import new_folder
@@ -58,9 +58,13 @@ scored AS (
 sparse_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> bm25_blocks.BlockIndex:
+    """Blocks of the saved index, saved by the first search that has whole texts as questions."""
+    return _saved_once(spark, "bm25-blocks", f"{sf_dir}/documents.parquet", lambda path: bm25_blocks.build_index(saved_index(spark, sf_dir)).save(path), bm25_blocks.load_index)
+
+
 def _scored(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    found = bm25.scores(saved_index(spark, sf_dir), bm25.query_tokens(questions(spark, sf_dir)))
-    return top_k(found.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6)), k)
+    return bm25_blocks.search(block_index(spark, sf_dir), bm25.query_tokens(questions(spark, sf_dir)), k)
 
 
 _HAN_SQL = "(SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '检索评测指标与向量检索' WHEN 1 THEN '评测指标 recall@k 的含义' WHEN 2 THEN '知识图谱扩展检索' ELSE '' END AS text FROM documents)"
@@ -185,8 +189,8 @@ struct AS (
 @query(f"{_FUSED_SQL}, {_STRUCT_SQL} SELECT query, id, round(structural, 4) AS structural, hit, round(score + CASE WHEN structural > 0.5 THEN 0.25 * structural ELSE 0 END + CASE WHEN hit THEN 0.15 ELSE 0 END, 4) AS score FROM fused JOIN struct USING (query, id)")
 def structural_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = from_documents(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "title", "dir")
-    hits = _fused(spark, sf_dir).join(notes, "id").join(questions(spark, sf_dir).withColumnRenamed("text", "asked"), "query")
-    hits = hits.withColumn("structural", fusion.structural_score(F.col("asked"), F.col("title"), F.lit(""), F.col("dir"))).withColumn("hit", fusion.title_hit(F.col("asked"), F.col("title")))
+    hits = _fused(spark, sf_dir).join(notes, "id").join(fusion.prepared(questions(spark, sf_dir)).drop("text"), "query")
+    hits = hits.withColumn("structural", fusion.structural_score(F.col("asked_tokens"), F.col("title"), F.lit(""), F.col("dir"))).withColumn("hit", fusion.title_hit(F.col("asked_form"), F.col("title")))
     return hits.select("query", "id", F.round("structural", 4).alias("structural"), "hit", F.round(fusion.boosted(F.col("score"), F.col("structural"), F.col("hit")), 4).alias("score"))
 
 
@@ -206,8 +210,8 @@ def parent_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, id, round(overlap, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY overlap DESC, id)::INTEGER AS rank FROM r QUALIFY rank <= 5""")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _scored(spark, sf_dir, 20).drop("rank").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
-    hits = hits.join(questions(spark, sf_dir).withColumnRenamed("text", "asked"), "query")
-    return fusion.rerank(hits, fusion.overlap_scorer, F.col("asked"), 5).select("query", "id", F.round("score", 5).alias("score"), "rank")
+    hits = hits.join(fusion.prepared(questions(spark, sf_dir)).select("query", "asked_tokens"), "query")
+    return fusion.rerank(hits, fusion.overlap_scorer, F.col("asked_tokens"), 5).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"""WITH {_bm25_sql(10)}, v AS (SELECT *, id % 7 = 3 AS visual FROM sparse_top),
@@ -234,5 +238,5 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     chunks = notes.join(vectors, "id", "left").select("id", F.col("text").alias("content"), "title", F.lit("").alias("heading_path"), "dir", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "embedding", "filepath")
     asked = questions(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query", "left")
-    found = search(chunks, asked, index=saved_index(spark, sf_dir))
+    found = search(chunks, asked, index=block_index(spark, sf_dir))
     return found.select("query", "id", "rank", F.round("score", 5).alias("score"), F.round("structural", 5).alias("structural"))

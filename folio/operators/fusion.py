@@ -22,25 +22,30 @@ def fuse(dense: DataFrame, sparse: DataFrame, weight: float = DENSE_WEIGHT, keys
     return both.withColumn("score", weight * F.col("dense") + (1 - weight) * F.col("sparse"))
 
 
-def structural_score(query: Column, title: Column, heading_path: Column, directory: Column) -> Column:
+def prepared(queries: DataFrame, text: str = "text") -> DataFrame:
+    """Adds what the scores of hits need of a query, so that its text is looked at once and not once for each hit: ``asked_tokens`` (distinct), ``asked_form``, ``asks_image``."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return queries.withColumns({"asked_tokens": F.array_distinct(tokens(whole)), "asked_form": structural_form(whole), "asks_image": whole.rlike(IMAGE_INTENT)})
+
+
+def structural_score(asked_tokens: Column, title: Column, heading_path: Column, directory: Column) -> Column:
     """How much of the query's distinct tokens the title, headings and directory hold; at most 1."""
-    asked = F.array_distinct(tokens(query))
-    share = lambda field: F.size(F.array_intersect(asked, tokens(F.coalesce(field, F.lit(""))))) / F.size(asked)
+    share = lambda field: F.size(F.array_intersect(asked_tokens, tokens(F.coalesce(field, F.lit(""))))) / F.size(asked_tokens)
     total = TITLE_PART * share(title) + HEADING_PART * share(heading_path) + DIR_PART * share(directory)
-    return F.when(F.size(asked) > 0, F.least(F.lit(1.0), total)).otherwise(0.0)
+    return F.when(F.size(asked_tokens) > 0, F.least(F.lit(1.0), total)).otherwise(0.0)
 
 
-def title_hit(query: Column, title: Column) -> Column:
+def title_hit(asked_form: Column, title: Column) -> Column:
     """The query holds the whole title, both in structural form."""
     form = structural_form(title)
-    return F.coalesce((F.length(title) > 1) & (form != "") & F.contains(structural_form(query), form), F.lit(False))
+    return F.coalesce((F.length(title) > 1) & (form != "") & F.contains(asked_form, form), F.lit(False))
 
 
-def boosted(score: Column, structural: Column, hit: Column, query: Column | None = None, kind: Column | None = None) -> Column:
+def boosted(score: Column, structural: Column, hit: Column, asks_image: Column | None = None, kind: Column | None = None) -> Column:
     out = score + F.when(structural > BOOST_OVER, BOOST * structural).otherwise(0.0) + F.when(hit, TITLE_BONUS).otherwise(0.0)
-    if query is None or kind is None:
+    if asks_image is None or kind is None:
         return out
-    return out * F.when(query.rlike(IMAGE_INTENT) & (kind == "image"), IMAGE_BOOST).otherwise(1.0)
+    return out * F.when(asks_image & (kind == "image"), IMAGE_BOOST).otherwise(1.0)
 
 
 def collapse_parents(hits: DataFrame, parents: DataFrame, group: str | None = None) -> DataFrame:
@@ -56,10 +61,9 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], query: C
     return top_k(hits.withColumn("score", scorer(query, F.col("content"))), k, group=group)
 
 
-def overlap_scorer(query: Column, content: Column) -> Column:
+def overlap_scorer(asked_tokens: Column, content: Column) -> Column:
     """A stand-in for a cross-encoder: the share of the query's distinct tokens that the content holds."""
-    asked = F.array_distinct(tokens(query))
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(content))) / F.size(asked)).otherwise(0.0)
+    return F.when(F.size(asked_tokens) > 0, F.size(F.array_intersect(asked_tokens, tokens(content))) / F.size(asked_tokens)).otherwise(0.0)
 
 
 def pin_visual(ranked: DataFrame, k: int, visual: Column, intent: Column) -> DataFrame:

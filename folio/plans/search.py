@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import bm25, dense, fusion, graph
+from folio.operators import bm25, bm25_blocks, dense, fusion, graph, vector_index
 from folio.operators.bm25 import top_k
 
 # Hits from each side, after fusion, and after reranking.
@@ -18,38 +18,51 @@ def hybrid_search(
     chunks: DataFrame,
     queries: DataFrame,
     parents: DataFrame | None = None,
-    scorer: Callable[[Column, Column], Column] = fusion.overlap_scorer,
+    scorer: Callable[[Column, Column], Column] | None = None,
     per_side: int = PER_SIDE,
     fused: int = FUSED,
     final: int = FINAL,
-    index: bm25.Index | None = None,
+    index: bm25.Index | bm25_blocks.BlockIndex | None = None,
+    vectors: vector_index.VectorIndex | None = None,
 ) -> DataFrame:
     """(query, id, rank, score, dense, sparse, structural, content) of the best chunks for each query.
 
     chunks: id, content, title, heading_path, dir, kind, parent_id, embedding. queries: query, text, embedding. Hits of the two
-    sides meet by id, not by text; parents are collapsed before the cut, so that ``fused`` different ones are left."""
+    sides meet by id, not by text; parents are collapsed before the cut, so that ``fused`` different ones are left. ``scorer`` gets a query's text and
+    a content; without one, the share of common tokens counts. With ``vectors`` the dense side searches that index, else all vectors."""
     index = index or bm25.build_index(chunks, "id", "content")
-    sparse = top_k(bm25.scores(index, bm25.query_tokens(queries)).withColumn("score", F.round("score", 6)), per_side)  # sums in another order tie too
-    sparse = dense.min_max_sparse(sparse, group="query")
-    near = dense.knn_join(chunks.select("id", "embedding"), queries.select(F.col("query").alias("id"), "embedding"), per_side, "id", exclude_self=False)
+    sparse = dense.min_max_sparse(_sparse(index, queries, per_side), group="query")
+    asked_vectors = queries.select(F.col("query").alias("id"), "embedding")
+    if vectors is None:
+        near = dense.knn_join(chunks.select("id", "embedding"), asked_vectors, per_side, "id", exclude_self=False)
+    else:
+        near = vector_index.search(vectors, asked_vectors, per_side, id_col="id", exclude_self=False)
     near = dense.min_max_similarity(near.withColumn("distance", 1 - F.col("similarity")), group="query")
     hits = fusion.fuse(near, sparse, keys=("query", "id"))
-    hits = hits.join(chunks.drop("embedding"), "id").join(queries.select("query", F.col("text").alias("asked")), "query")
-    structural = fusion.structural_score(F.col("asked"), F.col("title"), F.col("heading_path"), F.col("dir"))
-    hits = hits.withColumn("structural", structural)
-    hits = hits.withColumn("score", fusion.boosted(F.col("score"), F.col("structural"), fusion.title_hit(F.col("asked"), F.col("title")), F.col("asked"), F.col("kind")))
+    asked = fusion.prepared(queries).select("query", "asked_tokens", "asked_form", "asks_image", *([F.col("text").alias("asked")] if scorer else []))
+    hits = hits.join(chunks.drop("embedding"), "id").join(asked, "query")
+    hits = hits.withColumn("structural", fusion.structural_score(F.col("asked_tokens"), F.col("title"), F.col("heading_path"), F.col("dir")))
+    hits = hits.withColumn("score", fusion.boosted(F.col("score"), F.col("structural"), fusion.title_hit(F.col("asked_form"), F.col("title")), F.col("asks_image"), F.col("kind")))
     if parents is not None:
         hits = fusion.collapse_parents(hits, parents, "query")
     ranked = top_k(hits.withColumn("score", F.round("score", 6)), fused)
-    best = fusion.rerank(ranked.drop("rank"), scorer, F.col("asked"), fused)
-    pinned = fusion.pin_visual(best, final, F.col("kind").isin("image", "mermaid"), F.col("asked").rlike(fusion.IMAGE_INTENT))
+    best = fusion.rerank(ranked.drop("rank"), scorer or fusion.overlap_scorer, F.col("asked" if scorer else "asked_tokens"), fused)
+    pinned = fusion.pin_visual(best, final, F.col("kind").isin("image", "mermaid"), F.col("asks_image"))
     return pinned.select("query", "id", "rank", "score", "dense", "sparse", "structural", "content")
 
 
-def search_trace(chunks: DataFrame, queries: DataFrame, index: bm25.Index | None = None, per_side: int = PER_SIDE, fused: int = FUSED) -> DataFrame:
+def _sparse(index: bm25.Index | bm25_blocks.BlockIndex, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, score, rank) of the k best, scores rounded to six digits: sums in another order tie too."""
+    asked = bm25.query_tokens(queries)
+    if isinstance(index, bm25_blocks.BlockIndex):
+        return bm25_blocks.search(index, asked, k)
+    return top_k(bm25.scores(index, asked).withColumn("score", F.round("score", 6)), k)
+
+
+def search_trace(chunks: DataFrame, queries: DataFrame, index: bm25.Index | bm25_blocks.BlockIndex | None = None, per_side: int = PER_SIDE, fused: int = FUSED) -> DataFrame:
     """(query, dense, sparse, both, merged, kept): how many hits each step of a search has for each query; 0 where a query has none."""
     index = index or bm25.build_index(chunks, "id", "content")
-    sparse = top_k(bm25.scores(index, bm25.query_tokens(queries)), per_side).select("query", "id", F.lit(1).alias("s"))
+    sparse = _sparse(index, queries, per_side).select("query", "id", F.lit(1).alias("s"))
     near = dense.knn_join(chunks.select("id", "embedding"), queries.select(F.col("query").alias("id"), "embedding"), per_side, "id", exclude_self=False).select("query", "id", F.lit(1).alias("d"))
     merged = near.join(sparse, ["query", "id"], "full_outer").groupBy("query").agg(F.count("d").alias("dense"), F.count("s").alias("sparse"), F.count_if(F.col("d").isNotNull() & F.col("s").isNotNull()).alias("both"), F.count("*").alias("merged"))
     counted = queries.select("query").join(merged, "query", "left").fillna(0)

@@ -72,7 +72,7 @@ def test_knn_join_against_brute_force(spark):
 
 def test_structural_forms_and_title(spark):
     row = spark.createDataFrame([("《Code Agent 架构》是什么", "Code Agent 架构")], "q string, t string")
-    got = row.select(T.structural_form(F.lit("《Code Agent 架构》")).alias("f"), fusion.title_hit(F.col("q"), F.col("t")).alias("hit")).first()
+    got = row.select(T.structural_form(F.lit("《Code Agent 架构》")).alias("f"), fusion.title_hit(T.structural_form(F.col("q")), F.col("t")).alias("hit")).first()
     assert got.f == "CodeAgent架构" and got.hit
 
 
