@@ -26,7 +26,10 @@ from folio.llm.piece_bpe import SPACE, PieceModel
 from folio.storage import cut
 
 #: Bytes of text whose words are counted together, and words that are aligned at a time.
-SLICE, WORDS = 1_000_000, 16_384
+SLICE, WORDS = 2_000_000, 16_384
+#: Words that a process keeps aligned.
+KEPT = 150_000
+PER_WORD = ("sound", "n_a", "n_b", "n_groups", "n_links")
 
 
 class Vocabulary:
@@ -58,10 +61,12 @@ class Aligner:
     """Both tokenizers, with their vocabularies."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
-        self.a, self.b = PieceEncoder(byte_path, plain_special=True, max_cached=100_000), PieceModel(piece_path, max_cached=100_000)
+        self.a, self.b = PieceEncoder(byte_path, plain_special=True, max_cached=0), PieceModel(piece_path, max_cached=0)
         self.a_tokens = Vocabulary(byte_level_tokens(byte_path))
         self.b_tokens = Vocabulary([self.b.piece_bytes[s : s + n].tobytes() for s, n in zip(self.b.piece_starts.tolist(), self.b.piece_lengths.tolist(), strict=True)])
         self.numbers = Vocabulary([b"%d," % i for i in range(max(len(self.a_tokens.lengths), len(self.b_tokens.lengths)))])
+        self.index: dict[str, int] = {}
+        self.held = Alignment(self, [], *[np.zeros(0, np.int64)] * 4)
 
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(distinct words, the words of all texts by number, words of each text). Empty texts have none."""
@@ -87,27 +92,39 @@ class Aligner:
         return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
     def align(self, words: pa.Array) -> Alignment:
-        parts = []
-        for at in range(0, len(words), WORDS):
-            some = words.slice(at, WORDS)
-            a, n_a = self.a.encode(pc.binary_join_element_wise(pa.scalar("", some.type), some, " "))
+        """Of distinct words. The first ``KEPT`` words without a space stay aligned for later calls."""
+        keys = words.to_pylist()
+        at = np.fromiter(map(self.index.get, keys, [-1] * len(keys)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0).tolist()
+        plain, odd = [i for i in new if " " not in keys[i]], [i for i in new if " " in keys[i]]
+        parts = [self.held]
+        for i in range(0, len(plain), WORDS):
+            some = [keys[j] for j in plain[i : i + WORDS]]
+            a, n_a = self.a._marked([" " + w for w in some])
+            b, n_b = self.b.merge([SPACE + w for w in some])
+            parts.append(Alignment(self, some, a.astype(np.int64), n_a, b.astype(np.int64), n_b))
+        for i in range(0, len(odd), 64):
+            some = pa.array([keys[j] for j in odd[i : i + 64]])
+            a, n_a = self.a.encode(pc.binary_join_element_wise(pa.scalar(""), some, " "))
             b, n_b = self.b.encode(some)
-            parts.append(Alignment(self, some, a.astype(np.int64), n_a.astype(np.int64), b.astype(np.int64), n_b.astype(np.int64)))
-        whole = parts[0] if parts else Alignment(self, words, *[np.zeros(0, np.int64)] * 4)
-        if len(parts) > 1:
-            for name in ("sound", "n_a", "n_b", "n_groups", "n_links", "pairs"):
-                setattr(whole, name, np.concatenate([getattr(p, name) for p in parts]))
-            whole.text = [t for p in parts for t in p.text]
-        return whole
+            parts.append(Alignment(self, some.to_pylist(), a.astype(np.int64), n_a.astype(np.int64), b.astype(np.int64), n_b.astype(np.int64)))
+        whole = joined(parts)
+        at[plain + odd] = len(self.held.text) + np.arange(len(new))
+        room = plain[: max(0, KEPT - len(self.index))]
+        if room:
+            first = len(self.held.text)
+            self.index.update(zip((keys[i] for i in room), range(first, first + len(room)), strict=True))
+            self.held = whole.take(np.arange(first + len(room)))
+        return whole.take(at)
 
 
 class Alignment:
     """Of distinct words: whether both tokenizers give the word's bytes (``sound``; others have no tokens), tokens, groups and links of each."""
 
-    def __init__(self, by: Aligner, words: pa.Array, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+    def __init__(self, by: Aligner, words: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
         n = len(words)
-        spaced = pc.binary_join_element_wise(pa.scalar("", words.type), words, " ").cast(pa.binary())
-        wanted, size = flat_values(spaced, "u1"), pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
+        spaced = [f" {w}".encode() for w in words]
+        wanted, size = np.frombuffer(b"".join(spaced), np.uint8), np.fromiter(map(len, spaced), np.int64, n)
         self.sound = _same(by.a_tokens, a, n_a, wanted, size) & _same(by.b_tokens, b, n_b, wanted, size)
         a, b = a[np.repeat(self.sound, n_a)], b[np.repeat(self.sound, n_b)]
         self.n_a, self.n_b = np.where(self.sound, n_a, 0), np.where(self.sound, n_b, 0)
@@ -140,6 +157,27 @@ class Alignment:
         self.text = [whole[x : max(x, y - 1)] for x, y in zip(edges, edges[1:], strict=False)]
 
 
+    def take(self, at: np.ndarray) -> Alignment:
+        """The words at these places."""
+        out = object.__new__(Alignment)
+        for name in PER_WORD:
+            setattr(out, name, getattr(self, name)[at])
+        ends = np.cumsum(self.n_links)
+        out.pairs = self.pairs[gather((ends - self.n_links)[at], self.n_links[at])]
+        out.text = list(map(self.text.__getitem__, at.tolist()))
+        return out
+
+
+def joined(parts: list[Alignment]) -> Alignment:
+    if len(parts) == 1:
+        return parts[0]
+    out = object.__new__(Alignment)
+    for name in (*PER_WORD, "pairs"):
+        setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+    out.text = [t for p in parts for t in p.text]
+    return out
+
+
 def _same(tokens: Vocabulary, ids: np.ndarray, counts: np.ndarray, wanted: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes of each run of ids are those wanted."""
     runs = np.concatenate([[0], np.cumsum(tokens.lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
