@@ -11,7 +11,8 @@ from pyspark.sql.types import BooleanType
 
 from folio.functions.text import injection_hits
 
-# Fixed value: the syntax of a remote image.
+# The syntax of a remote image, and what stands for one.
+MEDIA_NOTE = "[远程图片已中和：$1]"
 REMOTE_IMAGE = r"!\[([^\]]*)\]\((https?://[^)\s]+)\)"
 # Networks that must not be reached.
 BLOCKED_V4 = ("0.0.0.0/8", "127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16")
@@ -61,11 +62,15 @@ def host_allowed(url: Column, policy: str = "block_private", allow: tuple[str, .
     return F.coalesce(~closed, F.lit(False))
 
 
+def media_pattern(allow: tuple[str, ...] = ()) -> str:
+    """Remote images of hosts that aren't allowed; the first group is the host."""
+    keep = "|".join(h.replace(".", r"\.") for h in allow)
+    return rf"!\[[^\]]*\]\(https?://(?!(?:{keep})[/:?#)])([^)\s/?#:]+)[^)\s]*\)" if keep else r"!\[[^\]]*\]\(https?://([^)\s/?#:]+)[^)\s]*\)"
+
+
 def neutralise_media(text: Column, allow: tuple[str, ...] = ()) -> Column:
     """Remote images of hosts that aren't allowed become a note of the host; images of the site's own paths stay."""
-    keep = "|".join(h.replace(".", r"\.") for h in allow)
-    shield = rf"!\[[^\]]*\]\(https?://(?!(?:{keep})[/:?#)])([^)\s/?#:]+)[^)\s]*\)" if keep else r"!\[[^\]]*\]\(https?://([^)\s/?#:]+)[^)\s]*\)"
-    return F.regexp_replace(text, shield, "[远程图片已中和：$1]")
+    return F.regexp_replace(text, media_pattern(allow), MEDIA_NOTE)
 
 
 def remote_images(text: Column) -> Column:
