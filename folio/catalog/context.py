@@ -11,15 +11,15 @@ from folio.operators import context
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as hits of questions, a hundred for each: the score falls with the length, the heading is the first letter."""
+    """Documents as hits of questions, a hundred for each: the score falls with the length, the heading is the first line."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 100).alias("grp"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 4)).alias("filepath"), F.concat_ws(" > ", "source", F.left("text", F.lit(1))).alias("heading_path"),
+        F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 100).alias("grp"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 4)).alias("filepath"), F.concat_ws(" > ", "source", F.substring_index("text", "\n", 1)).alias("heading_path"),
         F.col("lang").alias("kind"), F.lit("").alias("placeholder"), (1000 / (F.col("n_chars") + 1)).alias("score"), (F.col("doc_id") % 3).cast("double").alias("mtime"), F.col("text").alias("content"), F.col("source").alias("title"),
     )
 
 
-_HITS = "hits AS (SELECT doc_id AS id, doc_id // 100 AS grp, 'f' || (doc_id // 4) AS filepath, source || ' > ' || left(text, 1) AS heading_path, lang AS kind, 1000 / (n_chars + 1) AS score, (doc_id % 3)::DOUBLE AS mtime, text AS content, source AS title FROM documents)"
+_HITS = "hits AS (SELECT doc_id AS id, doc_id // 100 AS grp, 'f' || (doc_id // 4) AS filepath, source || ' > ' || str_split(text, chr(10))[1] AS heading_path, lang AS kind, 1000 / (n_chars + 1) AS score, (doc_id % 3)::DOUBLE AS mtime, text AS content, source AS title FROM documents)"
 
 
 @query(rf"""WITH {_HITS},

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog import query, sql_tokens, table
-from folio.functions.text import ngrams
-from folio.operators import bm25, metrics
+from folio.operators import bm25, metrics, patterns
 
 _RANKED = f"""
 tok AS MATERIALIZED (SELECT doc_id, {sql_tokens("text")} AS w FROM documents),
@@ -51,38 +50,9 @@ def precision_by_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(_ranked(spark, sf_dir)[0].select("query").distinct(), "query", "left_semi").select("query", F.round("precision_5", 5).alias("precision_5"))
 
 
-#: Passages of one block that texts are searched for directly.
-SHORT_BLOCK = 1000
-
-
-def passages_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents (doc_id, text) that hold a passage (item_id, text) letter for letter. Null texts hold and are nothing.
-
-    A passage's second to last but one words stand whole in any text that holds it, so up to eight of them (as many as the largest power of
-    two) are looked up by an equality join with the windows of all texts, read once, and passages found are compared whole.
-    Passages without such words are compared with each text, in blocks of a stated size."""
-    words = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    asked = passages.where("text is not null").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    inner = F.size("w") - 2
-    width = F.when(inner >= 8, 8).when(inner >= 4, 4).when(inner >= 2, 2).otherwise(1)
-    keyed = asked.where(inner >= 1).select("item_id", F.xxhash64(F.array_join(F.slice("w", F.lit(2), width), " ")).alias("key"))
-    texts = docs.where("text is not null").select("doc_id", "text")
-    w = words(F.col("text"))
-    grams = texts.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(F.transform(ngrams(F.col("w"), n), lambda g: F.xxhash64(g)) for n in (1, 2, 4, 8)))))).alias("key"))
-    hit = grams.join(keyed, "key").select("doc_id", "item_id").distinct()
-    found = hit.join(asked.select("item_id", "passage"), "item_id").join(texts, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    short = asked.where(inner < 1)
-    for block in range(-(-short.count() // SHORT_BLOCK)):
-        n = short.count()
-        mine = short.where(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // SHORT_BLOCK))) == block).agg(F.collect_list(F.struct("item_id", "passage")).alias("some"))
-        held = texts.crossJoin(F.broadcast(mine)).select("doc_id", F.explode(F.filter("some", lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"))  # one row
-        found = found.unionByName(held.select("p.item_id", "doc_id"))
-    return found
-
-
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def gold_by_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages_in(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return patterns.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id")
 
 
 _PAIRS = "pairs AS (SELECT a.doc_id AS pair, a.text AS candidate, b.text AS reference FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"

@@ -71,7 +71,8 @@ def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet")
     rows = turns.select(F.col("conv_id").alias("session"), "turn", F.timestamp_seconds(86_400 + 60 * F.col("turn")).alias("ts"), F.when(F.col("role") == "user", F.col("text")).alias("entity"), F.col("text").endswith("?").alias("clarified"))
-    return S.run_to_end(S.session_stream(rows), "update", last_only=False)
+    told = S.run_to_end(S.session_stream(rows), "update", last_only=False)  # a row for each session and batch: the last one has all turns
+    return told.groupBy("session").agg(F.max("n").alias("n"), F.max_by("last_entity", "n").alias("last_entity"), F.max_by("just_clarified", "n").alias("just_clarified"))
 
 
 @query("""

@@ -51,11 +51,6 @@ def clamp(value: Column) -> Column:
     return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(number, F.lit(0.0)))))
 
 
-def clean_field(text: Column, most: int = 2000) -> Column:
-    """Without control characters but line ends and tabs, and no longer than ``most``."""
-    return F.left(F.regexp_replace(text, r"[\p{Cntrl}&&[^\n\t]]", ""), F.lit(most))
-
-
 def sources(hits: DataFrame) -> DataFrame:
     """(query, rank, id, preview, score): what a client shows of each hit."""
     return hits.select("query", "rank", "id", F.left("content", F.lit(PREVIEW)).alias("preview"), F.round("score", 4).alias("score"))

@@ -64,12 +64,14 @@ def neighbour_chunks(reached: DataFrame, chunks: DataFrame, max_files: int = MAX
     return found.withColumn("n", nth).where(F.col("n") <= max_chunks).drop("n")
 
 
-def successors(edges: DataFrame, node: Column | str) -> DataFrame:
-    return edges.where(F.col("src") == node).select(F.col("dst").alias("node"))
+def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, next): where links of ``nodes`` (node) lead."""
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).join(nodes.select("node"), "node", "left_semi")
 
 
-def predecessors(edges: DataFrame, node: Column | str) -> DataFrame:
-    return edges.where(F.col("dst") == node).select(F.col("src").alias("node"))
+def predecessors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, next): where links to ``nodes`` (node) come from."""
+    return edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).join(nodes.select("node"), "node", "left_semi")
 
 
 def image_neighbours(hits: DataFrame, chunks: DataFrame, budget: int = 6) -> DataFrame:

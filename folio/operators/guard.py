@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from folio.functions.text import injection_hits
+from folio.operators.patterns import contained
 
 # The syntax of a remote image, and what stands for one.
 MEDIA_NOTE = "[远程图片已中和：$1]"
@@ -77,10 +78,11 @@ def remote_images(text: Column) -> Column:
     return F.regexp_count(text, F.lit(REMOTE_IMAGE))
 
 
-def leaks(text: Column, secret: str) -> Column:
-    """How many 16-character slices of a secret text stand in the text."""
-    slices = [secret[i : i + FINGERPRINT] for i in range(0, len(secret) - FINGERPRINT + 1, FINGERPRINT)]
-    return sum((F.contains(text, F.lit(s)).cast("int") for s in slices), F.lit(0))
+def leaks(texts: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, slices): how many 16-character slices of a secret text stand in each text; texts are walked once, however long the secret."""
+    slices = [(i, secret[i : i + FINGERPRINT]) for i in range(0, len(secret) - FINGERPRINT + 1, FINGERPRINT)]
+    found = contained(texts, texts.sparkSession.createDataFrame(slices, "slice long, part string"), id_col, text_col, "slice", "part", "slice")
+    return texts.select(id_col).join(found.groupBy(id_col).agg(F.count("*").alias("slices")), id_col, "left").fillna(0, ["slices"])
 
 
 def gate_tools(calls: DataFrame, surfaced: DataFrame, argument: str = "argument", path: str = "filepath") -> DataFrame:
@@ -100,5 +102,6 @@ def asset_id(value: Column) -> Column:
 
 
 def wrap_untrusted(text: Column, source: Column) -> Column:
-    """Retrieved text between marks that tell a model to treat it as data."""
-    return F.concat(F.lit("<retrieved source=\""), F.regexp_replace(source, '"', "'"), F.lit("\">\n"), text, F.lit("\n</retrieved>"))
+    """Retrieved text between marks that tell a model to treat it as data; such marks inside the text, in any case, are no marks any more."""
+    inside = F.regexp_replace(text, r"(?i)<(/?\s*retrieved)", "&lt;$1")
+    return F.concat(F.lit("<retrieved source=\""), F.regexp_replace(source, '"', "'"), F.lit("\">\n"), inside, F.lit("\n</retrieved>"))

@@ -127,16 +127,6 @@ def stage_times(timings: DataFrame, stages: dict[str, str], run: str = "run_id")
     return wide.select(run, F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.round(F.coalesce(F.col(n).cast("double"), F.lit(0.0)), 1))])).alias("stage", "ms"))
 
 
-def dense_rank_gain(rank: Column) -> Column:
-    return 1 / F.log2(rank + 1)
-
-
-def first_by_rank(ranked: DataFrame, query: str, item: str) -> DataFrame:
-    """Each item once at its first rank, ranks closed up."""
-    first = ranked.groupBy(query, item).agg(F.min("rank").alias("__r"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("__r", item))).drop("__r")
-
-
 def run_report(runs: DataFrame, group: str, ok: Column, latency: Column) -> DataFrame:
     """(group, n, n_ok, ok_rate, latency): how many runs succeeded, and the mean latency of those that did, to four places; null where none did."""
     counted = runs.groupBy(group).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.round(F.avg(F.when(ok, latency)), 4).alias("latency"))

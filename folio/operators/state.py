@@ -86,11 +86,6 @@ def cache_lookup(asked: DataFrame, entries: DataFrame, likeness: float = CACHE_L
     return scored.groupBy("ask_id").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct(-F.col("similarity"), F.col("entry_id"))).alias("b")).select("ask_id", "b.entry_id", "b.similarity")
 
 
-def evict(entries: DataFrame, cap: int = CACHE_ENTRIES) -> DataFrame:
-    """The newest entries up to the cap."""
-    return entries.orderBy(F.desc("ts"), "entry_id").limit(cap)
-
-
 def cache_stats(asked: DataFrame, found: DataFrame, group: str = "ctx_key") -> DataFrame:
     """(group, hits, misses, hit_rate) of questions (group, ask_id) and what ``cache_lookup`` found for them."""
     joined = asked.select(group, "ask_id").join(found.select("ask_id", F.lit(1).alias("hit")), "ask_id", "left")

@@ -241,14 +241,14 @@ def test_saved_index_gives_the_same_scores(spark, tmp_path):
 
 
 def test_passages_of_any_length(spark):
-    from folio.catalog.metrics import passages_in
+    from folio.operators.patterns import contained
 
     texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "xalpha betay", "beta", None, "one two\nthree four five"]
     asked = ["alpha", "alpha beta", "pha be", "beta gamma delta", "two\nthree", "gamma delta epsilon zeta eta theta iota kappa lam", "", None, "two three"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
     want = sorted((i, d) for i, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t)
-    assert rows(passages_in(items, docs), "item_id", "doc_id") == want
+    assert rows(contained(docs, items), "item_id", "doc_id") == want
 
 
 def test_jpeg_sizes(spark):
