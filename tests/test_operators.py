@@ -248,7 +248,27 @@ def test_passages_of_any_length(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
     want = sorted((i, d) for i, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t)
-    assert rows(contained(docs, items), "item_id", "doc_id") == want
+    assert rows(contained(docs, items).select("item_id", "doc_id"), "item_id", "doc_id") == want
+
+
+def test_finds_are_counted_in_shards(spark, monkeypatch):
+    from folio.operators import patterns
+
+    monkeypatch.setattr(patterns, "SHARD", 6)
+    docs = spark.createDataFrame([(0, "aaa ab"), (0, "aaa ab"), (1, "b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "aa"), (2, "a"), (3, "ab"), (4, "aa"), (5, "zz")], "item_id long, text string")
+    got = sorted(map(tuple, patterns.contained(docs, items).collect()))
+    assert got == sorted(2 * [(0, 1, 2), (0, 2, 4), (0, 3, 1), (0, 4, 2)])
+    assert len(patterns.write_automata(items, "item_id", "text")) > 1
+
+
+def test_first_image_binds(spark):
+    from folio.operators import patterns
+
+    chunks = spark.createDataFrame([(1, 0, "![b](b) ![a](a)", None, None), (1, 1, "![a](a)", "/own", "o"), (1, 2, None, None, None), (2, 3, "![a](a)", "", None)], "doc_id long, chunk long, content string, img_url string, asset_id string")
+    images = spark.createDataFrame([(1, 1, "![b](b)", "/b", "b"), (1, 0, "![a](a)", "/a", "a"), (1, 2, "", "/none", "n"), (2, 0, "![a](a)", None, "x")], "doc_id long, n long, raw string, img_url string, asset_id string")
+    got = {r.chunk: (r.img_url, r.asset_id) for r in patterns.bind_images(chunks, images).collect()}
+    assert got == {0: ("/a", "a"), 1: ("/own", "o"), 2: (None, None), 3: ("", None)}
 
 
 def test_jpeg_sizes(spark):
