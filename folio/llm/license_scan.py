@@ -12,6 +12,9 @@ a version or an extra clause.
 Texts and file headers are sought in the stream of a document's words. Short notices ("Released under ...") are sought among
 sentences and lines that speak of a license, with marks for where a sentence begins and ends, so that they only count as sentences of their own.
 
+Names of licenses inside longer sentences ("This file is licensed under the MIT License.") have too few shingles of their own for that. They are found as a
+kind of their own by patterns: a word that grants, "under", and the name, in a sentence that neither takes it back nor asks; and identifiers behind their tag.
+
 The templates are a fixed list, so their bands are too. A band of a window can only equal a template's if the window holds
 the shingle that is the template's least there. Windows are therefore made only around those shingles, and only texts with one of
 a few words are cut into shingles at all (``telling_words``); neither leaves out a match. All of it is DataFrame functions.
@@ -26,7 +29,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.license_texts import NOTICES, TEXTS
+from folio.llm.license_texts import AFTER, GRANT, NAMES, NOTICES, REFUSED, SPDX, TEXTS
 from folio.llm.quality_rules import windows_of
 
 SHINGLE = 5
@@ -54,6 +57,18 @@ def notice_words(text: Column) -> Column:
     return F.flatten(F.transform(units, lambda u: F.concat(F.array(F.lit(BEGIN)), words_of(u), F.array(F.lit(END)))))
 
 
+def named_licenses(rows: DataFrame) -> DataFrame:
+    """(doc_id, license) of docs (doc_id, text): licenses that a sentence or line grants by name, or that an identifier tells, once for each row."""
+    low = F.lower("text")
+    units = F.filter(F.split(low, r"\n|(?<=[.!?])[ \t]+"), lambda u: u.rlike(GRANT) & ~u.rlike(REFUSED))
+    tagged = F.transform(F.regexp_extract_all(low, F.lit(SPDX), F.lit(1)), lambda t: F.regexp_replace(t, r"(?:-only|-or-later|\+)?[.+-]*$", ""))
+    speaking = rows.where(low.rlike(r"[^a-z0-9]under |spdx-license-identifier:"))
+    held = speaking.select("doc_id", units.alias("units"), F.array_remove(tagged, "").alias("tagged")).where((F.size("units") > 0) | (F.size("tagged") > 0))
+    holds = lambda pattern: F.exists("units", lambda u: u.rlike(f"{GRANT}(?:{pattern}){AFTER}"))
+    named = F.array(*(F.when(holds(pattern), F.lit(name)) for name, pattern in NAMES.items()))
+    return held.select("doc_id", F.explode(F.array_distinct(F.concat(F.array_compact(named), "tagged"))).alias("license"))
+
+
 def telling_words(templates: list[Template], contained: float) -> list[str]:
     """A few words of which each text that holds a template has at least one.
 
@@ -132,10 +147,10 @@ def _matches(docs: DataFrame, words: Column, known: DataFrame, bands: int, conta
 
 
 def scan_licenses(docs: DataFrame, texts: list[Template] | None = None, notices: list[Template] | None = None, bands: int = BANDS, contained: float = CONTAINED, distinct: float = DISTINCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, kind, containment, first_word, n_words): a row for each license found in a row of ``docs``, as a ``text`` or a ``notice``.
+    """(doc_id, license, kind, containment, first_word, n_words): a row for each license found in a row of ``docs``, as a ``text``, a ``notice`` or a ``name``.
 
     containment is the share of a template's distinct shingles in its best window, which begins at word first_word (the first of
-    equals); for notices, words are those of the sentences that speak of a license, with their two marks. Null and empty texts match nothing; a
+    equals); for notices, words are those of the sentences that speak of a license, with their two marks. A name has a containment of 1, and no window: first_word is -1 and n_words 0. Null and empty texts match nothing; a
     text of any length is scanned whole; a repeated row gives its matches again; an empty table gives no rows; other columns are left
     out, so their names can't clash."""
     spark = docs.sparkSession
@@ -146,4 +161,5 @@ def scan_licenses(docs: DataFrame, texts: list[Template] | None = None, notices:
     speaking = rows.where(F.contains(F.lower("text"), F.lit(SPEAKS)))
     short = _matches(speaking, notice_words(F.col("text")), template_table(spark, notices or notice_templates(), True), bands, contained, distinct)
     kind = lambda found, name: found.select("doc_id", "license", F.lit(name).alias("kind"), "containment", "first_word", "n_words")
-    return kind(whole, "text").unionByName(kind(short, "notice"))
+    named = named_licenses(rows).select("doc_id", "license", F.lit(1.0).alias("containment"), F.lit(-1).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words"))
+    return kind(whole, "text").unionByName(kind(short, "notice")).unionByName(kind(named, "name"))

@@ -60,3 +60,31 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "mit": ("Released under the MIT License.", "Licensed under the MIT License."),
     "mpl-2.0": ("Licensed under the Mozilla Public License, version 2.0.",),
 }
+
+# How a license is called inside a sentence, as patterns over lower-case text.
+NAMES: dict[str, str] = {
+    "agpl-3.0": r"(?:gnu )?(?:agpl|affero general public licen[sc]e)[ ,-]{0,2}(?:version |v\.? ?)?3(?:\.0)?",
+    "apache-2.0": r"apache(?: software)?(?: licen[sc]e)?[ ,-]{0,2}(?:version |v\.? ?)?2(?:\.0)?",
+    "bsd-2-clause": r"(?:bsd[ -]2[ -]clause|(?:2|two)[ -]clause bsd|simplified bsd)",
+    "bsd-3-clause": r"(?:bsd[ -]3[ -]clause|(?:3|three)[ -]clause bsd|(?:new|modified|revised) bsd)",
+    "bsl-1.0": r"(?:boost software licen[sc]e|bsl[ -]1(?:\.0)?)",
+    "cc-by-4.0": r"(?:cc[ -]by|creative commons attribution)[ -]4(?:\.0)?",
+    "cc-by-nc-4.0": r"(?:cc[ -]by[ -]nc|creative commons attribution[ -]noncommercial)[ -]4(?:\.0)?",
+    "cc-by-sa-4.0": r"(?:cc[ -]by[ -]sa|creative commons attribution[ -]sharealike)[ -]4(?:\.0)?",
+    "cc0-1.0": r"(?:cc0|creative commons zero)(?:[ -]1(?:\.0)?)?",
+    "epl-2.0": r"(?:eclipse public licen[sc]e|epl)[ ,-]{0,2}(?:version |v\.? ?)?2(?:\.0)?",
+    "gpl-2.0": r"(?:gnu )?(?:gpl|general public licen[sc]e)[ ,-]{0,2}(?:version |v\.? ?)?2(?:\.0)?",
+    "gpl-3.0": r"(?:gnu )?(?:gpl|general public licen[sc]e)[ ,-]{0,2}(?:version |v\.? ?)?3(?:\.0)?",
+    "isc": r"isc(?: licen[sc]e)?",
+    "lgpl-2.1": r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)[ ,-]{0,2}(?:version |v\.? ?)?2\.1",
+    "lgpl-3.0": r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)[ ,-]{0,2}(?:version |v\.? ?)?3(?:\.0)?",
+    "mit": r"mit(?:/x11|/expat)?(?: licen[sc]e)?",
+    "mpl-2.0": r"(?:mozilla public licen[sc]e|mpl)[ ,-]{0,2}(?:version |v\.? ?)?2(?:\.0)?",
+    "unlicense": r"unlicen[sc]e",
+    "zlib": r"zlib(?: licen[sc]e)?",
+}
+# What stands before and after a name in a sentence that grants a license, what takes the grant back, and the tag of a license identifier.
+GRANT = r"(?:^|[^a-z0-9])(?:licen[sc]ed|released|distributed|published|available|provided|shared|offered)[^!?;]{0,40}[^a-z0-9]under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+AFTER = r"(?:$|[^a-z0-9.]|\.$|\.[^0-9])"
+REFUSED = r"(?:[^a-z0-9]|^)(?:not|never|neither|nor|unlike|cannot|without|no longer|[a-z]+n't|[a-z]+n’t)[^a-z0-9][^!?;]{0,60}under |\?[ \t]*$"
+SPDX = r"spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.+-]*)"

@@ -167,7 +167,7 @@ FROM base LEFT JOIN judged USING (doc_id)
 
 def _op5_sql() -> str:
     from folio.llm.license_scan import CONTAINED, DISTINCT, SHINGLE, SPEAKS, notice_templates
-    from folio.llm.license_texts import TEXTS
+    from folio.llm.license_texts import AFTER, GRANT, NAMES, REFUSED, SPDX, TEXTS
 
     plain = lambda body: f"list_filter(regexp_split_to_array(lower({body}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     # DuckDB's patterns don't look behind, so ends of sentences become line ends first
@@ -194,7 +194,17 @@ FROM (SELECT {key}, words, unnest(range(1, len(words) - {SHINGLE - 2})) AS i FRO
   FROM {kind}_shares ANTI JOIN {kind}_mistaken USING (doc_id, template, number) WHERE containment >= {CONTAINED}
   QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, number, template) = 1)"""
 
-    return f"WITH {part('text', list(TEXTS.items()), plain)}, {part('notice', notice_templates(), marked)} SELECT * FROM text_found UNION ALL SELECT * FROM notice_found"
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    names = ", ".join(f"({quoted(k)}, {quoted(GRANT + '(?:' + v + ')' + AFTER)})" for k, v in NAMES.items())
+    named = f"""
+name_list(license, pattern) AS (VALUES {names}),
+name_units AS (SELECT doc_id, unnest(str_split(regexp_replace(lower(coalesce(text, '')), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) AS u FROM documents WHERE contains(lower(text), 'under ')),
+name_granted AS MATERIALIZED (SELECT * FROM name_units WHERE contains(u, 'under ') AND regexp_matches(u, {quoted(GRANT)}) AND NOT regexp_matches(u, {quoted(REFUSED)})),
+name_found AS (
+  SELECT DISTINCT doc_id, license FROM name_granted JOIN name_list ON regexp_matches(u, pattern)
+  UNION SELECT doc_id, license FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(lower(coalesce(text, '')), {quoted(SPDX)}, 1)), '(?:-only|-or-later|\\+)?[.+-]*$', '') AS license FROM documents) WHERE license <> '')"""
+    return f"""WITH {part('text', list(TEXTS.items()), plain)}, {part('notice', notice_templates(), marked)}, {named}
+SELECT * FROM text_found UNION ALL SELECT * FROM notice_found UNION ALL SELECT doc_id, license, 'name', 1.0, -1, 0 FROM name_found"""
 
 
 # a path has for each level L and the left digest, R and the right one, or R alone where a node is alone in its run

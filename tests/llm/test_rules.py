@@ -72,7 +72,7 @@ def test_licenses(spark, none):
 def test_licenses_of_odd_rows(odd):
     assert license_scan.scan_licenses(odd).count() == 0
     docs = odd.select("doc_id", "row").selectExpr("*", "'Released under the MIT License.' AS text")
-    assert license_scan.scan_licenses(docs).count() == docs.count()  # repeated rows and null doc_ids too
+    assert license_scan.scan_licenses(docs).where("kind = 'notice'").count() == docs.count() == license_scan.scan_licenses(docs).where("kind = 'name'").count()  # repeated rows and null doc_ids too
 
 
 def test_siblings_are_told_apart(spark):
@@ -150,3 +150,24 @@ def test_long_lines_of_very_many_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.n_removed_lines for r in quality_rules.quality_rules(docs, always_docs=25).collect()}
     assert got[0] == 1 and quality_rules.quality_rules(docs).where("doc_id = 0").first().n_removed_lines == 0
+
+
+# headers written without looking at the lists
+HEADERS = [
+    ("This project is released under the MIT License.", {"mit"}), ("This file is licensed under the MIT License.", {"mit"}), ("Licensed under the MIT license (see LICENSE).", {"mit"}),
+    ("Released under CC BY 4.0.", {"cc-by-4.0"}), ("Licensed under GPL-3.0", {"gpl-3.0"}), ("// SPDX-License-Identifier: MIT", {"mit"}), ("# SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0"}),
+    ("The code is distributed under the terms of the Apache License, Version 2.0; the docs are not.", {"apache-2.0"}), ("Our data set is available under CC-BY-SA 4.0, see below", {"cc-by-sa-4.0"}),
+    ("It is published under the 3-clause BSD license", {"bsd-3-clause"}), ("Content is shared under the GNU Lesser General Public License v2.1.", {"lgpl-2.1"}), ("Software provided under MPL 2.0", {"mpl-2.0"}),
+    ("All of it is licensed under the ISC License", {"isc"}), ("Not released under the MIT License", set()), ("This isn't licensed under the MIT License.", set()), ("Is it released under GPL-3.0?", set()),
+    ("The driver, unlike others, is licensed under the MIT License.", set()), ("He studied at MIT and was released under supervision", set()), ("Released under the Apache License, Version 2.1", set()), ("licensed under GPL-3.01", set()),
+]
+
+
+def test_licenses_inside_sentences(spark):
+    from folio.llm.license_scan import scan_licenses
+
+    docs = spark.createDataFrame([(i, "First line.\n" + t + "\nLast line.") for i, (t, _) in enumerate(HEADERS)], "doc_id long, text string")
+    found = {}
+    for r in scan_licenses(docs).where("kind = 'name'").collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    assert {i: found.get(i, set()) for i in range(len(HEADERS))} == {i: want for i, (_, want) in enumerate(HEADERS)}
