@@ -4,8 +4,8 @@ A line is normalised (ends trimmed of ASCII white space, lower case) and hashed.
 distinct text, so that copies of one document, which exact deduplication deals with, don't make its lines boilerplate.
 A line is removed on a host where more than ``max_docs`` distinct texts have it and they are more than ``max_share_percent`` of
 the host's, or, as a share says little on a large host, where it has LONG_LINE characters and more than ``always_docs`` texts have it.
-All of it is DataFrame functions; the only rows shuffled are hashes, as long as ``clean_text`` isn't asked for or the list of
-frequent lines is small.
+Lines meet the list of their host as rows of hashes, so what a row costs doesn't grow with its host's list. All of it is
+DataFrame functions; only hashes and counts are shuffled, but for the lines themselves where ``clean_text`` is asked for.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from folio.storage import cut
 WHITE = r"[\x20\x09-\x0D]"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Hashes that are broadcast at most: 16 MB.
-BROADCAST_HASHES = 2_000_000
 #: Characters from which a line that very many documents share is no chance.
 LONG_LINE = 30
 
@@ -71,20 +69,6 @@ def frequent_lines(docs: DataFrame, max_docs: int, max_share_percent: int, alway
     return by_line.join(by_host, "host").where(above).select("host", "h")
 
 
-def _with_common(counted: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Adds ``common``: a row's line hashes that are frequent on its host. The list goes to all tasks up to BROADCAST_HASHES of them; beyond, only
-    (row, hash) pairs are joined with it, those of hot lines where they are, and a row's own hashes come back to it."""
-    none = F.array().cast("array<long>")
-    hashes = F.transform("lines", lambda x: x["h"])
-    if frequent.count() <= BROADCAST_HASHES:
-        by_host = frequent.groupBy("host").agg(F.collect_list("h").alias("frequent"))
-        return counted.join(F.broadcast(by_host), "host", "left").withColumn("common", F.coalesce(F.array_intersect(hashes, F.col("frequent")), none)).drop("frequent")
-    held = cut(counted.withColumn("__row", F.monotonically_increasing_id()), "counted")
-    pairs = cut(held.select("__row", "host", F.explode(F.array_distinct(hashes)).alias("h")), "line-rows")
-    common = spread_join(pairs, frequent, ["host", "h"]).groupBy("__row").agg(F.collect_list("h").alias("common"))  # no more than a row's lines
-    return held.join(common, "__row", "left").withColumn("common", F.coalesce("common", none)).drop("__row")
-
-
 def quality_rules(
     docs: DataFrame,
     max_docs: int = 10,
@@ -96,8 +80,9 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    clean: bool = True,
 ) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, counts, base_failed, kept, and ``clean_text`` without the frequent lines.
+    """A row for each row of ``docs``: doc_id, counts, base_failed, kept, and with ``clean`` ``clean_text`` without the frequent lines.
 
     Null and empty texts fail the base rules; a null host is the empty host; a text of any length is read whole; ties need no order;
     repeated rows count as one text and each gets its row; an empty table gives no rows. Other columns of ``docs`` are left out, so
@@ -114,23 +99,29 @@ def quality_rules(
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows_of(F.col("words"), 5).alias("windows"),
-        F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).cast("long").alias("n"))).alias("lines"),
     )
-    joined = _with_common(with_coverage(counted, "windows", 5, "n_repeat_words"), frequent)
-    gone = F.filter("lines", lambda x: F.array_contains(F.col("common"), x["h"]))
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x["n"])
-    some = F.size("common") > 0
-    judged = joined.select(
-        "*",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.when(some, F.size(gone)).otherwise(0).cast("long").alias("n_removed_lines"),
-        F.when(some, chars(gone)).otherwise(0).alias("removed_chars"),
-        chars(F.col("lines")).alias("line_chars"),
-        F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("common"), line_hash(x))), "\n")).otherwise(text).alias("clean_text"),
-    )
+    counted = with_coverage(counted, "windows", 5, "n_repeat_words")
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    counted = counted.withColumns({"n_lines": F.size("lines").cast("long"), "line_chars": chars})
+    # written with a number for each row, so that the numbers stay
+    held = cut((counted if clean else counted.drop("text")).withColumn("__row", F.monotonically_increasing_id()), "counted", "zstd")
+    lines = held.select("__row", "host", F.explode("lines").alias("x")).select("__row", "host", "x.*")
+    gone = spread_join(lines, frequent, ["host", "h"]).groupBy("__row").agg(F.count("*").alias("n_removed_lines"), F.sum("n").alias("removed_chars"))
+    judged = held.drop("lines").join(gone, "__row", "left").fillna(0, ["n_removed_lines", "removed_chars"])
+    if clean:
+        judged = judged.join(_clean_texts(held, frequent), "__row", "left").withColumn("clean_text", F.when(F.col("n_removed_lines") == 0, text).otherwise(F.coalesce("clean_text", F.lit(""))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (100 * F.col("removed_chars") <= max_removed_percent * F.col("line_chars"))).alias("kept"),
-        "n_lines", "n_removed_lines", "removed_chars", "clean_text",
+        "n_lines", "n_removed_lines", "removed_chars", *(["clean_text"] if clean else []),
     )
+
+
+def _clean_texts(held: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(__row, clean_text): the lines of each row that aren't frequent on its host, in order."""
+    lines = held.select("__row", "host", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("h", line_hash(F.col("line")))
+    gone = spread_join(lines.select("__row", "host", "place", "h"), frequent, ["host", "h"]).select("__row", "place")
+    left = lines.select("__row", "place", "line").join(gone, ["__row", "place"], "left_anti")
+    return left.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("clean_text"))

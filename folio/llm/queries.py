@@ -21,7 +21,7 @@ def _vocabulary(name: str) -> str:
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.quality_rules import quality_rules
 
-    return quality_rules(_read(spark, sf_dir, "documents")).drop("clean_text")
+    return quality_rules(_read(spark, sf_dir, "documents"), clean=False)
 
 
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,14 +131,13 @@ def test_sql_of_siblings(spark):
 
 
 def test_lines_beyond_the_broadcast(spark, odd, none, monkeypatch):
-    """More frequent lines than may be sent to all tasks, and lines that a large share of all rows has: the same rows."""
+    """Lines that a large share of all rows has go to where the rows are: the same rows."""
     from folio.llm import spread
 
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
     rows = [(i, f"Shared LINE of the host \n{own(i)}\n\nother line {i % 3}", "a") for i in range(60)] + [(100, None, None), (100, None, None), (101, "", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(odd.select("doc_id", "text", "source"))
     want = sorted(map(str, quality_rules.quality_rules(docs).collect()))
-    monkeypatch.setattr(quality_rules, "BROADCAST_HASHES", 0)
     monkeypatch.setattr(spread, "LEAST_HOT", 3)
     assert sorted(map(str, quality_rules.quality_rules(docs).collect())) == want
     assert quality_rules.quality_rules(none).count() == 0
