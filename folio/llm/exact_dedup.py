@@ -124,21 +124,24 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _grouped(docs: DataFrame, key: str, hash_bits: int, id_col: str, text_col: str) -> DataFrame:
     """Every row's recipe, and of its group the size and the best row (p, z, d: doc_id, r: row)."""
-    held = cut(recipes(docs, F.col(key), hash_bits, id_col, text_col), "recipes")
+    # lists are compared by 128 bits of them, so that no key is as long as a text has chunks
+    told = recipes(docs, F.col(key), hash_bits, id_col, text_col).withColumns({"r1": F.xxhash64("recipe"), "r2": F.xxhash64(F.lit(1), "recipe")})
+    held = cut(told.drop("recipe"), "recipes")
     shared = _shared_rows(held)
     contents = chunks(docs, shared, key, hash_bits, text_col).groupBy("hash", "chunk").agg(F.lit(1).alias("one")).select("hash", "chunk")
     clashes = cut(contents.withColumn("number", F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1).where("number > 0"), "clashes")
     keyed = held.withColumn("clash", F.lit("")) if clashes.isEmpty() else cut(_tell_apart(docs, held, clashes, hash_bits, text_col), "keyed")
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
-    by = ["recipe", "n_bytes", "clash"]
+    by = ["r1", "r2", "n_bytes", "clash"]
     groups = cut(keyed.groupBy(*by).agg(F.count("*").alias("group_size"), F.min(best).alias("best")), "groups")
     return spread_join(keyed, groups, by)
 
 
 def _shared_rows(held: DataFrame) -> DataFrame:
     """The rows whose recipe another row has too: the only ones whose chunks are looked at."""
-    groups = held.groupBy("recipe", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("recipe", "n_bytes")
-    return spread_join(held, cut(groups, "shared-recipes"), ["recipe", "n_bytes"]).select("row")
+    by = ["r1", "r2", "n_bytes"]
+    groups = held.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    return spread_join(held, cut(groups, "shared-recipes"), by).select("row")
 
 
 def _tell_apart(docs: DataFrame, held: DataFrame, clashes: DataFrame, hash_bits: int, text_col: str) -> DataFrame:
