@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import spanning
-from folio.llm.encoding import INSIDE_RUN, PieceEncoder, binary_column, flat_values, gather, slices
+from folio.llm.encoding import INSIDE_RUN, PieceEncoder, binary_column, flat_values, gather, slices, strings
 from folio.llm.piece_bpe import SPACE, PieceModel
 from folio.storage import cut
 
@@ -93,7 +93,7 @@ class Aligner:
 
     def align(self, words: pa.Array) -> Alignment:
         """Of distinct words. The first ``KEPT`` words without a space stay aligned for later calls."""
-        keys = words.to_pylist()
+        keys = strings(words)
         at = np.fromiter(map(self.index.get, keys, [-1] * len(keys)), np.int64, len(keys))
         new = np.flatnonzero(at < 0).tolist()
         plain, odd = [i for i in new if " " not in keys[i]], [i for i in new if " " in keys[i]]

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import gather, slices
+from folio.llm.encoding import gather, slices, strings
 
 SPACE = "▁"
 NONE = np.int64(1) << 40  # the rank of pairs that don't merge
@@ -224,7 +224,7 @@ class PieceModel:
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         edges = split.offsets.to_numpy().astype(np.int64)
         pieces = split.flatten().dictionary_encode()
-        keys, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
+        keys, at = strings(pieces.dictionary), pieces.indices.to_numpy().astype(np.int64)
         empty = np.flatnonzero(pc.binary_length(pc.if_else(pa.array(odd), "", texts)).to_numpy(zero_copy_only=False) == 0)
         words = {int(i): [w[1:] for w in _WORD.findall(SPACE + texts[int(i)].as_py().replace(" ", SPACE))] for i in np.flatnonzero(odd)}
         more = {k: n for n, k in enumerate(keys)} if words else {}  # a word of an oddly spaced text may be one of the others' too
