@@ -24,13 +24,21 @@ from folio.llm.labelled import fold, keep_rows, training_rows
 MAX_ROWS = 20_000
 #: Words and word beginnings that the training rows may add to the lexicon.
 MAX_UNITS = 5000
+#: Units that a task counts before it hands their sums on, and bytes of text whose features are worked out at a time.
+HELD_UNITS, SLICE = 100_000, 1_000_000
 #: A word near a second-person word is at most so many words away.
 NEAR = 5
 #: Lengths of word beginnings that may enter the lexicon.
 PREFIXES = (5, 6, 7)
 
 # Insults, and second-person words of four languages.
-INSULTS = frozenset("idiot idiots moron morons stupid trash pathetic disgusting worthless clown clowns scum loser losers dumb imbecile jerk filth vermin retard bastard".split())
+INSULTS = frozenset((
+    "idiot idiots moron morons stupid trash pathetic disgusting worthless clown clowns scum loser losers dumb imbecile jerk filth vermin retard bastard "
+    "fool fools freak freaks creep creeps coward cowards pig pigs cretin cretins dimwit nitwit halfwit brainless useless repulsive scumbag lowlife psycho lunatic maggot maggots parasite parasites asshole bitch shit "
+    "dumm dummkopf blödmann trottel depp deppen vollidiot arschloch abschaum versager schwein schweine missgeburt hurensohn wichser spast drecksau widerlich erbärmlich wertlos "
+    "imbécile imbéciles crétin crétins connard connards connasse débile débiles abruti abrutis salaud salope ordure minable raclure enculé bouffon dégoûtant stupide "
+    "idiota idiotas imbécil imbéciles estúpido estúpida estúpidos tonto tonta cabrón gilipollas basura escoria mierda pendejo inútil payaso payasos asqueroso asquerosa perdedor patético"
+).split())
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer tú ti tus usted ustedes vosotros".split())
 # Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -113,9 +121,11 @@ class Featurizer:
         near = np.zeros(len(texts))
         if len(hits) and len(yous):
             k = np.searchsorted(yous, hits)
-            for other in (yous[np.minimum(k, len(yous) - 1)], yous[np.maximum(k - 1, 0)]):
-                close = (np.abs(other - hits) <= NEAR) & (owner[other] == owner[hits])
-                near += np.bincount(owner[hits[close]], minlength=len(texts))
+            for nth in (k, k - 1):  # the next one and the one before, if the same text has them
+                there = (nth >= 0) & (nth < len(yous))
+                other, hit = yous[nth[there]], hits[there]
+                close = (np.abs(other - hit) <= NEAR) & (owner[other] == owner[hit])
+                near += np.bincount(owner[hit[close]], minlength=len(texts))
         content = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, content), np.int64, len(content))
         by = np.bincount(np.repeat(np.arange(len(texts)) * 6, sizes) + self.kinds[np.frombuffer(b"".join(content), np.uint8)], minlength=6 * len(texts)).reshape(-1, 6)
@@ -138,6 +148,9 @@ def learned_lexicon(rows: DataFrame, least: int = 4, ratio: float = 3.0, most: i
     """Words and word beginnings of (text, label) rows that at least ``least`` positive documents hold, and in which positive documents
     outweigh what chance gives by ``ratio`` standard errors and the others two to one. At most ``most`` by weight, then by spelling."""
 
+    def told(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(counts)), pa.array([c[1] for c in counts.values()]), pa.array([c[0] for c in counts.values()])], names=["unit", "pos", "neg"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for batch in batches:
@@ -150,8 +163,11 @@ def learned_lexicon(rows: DataFrame, least: int = 4, ratio: float = 3.0, most: i
                         units.update(word[:n] + "-" for n in PREFIXES if len(word) >= n)
                 for u in units:
                     counts.setdefault(u, [0, 0])[label > 0] += 1
+                if len(counts) >= HELD_UNITS:
+                    yield told(counts)
+                    counts = {}
         if counts:
-            yield pa.record_batch([pa.array(list(counts)), pa.array([c[1] for c in counts.values()]), pa.array([c[0] for c in counts.values()])], names=["unit", "pos", "neg"])
+            yield told(counts)
 
     totals = {r.label > 0: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
@@ -187,7 +203,7 @@ def _matrix(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer(lexicon)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE):
                 x = featurizer.features(texts.to_pylist())
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(list(x), pa.list_(pa.float64())), batch.column(2).slice(at, len(texts))], names=["doc_id", "x", "label"])
 
@@ -202,7 +218,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer(model.lexicon)
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE):
                 x = featurizer.features(texts.to_pylist())
                 hits = (x[:, 1] + x[:, 3] + x[:, 5]).astype(np.int64)
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(model.score(x)), pa.array(hits)], names=["doc_id", "score", "lexicon_hits"])

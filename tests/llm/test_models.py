@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -193,3 +194,36 @@ def test_isotonic_against_enumeration():
         _, _, at, value = min(fits)
         assert np.allclose(got.at, at) and np.allclose(got.value, value)
         assert (np.diff(got.value) >= 0).all()
+
+
+def _plain_features(text, lexicon):
+    """The features of one text, each worked out on its own."""
+    import math
+
+    words = text.split()
+    told = [lexicon.classify(w) for w in words]
+    n, size = max(1, len(words)), max(1, len(text.encode()))
+    insults, hidden = sum(t[0] == 1 for t in told), sum(t[0] == 2 for t in told)
+    learned = sum(t[1] > 0 for t in told)
+    yous = [i for i, t in enumerate(told) if t[2]]
+    near = 0
+    for i, t in enumerate(told):
+        if (t[0] or t[1] > 0) and yous:
+            sides = [j for j in yous if j >= i][:1] + [j for j in yous if j < i][-1:]
+            near += sum(abs(j - i) <= toxicity.NEAR for j in sides)
+    share = lambda test: sum(test(c) for c in text if ord(c) < 127) / size
+    marks = ".,;:'\"-()"
+    return [
+        math.log1p(len(words)), insults, insults / n, learned, learned / n, hidden, hidden / n, near, near / n, len(yous) / n, share(str.isupper), sum(t[3] for t in told) / n,
+        share(lambda c: c in "!?"), share(lambda c: c in marks), share(str.isdigit), share(lambda c: 33 <= ord(c) and not c.isalnum() and c not in "!?" + marks), sum(t[4] for t in told) / n, float(insults + hidden > 0), max((t[1] for t in told), default=0.0),
+    ]
+
+
+def test_features_are_the_plain_ones():
+    rnd = random.Random(9)
+    parts = ["you", "idiot", "1d1ot", "st*pid", "WORD", "sooooo", "du", "Depp!", "badword", "prefixed", "x" * 30, "...", "é", "n0w", "$$$", "plain", "tú", "payaso,", "\n", "(a)"]
+    texts = ["", " ", *(" ".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(300))]
+    lexicon = toxicity.Lexicon({"badword": 2.0, "prefi-": 1.5})
+    for cached in (0, 5, 1000):
+        got = toxicity.Featurizer(lexicon, cached).features(texts)
+        assert np.allclose(got, [_plain_features(t, lexicon) for t in texts], atol=1e-6)
