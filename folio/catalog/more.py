@@ -13,7 +13,8 @@ from folio.functions import html as H
 from folio.functions import text as T
 from folio.operators import answers, assets, bm25, context, graph, guard, metrics, patterns, state
 from folio.operators.bm25 import top_k
-from folio.storage import cut
+from folio.plans import embedding
+from folio.storage import cut, new_folder
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN left(text, 500) || '…' ELSE text END) AS digest FROM documents")
@@ -196,3 +197,21 @@ def image_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(raw).alias("raw"), F.lit(f"/assets/{a}").alias("img_url"), F.lit(a).alias("asset_id")) for n, (raw, a) in enumerate((("![a](a.png)", "a"), ("![b](b.png)", "b"), ("![[c.png|300]]", "c")))))
     images = chunks.select("doc_id").distinct().select("doc_id", F.inline(known)).where("n <> 1 OR doc_id % 2 = 0")
     return patterns.bind_images(chunks, images).select("doc_id", "chunk", "img_url")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedder: characters, and how many of them are a few letters."""
+    return [[float(len(t)), *(float(t.count(c)) for c in "aenst")] for t in texts]
+
+
+@query("""
+SELECT doc_id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e,
+       (length(text) - length(replace(text, 't', '')))::DOUBLE AS t, 0::BIGINT AS embedded_again FROM documents WHERE trim(text) <> ''""")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents embedded in batches, and once more: the table of vectors then knows every content."""
+    store = f"{new_folder(spark, 'vectors')}/table"
+    docs = table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id", F.col("text").alias("content"))
+    found = embedding.embedded(docs, _letters, store)
+    again = embedding.embed_new(docs, _letters, store)
+    part = lambda i: F.col("embedding")[i].cast("double")
+    return found.select("doc_id", part(0).alias("size"), part(1).alias("a"), part(2).alias("e"), part(5).alias("t"), F.lit(again).cast("long").alias("embedded_again"))

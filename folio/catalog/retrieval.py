@@ -123,6 +123,19 @@ def filtered_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "id", F.round(1 - F.col("similarity"), 6).alias("distance"), "rank")
 
 
+@query(f"""WITH c AS (SELECT doc_id, str_split(text, chr(10))[1] AS heading_path, lang AS tag FROM documents),
+{_KNN_SQL.replace('q.vec_id <> v.vec_id', "q.vec_id <> v.vec_id AND v.vec_id IN (SELECT doc_id FROM c WHERE tag = 'de' AND contains(heading_path, 'er'))")}
+SELECT query, id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM knn WHERE rank <= 10""")
+def metadata_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest among documents with a tag and with a part of a heading: the condition holds before the search."""
+    heading = F.substring_index("text", "\n", 1).alias("heading_path")
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(None).cast("string").alias("filepath"), heading, F.array("lang").alias("tags"))
+    vectors = table(spark, sf_dir, "embeddings")
+    some = vectors.join(known.where(dense.metadata_where(heading="er", tag="de")).select("vec_id"), "vec_id", "left_semi")
+    found = dense.knn_join(some, vectors.where(F.col("vec_id") % EVERY == 0), 10)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 _DENSE_NORM = """
 dn AS (SELECT query, id, 1 - (d - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END AS dense
        FROM (SELECT *, 1 - similarity AS d, min(1 - similarity) OVER (PARTITION BY query) AS lo, max(1 - similarity) OVER (PARTITION BY query) AS hi FROM knn))"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog import query, table
-from folio.functions.splitting import sections, split_parents
+from folio.functions.splitting import parents_by_text, sections
 from folio.plans.index_build import flat_chunks, window_chunks
 
 
@@ -44,5 +44,5 @@ def split_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = split_parents(sections(_headed(table(spark, sf_dir, "documents"))))
+    found = parents_by_text(_headed(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "parent", "parent_path", "child", "child_path", F.length("child_body").alias("n_chars"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, StringType
 
 from folio.functions.text import HEADING, NO_HEADING
@@ -105,6 +106,77 @@ def common_prefix(paths: list[str]) -> str:
     return " > ".join(shared) or NO_HEADING
 
 
+FAMILY = ("parent", "parent_path", "parent_body", "child", "child_path", "child_body")
+
+
+def families(found: list[tuple[str, str, str]], child_size: int, child_overlap: int, parent_size: int, parent_overlap: int) -> Iterator[tuple[int, str, str, int, str, str]]:
+    """(parent, parent_path, parent_body, child, child_path, child_body) of one document's sections (heading_path, top, body) in order."""
+    runs: list[list[tuple[str, str, str]]] = []
+    size = 0
+    for path, top, body in found:
+        if runs and runs[-1][0][1] == top and size + len(body) <= parent_size:
+            runs[-1].append((path, top, body))
+            size += len(body)
+        else:
+            runs.append([(path, top, body)])
+            size = len(body)
+    parent = 0
+    for group in runs:
+        whole, shared = "\n\n".join(x[2] for x in group), common_prefix([x[0] for x in group])
+        if len(whole) <= parent_size:
+            parts = [(whole, [(path, c) for path, _, body in group for c in recursive(body, child_size, child_overlap)])]
+        else:
+            parts = [(p, [(shared, c) for c in recursive(p, child_size, child_overlap)]) for p in recursive(whole, parent_size, parent_overlap)]
+        for text, kids in parts:
+            for k, (path, kid) in enumerate(kids):
+                yield parent, shared, text, k, path, kid
+            parent += 1
+
+
+# what Java's patterns take for white space and for ends of lines
+_WHITE = " \t\n\x0b\f\r"
+_HEADING = re.compile("(#{1,6})[ \\t\\x0b\\f\\r]+([^\\n\\r\x85\u2028\u2029]+)(?:\\r\\n|[\\n\\r\x85\u2028\u2029])?\\Z")
+_FENCE = re.compile("[ \\t\\x0b\\f\\r]*(```|~~~)")
+
+
+def text_sections(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """(section, heading_path, top, body) of one text: what ``sections`` gives for it."""
+    names: list[str | None] = [None] * MAX_DEPTH
+    section, fenced, body = 0, False, []
+
+    def told() -> tuple[int, str, str, str]:
+        path = " > ".join(n for n in names if n) or NO_HEADING
+        return section, path, next((n for n in (*names[1:], names[0]) if n is not None), ""), "\n".join(body).strip(_WHITE)
+
+    for line in text.split("\n"):
+        fenced ^= bool(_FENCE.match(line))
+        found = None if fenced else _HEADING.match(line)
+        if found is None:
+            body.append(line)
+            continue
+        if (row := told())[3]:
+            yield row
+        level = len(found.group(1))
+        names[level - 1 :] = [found.group(2).strip(" "), *[None] * (MAX_DEPTH - level)]
+        section, body = section + 1, []
+    if (row := told())[3]:
+        yield row
+
+
+def parents_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", child_size: int = 800, child_overlap: int = 150, parent_size: int = 2000, parent_overlap: int = 200) -> DataFrame:
+    """The rows of ``split_parents(sections(docs))`` by one table function over each text, joined laterally: nothing is shuffled, and repeated rows stay apart.
+
+    Null and blank texts have no rows; a text of any length is one call."""
+
+    @udtf(returnType="parent long, parent_path string, parent_body string, child long, child_path string, child_body string", useArrow=True)
+    class SplitParents:
+        def eval(self, text: str) -> Iterator[tuple]:
+            if text:
+                yield from families([x[1:] for x in text_sections(text)], child_size, child_overlap, parent_size, parent_overlap)
+
+    return docs.select(id_col, text_col).lateralJoin(SplitParents(F.col(text_col).outer())).select(id_col, *FAMILY)
+
+
 def split_parents(found: DataFrame, id_col: str = "doc_id", child_size: int = 800, child_overlap: int = 150, parent_size: int = 2000, parent_overlap: int = 200) -> DataFrame:
     """(doc id, parent, parent_path, parent_body, child, child_path, child_body) from ``sections``.
 
@@ -113,23 +185,8 @@ def split_parents(found: DataFrame, id_col: str = "doc_id", child_size: int = 80
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("section")
-        runs: list[list] = []
-        for s in rows.itertuples():
-            if runs and runs[-1][0].top == s.top and sum(len(x.body) for x in runs[-1]) + len(s.body) <= parent_size:
-                runs[-1].append(s)
-            else:
-                runs.append([s])
-        out, parent = [], 0
-        for group in runs:
-            body, path = "\n\n".join(x.body for x in group), common_prefix([x.heading_path for x in group])
-            if len(body) <= parent_size:
-                parts = [(body, [(x.heading_path, c) for x in group for c in recursive(x.body, child_size, child_overlap)])]
-            else:
-                parts = [(p, [(path, c) for c in recursive(p, child_size, child_overlap)]) for p in recursive(body, parent_size, parent_overlap)]
-            for text, kids in parts:
-                out += [(rows[id_col].iloc[0], parent, path, text, k, kid_path, kid) for k, (kid_path, kid) in enumerate(kids)]
-                parent += 1
-        return pd.DataFrame(out, columns=[id_col, "parent", "parent_path", "parent_body", "child", "child_path", "child_body"])
+        made = families(list(zip(rows["heading_path"], rows["top"], rows["body"], strict=True)), child_size, child_overlap, parent_size, parent_overlap)
+        return pd.DataFrame([(rows[id_col].iloc[0], *row) for row in made], columns=[id_col, *FAMILY])
 
     kind = dict(found.dtypes)[id_col]
     return found.groupBy(id_col).applyInPandas(run, f"{id_col} {kind}, parent long, parent_path string, parent_body string, child long, child_path string, child_body string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - cosine(a, b)
 
 
+def metadata_where(filepath: str | None = None, heading: str | None = None, tag: str | None = None) -> Column | None:
+    """A condition on rows (filepath, heading_path, tags), for a search among those that meet it: the file, a part of the heading path, one of the tags. None asks for nothing.
+
+    It stands before the search, so Catalyst pushes the file's part into the scan, and k rows come back if so many meet it."""
+    asked = []
+    if filepath:
+        asked.append(F.col("filepath") == filepath)
+    if heading:
+        asked.append(F.contains(F.coalesce("heading_path", F.lit("")), F.lit(heading)))
+    if tag:
+        asked.append(F.coalesce(F.array_contains("tags", tag), F.lit(False)))
+    return reduce(lambda a, b: a & b, asked) if asked else None
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query, id, similarity, rank): the k most similar rows of ``vectors`` to each row of ``queries``. Rows and queries without an id or a vector take no part.
 
