@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: str | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet; removed when the driver's Python ends."""
+    """A path in the shared folder that nothing has used yet; removed at the end of the innermost ``scope``, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, path)
     return path
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Folders that are made in here go at its end: what they were for has been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(path)
+
+
 def _remove(path: str) -> None:
     try:
         fs, inner = open_fs(path)
