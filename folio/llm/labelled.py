@@ -14,6 +14,8 @@ from folio.storage import cut
 
 #: Parts that training rows are written in.
 PARTS = 32
+#: Bytes of text that are judged at a time.
+SLICE = 1_000_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -44,7 +46,7 @@ def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
         for batch in batches:
-            for at, texts in slices(batch.column(at_text).cast(pa.string())):
+            for at, texts in slices(batch.column(at_text).cast(pa.string()), SLICE):
                 yield batch.slice(at, len(texts)).filter(pa.array(keep(texts.to_pylist())))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,6 +26,8 @@ from folio.llm.labelled import fold, keep_rows, training_rows
 from folio.storage import cut
 
 MAX_ROWS = 6_000
+#: Lines of a chain that step one after another.
+BLOCK = 512
 MAX_LINES = 150_000
 #: Rounds of relabelling, and steps of the first fit and of those that go on from it.
 ROUNDS, FIRST_STEPS, NEXT_STEPS = 3, 100, 30
@@ -71,35 +73,61 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, before, behind, first[:, None] * 1.0, last[:, None] * 1.0], axis=1), s[:, 0], counts
 
 
+def _soft(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
 def marginals(score: np.ndarray, counts: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward over all chains at once. ``score``: each line's (bad, good) scores; chains are runs of ``counts`` lines.
 
+    Chains are cut in blocks of ``BLOCK`` lines that step side by side. What a block does to the state at its first line is a product of 2 x 2 matrices; with those,
+    states pass from block to block first. So steps grow with BLOCK and the blocks of the longest chain, not with its lines.
     Returns each line's label marginals, the summed marginals of neighbouring label pairs, and the summed log partition."""
     chains = np.flatnonzero(counts)
-    order = chains[np.argsort(-counts[chains], kind="stable")]
-    begin, size = (np.cumsum(counts) - counts)[order], counts[order]
-    steps = int(size[0]) if len(size) else 0
-    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(steps)]  # chains with more than t lines
+    if not len(chains):
+        return score, np.zeros((2, 2)), 0.0
+    n_blocks = -(-counts[chains] // BLOCK)
+    chain = np.repeat(np.arange(len(chains)), n_blocks)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    begin = (np.cumsum(counts) - counts)[chains][chain] + nth * BLOCK
+    size = np.minimum(BLOCK, counts[chains][chain] - nth * BLOCK)
+    order = np.argsort(-size, kind="stable")
+    steps = int(size[order[0]])
+    live = [order[: int(np.searchsorted(-size[order], -t, side="left"))] for t in range(steps)]  # blocks with more than t lines
     alpha, beta = np.zeros_like(score), np.zeros_like(score)
-    log_z = np.zeros(len(order))
-
-    def soft(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    for t in range(steps):
-        at = begin[: live[t]] + t
-        alpha[at] = score[at] + (start if t == 0 else soft(alpha[at - 1][:, :, None] + trans, 1))
+    entry, leave = start + score[begin], np.zeros((len(chain), 2))  # alpha of a block's first line, beta of its last one
+    if len(chain) > len(chains):
+        through = np.tile(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (len(chain), 1, 1))  # from the first line's state to the last one's
+        for t in range(1, steps):
+            some = live[t]
+            through[some] = _soft(through[some][:, :, :, None] + trans, 2) + score[begin[some] + t][:, None, :]
+        turn = np.argsort(nth, kind="stable")
+        edges = np.searchsorted(nth[turn], np.arange(int(nth.max()) + 2))
+        for j in range(1, len(edges) - 1):
+            some = turn[edges[j] : edges[j + 1]]
+            entry[some] = _soft(_soft(entry[some - 1][:, :, None] + through[some - 1], 1)[:, :, None] + trans, 1) + score[begin[some]]
+        for j in range(len(edges) - 2, 0, -1):
+            some = turn[edges[j] : edges[j + 1]]
+            ahead = score[begin[some]] + _soft(through[some] + leave[some][:, None, :], 2)
+            leave[some - 1] = _soft(trans + ahead[:, None, :], 2)
+    alpha[begin], beta[begin + size - 1] = entry, leave
+    for t in range(1, steps):
+        at = begin[live[t]] + t
+        alpha[at] = score[at] + _soft(alpha[at - 1][:, :, None] + trans, 1)
+    log_z = _soft(alpha[(begin + size - 1)[np.append(nth[1:] == 0, True)]], 1)
     pair = np.zeros((2, 2))
-    log_z = soft(alpha[begin + size - 1], 1) if len(order) else log_z
     for t in range(steps - 2, -1, -1):
-        at = begin[: live[t + 1]] + t
+        at = begin[live[t + 1]] + t
         ahead = trans + (score[at + 1] + beta[at + 1])[:, None, :]
-        beta[at] = soft(ahead, 2)
-        pair += np.exp(alpha[at][:, :, None] + ahead - log_z[: live[t + 1], None, None]).sum(axis=0)
-    where = np.zeros(len(score), np.int64)
-    where[np.repeat(begin, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))] = np.repeat(np.arange(len(order)), size)
-    return np.exp(alpha + beta - log_z[where][:, None]) if len(order) else score, pair, float(log_z.sum())
+        beta[at] = _soft(ahead, 2)
+        pair += np.exp(alpha[at][:, :, None] + ahead - log_z[chain[live[t + 1]], None, None]).sum(axis=0)
+    later = np.flatnonzero(nth > 0)
+    if len(later):
+        at = begin[later]
+        pair += np.exp(alpha[at - 1][:, :, None] + trans + (score[at] + beta[at])[:, None, :] - log_z[chain[later], None, None]).sum(axis=0)
+    of = np.repeat(np.arange(len(chains)), counts[chains])
+    return np.exp(alpha + beta - log_z[of][:, None]), pair, float(log_z.sum())
 
 
 @dataclass
@@ -265,6 +293,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more by the rules of ``quality``, as they were, with all their columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, as they were, with all their columns, whatever their names.
+
+    Null and empty texts are scored as a text of bad lines, repeated rows alike; a text of any length is scored whole; the threshold itself stays; an empty table stays
+    empty; without labels every score is 0, so no row stays."""
     model = train(training_rows(docs, labels, "quality", ~held_out(F.col("doc_id")), max_rows))
     return keep_rows(docs, lambda: lambda texts: model.calibration.apply(model.good_share(*line_features(texts))[0]) >= threshold)

@@ -242,7 +242,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold`` by the rules of ``toxicity``, as they were, with all their columns."""
+    """The rows of ``docs`` that score under ``threshold``, as they were, with all their columns, whatever their names.
+
+    Null and empty texts are scored as empty, repeated rows alike; a text of any length is scored whole; the threshold itself goes; an empty table stays empty; without
+    labels every score is 0, so all rows stay."""
     model = train(training_rows(docs, labels, "toxic", ~held_out(F.col("doc_id")), max_rows))
 
     def judge():

@@ -37,7 +37,9 @@ def test_boosting_learns_an_interaction():
     assert _auc(boosting.fit(x[:1500], y[:1500]).margin(x[1500:]), y[1500:]) > 0.95
 
 
-def test_marginals_against_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 4, 512])
+def test_marginals_against_enumeration(monkeypatch, block):
+    monkeypatch.setattr(line_crf, "BLOCK", block)
     rnd = np.random.default_rng(3)
     counts = np.array([3, 0, 1, 5])
     score, trans, start = rnd.normal(size=(9, 2)), rnd.normal(size=(2, 2)), rnd.normal(size=2)
@@ -58,6 +60,16 @@ def test_marginals_against_enumeration():
     assert np.allclose(got, want) and np.allclose(pair, want_pair) and log_z == pytest.approx(want_z)
 
 
+def test_long_chains_in_blocks(monkeypatch):
+    rnd = np.random.default_rng(4)
+    counts = np.array([5000, 3, 0, 1700, 512, 513])
+    score, trans, start = rnd.normal(size=(int(counts.sum()), 2)), rnd.normal(size=(2, 2)), rnd.normal(size=2)
+    got, pair, log_z = line_crf.marginals(score, counts, trans, start)
+    monkeypatch.setattr(line_crf, "BLOCK", 10_000)
+    want, want_pair, want_z = line_crf.marginals(score, counts, trans, start)
+    assert np.allclose(got, want) and np.allclose(pair, want_pair) and log_z == pytest.approx(want_z)
+
+
 @pytest.mark.parametrize(("run", "label", "folds", "out", "least"), [(toxicity.toxicity, "toxic", 3, 1, 0.8), (line_crf.quality, "quality", 5, 0, 0.95)])
 def test_held_out(spark, run, label, folds, out, least):
     sf = "/root/testdata/sf0.01"
