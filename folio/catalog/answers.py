@@ -9,24 +9,39 @@ from folio.catalog import query, table
 from folio.operators import answers, assets
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a": 1}', 'sufficient', 0.5::DOUBLE), (2, NULL, 'rewrite', 1.0), (3, NULL, 'sufficient', NULL), (4, '{"b": {"c": 2}}', 'sufficient', 0.0)) v(id, block, verdict, share)""")
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+
+
+_ID = "conv_id || '-' || turn AS id"
+
+
+@query(f"""SELECT {_ID}, CASE turn % 4 WHEN 0 THEN '{{"turn": ' || turn || '}}' WHEN 3 THEN '{{"b": {{"c": ' || turn || '}}}}' END AS block, CASE turn % 4 WHEN 1 THEN 'rewrite' ELSE 'sufficient' END AS verdict,
+  CASE turn % 4 WHEN 0 THEN least(1.0, (length(text) % 100) / 50.0) WHEN 1 THEN 1.0 WHEN 3 THEN 0.0 END::DOUBLE AS share FROM conversations""")
 def judge_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("""SELECT * FROM (VALUES (1, 'Here: ```json {"a": 1} ``` done', 'nonsense', '0.5'), (2, 'no json', ' REWRITE ', '7'), (3, 'open { only', NULL, 'high'), (4, '{"b": {"c": 2}}', 'Sufficient', '-1')) v(id, t, v, s)""")
-    return rows.select("id", answers.json_block(F.col("t")).alias("block"), answers.verdict(F.col("v")).alias("verdict"), answers.clamp(F.col("s")).alias("share"))
+    """Turns as what a judge says: its object inside the text, open, or not there, its verdict and its share as it wrote them."""
+    said = F.expr("""concat(text, CASE turn % 4 WHEN 0 THEN concat(' ```json {"turn": ', turn, '} ``` done') WHEN 2 THEN ' open { only' WHEN 3 THEN concat('{"b": {"c": ', turn, '}}') ELSE '' END)""")
+    word = F.expr("CASE turn % 4 WHEN 0 THEN 'nonsense' WHEN 1 THEN ' REWRITE ' WHEN 3 THEN 'Sufficient' END")
+    share = F.expr("CASE turn % 4 WHEN 0 THEN CAST((length(text) % 100) / 50 AS string) WHEN 1 THEN '7' WHEN 2 THEN 'high' ELSE '-1' END")
+    return _turns(spark, sf_dir).select("id", answers.json_block(said).alias("block"), answers.verdict(word).alias("verdict"), answers.clamp(share).alias("share"))
 
 
-@query(r"""SELECT * FROM (VALUES (1, 'see ![Fig](/assets/aa) and '), (2, 'nothing'), (3, '![Fig](/assets/aa)![](/assets/bb)')) v(id, answer)""")
+@query(f"""SELECT {_ID}, text || ' ' || CASE turn % 3 WHEN 0 THEN '![Fig](/assets/a0)' WHEN 1 THEN '![](/assets/a1)' ELSE '' END || ' and ' || CASE turn % 2 WHEN 0 THEN '![Fig](/assets/a0)' ELSE '' END AS answer FROM conversations""")
 def image_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'see [[IMG:aa]] and [[IMG:ghost]]'), (2, 'nothing'), (3, '[[IMG:aa]][[IMG:bb]]')) v(id, answer)")
-    known = spark.sql("SELECT * FROM (VALUES ('aa', '/assets/aa', 'Fig'), ('bb', '/assets/bb', NULL)) v(asset_id, img_url, alt)")
+    """Marks of two known images and of one that nobody has, behind the text of each turn."""
+    rows = _turns(spark, sf_dir).select("id", F.expr("concat(text, ' [[IMG:a', turn % 3, ']] and ', CASE turn % 2 WHEN 0 THEN '[[IMG:a0]]' ELSE '[[IMG:ghost]]' END)").alias("answer"))
+    known = table(spark, sf_dir, "nation").where("n_nationkey < 2").select(F.concat(F.lit("a"), "n_nationkey").alias("asset_id"), F.concat(F.lit("/assets/a"), "n_nationkey").alias("img_url"), F.when(F.col("n_nationkey") == 0, "Fig").alias("alt"))
     return answers.replace_marks(rows, known)
 
 
-@query(r"""SELECT id, replace(a, '~', chr(10)) AS answer FROM (VALUES (1, 'text /assets/a~~---~**相关图片：**~~![B](/assets/b)~'), (2, 'none')) v(id, a)""")
+@query(f"""SELECT {_ID}, CASE turn % 3 WHEN 0 THEN text || ' /assets/a' || n || '---' || n || '**相关图片：**' || n || n || '![B](/assets/b)' || n
+  WHEN 1 THEN text || n || n || '---' || n || '**相关图片：**' || n || n || '![A](/assets/a)' || n || n || '![B](/assets/b)' || n ELSE text END AS answer FROM conversations, (SELECT chr(10) AS n)""".replace("' /assets/a' || n ||", "' /assets/a' || n || n ||"))
 def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'text /assets/a'), (2, 'none')) v(id, answer)")
-    images = spark.sql("SELECT * FROM (VALUES (1, 1, '/assets/a', 'A'), (1, 2, '/assets/b', 'B')) v(id, n, img_url, alt)")
-    return answers.append_images(rows, images)
+    """Two of three turns have two images in their context; one of them names the first itself."""
+    rows = _turns(spark, sf_dir).select("id", "turn", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" /assets/a"))).otherwise(F.col("text")).alias("answer"))
+    two = F.expr("array(struct(1 AS n, '/assets/a' AS img_url, 'A' AS alt), struct(2 AS n, '/assets/b' AS img_url, 'B' AS alt))")
+    images = rows.where("turn % 3 <> 2").select("id", F.inline(two))
+    return answers.append_images(rows.select("id", "answer"), images)
 
 
 @query("""
@@ -48,25 +63,37 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.context_block(docs.select("query", "rank", F.col("source").alias("title"), (first + 86400 * (F.col("doc_id") % 3)).alias("mtime"), F.col("text").alias("content")))
 
 
-@query("""SELECT * FROM (VALUES (1, 'obsidian://open?vault=My%20Notes&file=a%2Fb%20c', '1a-ff', '[x](http://h/assets/1)')) v(id, link, tag, url)""")
+@query("""SELECT doc_id AS id, 'obsidian://open?vault=My%20Notes&file=' || source || '%2F' || lang || '%20' || doc_id AS link, lower(hex(doc_id)) || '-' || lower(hex(n_chars)) AS tag, '[x](http://h/assets/' || doc_id || ')' AS url FROM documents""")
 def links_and_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = spark.sql("SELECT 1 AS id, 'a/b c.md' AS path, 26.7D AS mtime, 255L AS size, '[x](/assets/1)' AS t")
-    return row.select("id", answers.deep_link(F.col("path"), "My Notes").alias("link"), answers.etag(F.col("mtime"), F.col("size")).alias("tag"), answers.absolute_assets(F.col("t"), "http://h/").alias("url"))
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), "lang", F.lit(" "), "doc_id", F.lit(".md"))
+    asset = F.concat(F.lit("[x](/assets/"), "doc_id", F.lit(")"))
+    return docs.select(F.col("doc_id").alias("id"), answers.deep_link(path, "My Notes").alias("link"), answers.etag(F.col("doc_id") + 0.7, F.col("n_chars")).alias("tag"), answers.absolute_assets(asset, "http://h/").alias("url"))
 
 
-IMAGES = """(VALUES (1, 'shot.png', X'89504E470D0A1A0A0000000D4948445200000320000002580806', 90000L), (2, 'logo.png', X'89504E470D0A1A0A0000000D4948445200000320000002580806', 90000L), (3, 'a.gif', X'4749463839610A001400', 9000L),
-  (4, 'd.svg', CAST('<svg width="640" height="480"></svg>' AS BINARY), 100L), (5, 'x.jpg', X'FFD8FFE0', 4000L), (6, 'y.bin', X'00010203', 90000L)) v(id, name, content, size)"""
-
-
-@query("""SELECT * FROM (VALUES (1, 'image/png', 800::BIGINT, 600::BIGINT, 'need_vlm'), (2, 'image/png', 800, 600, 'decorative'), (3, 'image/gif', 10, 20, 'decorative'), (4, 'image/svg+xml', 640, 480, 'use_svg'),
-  (5, 'image/jpeg', NULL, NULL, 'decorative'), (6, NULL, NULL, NULL, 'need_vlm')) v(id, mime, width, height, treatment)""")
+@query(f"""
+WITH i AS (SELECT doc_id AS id, doc_id % 6 AS k, 1 + doc_id % 2000 AS w, 1 + n_chars % 900 AS h, n_chars * 10 AS size FROM documents),
+d AS (SELECT *, CASE WHEN k = 0 OR k = 1 THEN 'image/png' WHEN k = 2 THEN 'image/gif' WHEN k = 3 THEN 'image/svg+xml' WHEN k = 4 THEN 'image/jpeg' END AS mime, CASE WHEN k <= 3 THEN w END AS width, CASE WHEN k <= 3 THEN h END AS height FROM i)
+SELECT id, mime, width, height, CASE WHEN k = 3 THEN 'use_svg'
+  WHEN k = 1 OR (k <= 3 AND (least(w, h) < {assets.LEAST_SIDE} OR greatest(w, h) > {assets.MOST_RATIO} * least(w, h))) OR (size > 0 AND size < {assets.LEAST_BYTES}) THEN 'decorative' ELSE 'need_vlm' END AS treatment FROM d""")
 def image_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM " + IMAGES).select("id", "name", "size", assets.mime(F.col("content")).alias("mime"), assets.dimensions(F.col("content")).alias("d"))
+    """Headers of PNG (one of them a logo), GIF, SVG, JPEG without a frame and unknown files, whose sides and sizes follow the documents."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "doc_id % 6 AS k", "1 + doc_id % 2000 AS w", "1 + n_chars % 900 AS h", "n_chars * 10 AS size")
+    png = "unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'), '0806'))"
+    gif = "unhex(concat('474946383961', lpad(hex(w % 256), 2, '0'), lpad(hex(w div 256), 2, '0'), lpad(hex(h % 256), 2, '0'), lpad(hex(h div 256), 2, '0')))"
+    content = f"CASE WHEN k <= 1 THEN {png} WHEN k = 2 THEN {gif} WHEN k = 3 THEN CAST(concat('<svg width=\"', w, '\" height=\"', h, '\"></svg>') AS binary) WHEN k = 4 THEN unhex('FFD8FFE0') ELSE unhex('00010203') END"
+    rows = rows.withColumn("content", F.expr(content)).withColumn("name", F.expr("CASE k WHEN 1 THEN 'logo.png' ELSE concat('photo', id) END"))
+    rows = rows.select("id", "name", "size", assets.mime(F.col("content")).alias("mime"), assets.dimensions(F.col("content")).alias("d"))
     return rows.select("id", "mime", "d.width", "d.height", assets.treatment(F.col("name"), F.col("mime"), F.col("d.width"), F.col("d.height"), F.col("size")).alias("treatment"))
 
 
-@query("""SELECT * FROM (VALUES ('n', 'x.png', 'n/x.png'), ('n', 'img/y.png', 'img/y.png'), ('n', 'z.png', 'deep/z.png'), ('', 'gone.png', NULL), ('n', 'http://h/x.png', NULL), ('n', 'a%20b.png', 'n/a b.png')) v(note_dir, src, path)""")
+@query("""
+SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN source || '/' || doc_id || '.png' WHEN 1 THEN 'img/' || doc_id || '.png' WHEN 2 THEN 'deep/' || lang || '/' || doc_id || '.png' WHEN 5 THEN source || '/a ' || doc_id || '.png' END AS path FROM documents""")
 def image_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.sql("SELECT * FROM (VALUES ('n', 'x.png'), ('n', 'img/y.png'), ('n', 'z.png'), ('', 'gone.png'), ('n', 'http://h/x.png'), ('n', 'a%20b.png')) v(note_dir, src)")
-    files = spark.sql("SELECT * FROM (VALUES ('n/x.png'), ('x.png'), ('img/y.png'), ('deep/z.png'), ('other/z.png'), ('n/a b.png')) v(path)")
-    return assets.resolve(asked, files)
+    """Images beside their note, below the root, elsewhere by name, nowhere, remote, and with a space in their name; decoys of the first kind stand elsewhere too."""
+    docs = table(spark, sf_dir, "documents")
+    src = "CASE doc_id % 6 WHEN 1 THEN concat('img/', doc_id, '.png') WHEN 4 THEN concat('http://h/', doc_id, '.png') WHEN 5 THEN concat('a%20', doc_id, '.png') ELSE concat(doc_id, '.png') END"
+    asked = docs.selectExpr("doc_id AS id", "source AS note_dir", f"{src} AS src")
+    path = "CASE doc_id % 6 WHEN 0 THEN concat(source, '/', doc_id, '.png') WHEN 1 THEN concat('img/', doc_id, '.png') WHEN 2 THEN concat('deep/', lang, '/', doc_id, '.png') WHEN 5 THEN concat(source, '/a ', doc_id, '.png') END"
+    files = docs.selectExpr(f"{path} AS path").where("path IS NOT NULL").unionByName(docs.where("doc_id % 6 = 0").selectExpr("concat('aa/', doc_id, '.png') AS path"))
+    return assets.resolve(asked, files).select("id", "path")

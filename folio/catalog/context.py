@@ -90,22 +90,31 @@ def no_new_doc_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.stale_streak(rounds, "user_id", "event_id", "docs").select("user_id", "event_id", "streak")
 
 
-ASKED = "(VALUES (1, '它的性能呢', 3), (2, '优缺点', 2), (3, 'FlashAttention 的原理是什么', 2), (4, '那个怎么用', 0), (5, 'how does this differ from that one', 1)) v(id, asked, n_history)"
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as questions: their role alone, their text, or their text and a question that leans on what was said; before them the last text."""
+    from pyspark.sql import Window
+
+    asked = F.expr("CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN concat(text, ' 它的性能呢') ELSE text END")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "turn", "text", asked.alias("asked"), before.alias("previous"))
+
+
+_ASKED = "asked AS (SELECT conv_id || '-' || turn AS id, turn, text, CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN text || ' 它的性能呢' ELSE text END AS asked, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations)"
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false)) v(id, needs)")
+@query(f"WITH {_ASKED} SELECT id, turn > 0 AND (turn % 5 = 1 OR length(trim(asked)) < 8) AS needs FROM asked")
 def needs_condense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT * FROM " + ASKED).select("id", T.needs_condense(F.col("asked"), F.col("n_history")).alias("needs"))
+    return _asked(spark, sf_dir).select("id", T.needs_condense(F.col("asked"), F.col("turn")).alias("needs"))
 
 
-@query("""SELECT * FROM (VALUES (1, '参考上下文：上一个问题' || chr(10) || '当前问题：FAISS的性能呢'), (2, '参考上下文：上一个问题' || chr(10) || '当前问题：优缺点'),
-  (3, '参考上下文：上一个问题' || chr(10) || '当前问题：FlashAttention 的原理是什么'), (4, 'FAISS怎么用'), (5, '参考上下文：上一个问题' || chr(10) || '当前问题：how does this differ from that one')) v(id, query)""")
+@query(f"""WITH {_ASKED}, r AS (SELECT *, CASE WHEN turn % 5 = 1 THEN text || ' FAISS的性能呢' ELSE asked END AS resolved FROM asked)
+SELECT id, CASE WHEN trim(coalesce(previous, '')) <> '' THEN '参考上下文：' || left(trim(previous), 200) || chr(10) || '当前问题：' || resolved ELSE resolved END AS query FROM r""")
 def fallback_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    previous = F.when(F.col("n_history") > 0, F.lit(" 上一个问题 "))
-    return spark.sql("SELECT * FROM " + ASKED).select("id", context.fallback_query(F.col("asked"), previous, F.lit("FAISS")).alias("query"))
+    """At most 200 characters of the last text are the feature: the context of a question."""
+    return _asked(spark, sf_dir).select("id", context.fallback_query(F.col("asked"), F.col("previous"), F.lit("FAISS")).alias("query"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.3), (2, 0.7), (3, 0.4), (4, 0.5), (5, 0.9)) v(id, confidence)".replace("(id, confidence)", "(id, c)").replace("SELECT *", "SELECT id, c::DOUBLE AS confidence"))
+@query(f"""WITH {_ASKED} SELECT id, (CASE WHEN turn % 5 = 0 THEN 0.3 WHEN turn % 5 = 1 THEN 0.7 WHEN NOT contains(text, 'la') THEN 0.4 WHEN (length(text) % 100) / 100.0 < 0.2 THEN 0.5 ELSE 0.9 END)::DOUBLE AS confidence FROM asked""")
 def condense_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'fallback', 'x', 'x', 1.0D), (2, 'llm', '', 'y', 1.0D), (3, 'llm', 'FAISS', 'about HNSW', 1.0D), (4, 'llm', 'FAISS', 'FAISS speed', 0.1D), (5, 'llm', 'FAISS', 'FAISS speed', 0.5D)) v(id, method, entity, condensed, margin)")
-    return rows.select("id", context.condense_confidence(F.col("method"), F.col("entity"), F.col("condensed"), F.col("margin")).cast("double").alias("confidence"))
+    method, entity = F.when(F.col("turn") % 5 == 0, "fallback").otherwise("llm"), F.when(F.col("turn") % 5 != 1, "la")
+    return _asked(spark, sf_dir).select("id", context.condense_confidence(method, entity, F.col("text"), (F.length("text") % 100) / 100).cast("double").alias("confidence"))

@@ -145,13 +145,20 @@ def token_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.token_meter(calls, "conv_id")
 
 
-USAGE = """(VALUES (1, '{"input_tokens": 1000, "output_tokens": 200, "input_token_details": {"cache_read": 500}}'), (2, '{"prompt_tokens": 10, "completion_tokens": 5, "prompt_tokens_details": {"cached_tokens": 4}}'),
-  (3, '{"prompt_tokens": 7, "completion_tokens": 1, "prompt_cache_hit_tokens": 3}'), (4, '{}'), (5, 'broken')) v(id, usage)"""
-
-
-@query("SELECT id, p::BIGINT AS prompt, c::BIGINT AS completion, r::BIGINT AS cache_read FROM (VALUES (1, 1000, 200, 500), (2, 10, 5, 4), (3, 7, 1, 3), (4, 0, 0, 0), (5, 0, 0, 0)) v(id, p, c, r)")
+@query("""
+SELECT conv_id || '-' || turn AS id, (CASE WHEN turn % 5 < 3 THEN length(text) ELSE 0 END)::BIGINT AS prompt, (CASE WHEN turn % 5 < 3 THEN turn ELSE 0 END)::BIGINT AS completion,
+       (CASE WHEN turn % 5 < 3 THEN length(text) // 2 ELSE 0 END)::BIGINT AS cache_read FROM conversations""")
 def usage_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT * FROM " + USAGE).select("id", metrics.normal_usage(F.col("usage")).alias("u")).select("id", "u.*")
+    """The tokens of each turn in three layouts, or in none that can be read."""
+    n, half = "length(text)", "length(text) div 2"
+    layouts = (
+        f"""concat('{{"input_tokens": ', {n}, ', "output_tokens": ', turn, ', "input_token_details": {{"cache_read": ', {half}, '}}}}')""",
+        f"""concat('{{"prompt_tokens": ', {n}, ', "completion_tokens": ', turn, ', "prompt_tokens_details": {{"cached_tokens": ', {half}, '}}}}')""",
+        f"""concat('{{"prompt_tokens": ', {n}, ', "completion_tokens": ', turn, ', "prompt_cache_hit_tokens": ', {half}, '}}')""",
+    )
+    usage = "CASE turn % 5 " + " ".join(f"WHEN {k} THEN {layout}" for k, layout in enumerate(layouts)) + " WHEN 3 THEN '{}' ELSE 'broken' END"
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.expr(usage).alias("usage"))
+    return rows.select("id", metrics.normal_usage(F.col("usage")).alias("u")).select("id", "u.*")
 
 
 @query("""
