@@ -50,7 +50,7 @@ def ssrf_host_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(k == 0, F.col("url")).when(k == 8, F.concat(F.lit("notaurl"), byte))
     for n, host in hosts.items():
         url = url.when(k == n, F.concat(F.lit("http://"), host))
-    pages = cut(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("asked")), "urls")
+    pages = cut(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url.alias("asked")), "urls")  # fourteen kinds, not to be worked out in each use
     return pages.select("id", guard.host_allowed(F.col("asked"), v6=True).alias("public_only"), guard.host_allowed(F.col("asked"), "allowlist", ("example.com",)).alias("listed"))
 
 

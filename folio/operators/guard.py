@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,9 +30,7 @@ def host(url: Column) -> Column:
 
 
 def _v4_number(address: Column) -> Column:
-    parts = F.split(address, r"\.")
-    part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("long")
-    return part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
+    return F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda number, part: number * 256 + part.try_cast("long"))
 
 
 @F.pandas_udf(BooleanType())
@@ -56,9 +56,9 @@ def host_allowed(url: Column, policy: str = "block_private", allow: tuple[str, .
     if policy == "allowlist":
         return F.coalesce(h.isin(list(allow) or [""]), F.lit(False))
     number, literal = _v4_number(h), h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    inside = F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V4):
-        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
+    nets = [ipaddress.ip_network(n) for n in BLOCKED_V4]
+    # of an array of one, so that the number is worked out once and not for each network
+    inside = F.exists(F.array(number), lambda n: reduce(or_, (n.between(int(net.network_address), int(net.broadcast_address)) for net in nets)))
     closed = F.when(literal, inside).when(F.contains(h, F.lit(":")), _blocked_v6(h) if v6 else F.lit(True)).otherwise(h == "localhost")
     return F.coalesce(~closed, F.lit(False))
 
