@@ -215,3 +215,17 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = embedding.embed_new(docs, _letters, store)
     part = lambda i: F.col("embedding")[i].cast("double")
     return found.select("doc_id", part(0).alias("size"), part(1).alias("a"), part(2).alias("e"), part(5).alias("t"), F.lit(again).cast("long").alias("embedded_again"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '[|!`\[]', ' ', 'g') AS t FROM documents),
+c AS (SELECT doc_id, right(t || chr(10) || 'Caption of ' || doc_id || chr(10) || '[TABLE_UID_00000000]see ', 80) || '![alt](p' || doc_id || '.png)' || left(' after it' || t, 80) AS c FROM t)
+SELECT doc_id, 'table' AS kind, 'Caption of ' || doc_id AS context FROM t
+UNION ALL SELECT doc_id, 'image', trim(regexp_replace(regexp_replace(c, '\[TABLE_UID_[0-9a-f]{8}\]', ' ', 'g'), '[ \t]{2,}', ' ', 'g')) FROM c""")
+def block_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caption of a table and what is said around an image, in documents that have one of each between two copies of their text."""
+    text = F.regexp_replace("text", r"[|!`\[]", " ")
+    table_part = F.concat(F.lit("\nCaption of "), "doc_id", F.lit("\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"))
+    image_part = F.concat(F.lit("see ![alt](p"), "doc_id", F.lit(".png) after it"))
+    held = blocks.extract(table(spark, sf_dir, "documents").select("doc_id", F.concat(text, table_part, image_part, text).alias("text")))
+    return held.select("doc_id", F.explode_outer("blocks").alias("b")).where("b IS NOT NULL").select("doc_id", "b.kind", "b.context")

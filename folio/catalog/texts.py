@@ -138,7 +138,7 @@ def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(k == 0, many).when(k == 1, some).otherwise(text).alias("raw")).withColumn("text", F.col("raw"))
     held = blocks.extract(notes)
     back = blocks.restore(F.col("text"), F.col("blocks")) == F.col("raw")
-    return held.select("id", back.alias("restored"), F.posexplode("blocks").alias("place", "b")).select("id", "place", "b.kind", "b.placeholder", "restored")
+    return held.select("id", back.alias("restored"), F.posexplode_outer("blocks").alias("place", "b")).where("b IS NOT NULL").select("id", "place", "b.kind", "b.placeholder", "restored")
 
 
 @query(r"""
