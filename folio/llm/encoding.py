@@ -24,6 +24,8 @@ _SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]"
 INSIDE_RUN = rf"{_SPACE} (?:{_SPACE}|$)"
 #: Bytes of text encoded at a time; bounds a task's memory whatever the batch holds.
 SLICE_BYTES = 2_000_000
+#: The same where texts are only encoded: more repeated pieces meet in one look at the cache; and pieces that a process keeps.
+ENCODED_BYTES, ENCODED_PIECES = 3_000_000, 700_000
 #: Parts pieces from each other in one call of the library; pieces that hold it are encoded alone.
 MARK = "\x01"
 MARKED = " " + MARK
@@ -128,7 +130,7 @@ class PieceEncoder:
 @functools.lru_cache(maxsize=1)
 def shared_encoder(path: str, plain_special: bool = False) -> PieceEncoder:
     """The encoder of a worker process, which keeps it from task to task: loading one for each task leaves memory in pieces."""
-    return PieceEncoder(path, plain_special)
+    return PieceEncoder(path, plain_special, ENCODED_PIECES)
 
 
 def give_back() -> None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import shared_encoder, slices, with_end
+from folio.llm.encoding import ENCODED_BYTES, shared_encoder, slices, with_end
 from folio.storage import cut
 
 
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in slices(batch.column(1), encoder=encoder):
+            for at, texts in slices(batch.column(1), ENCODED_BYTES, encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 view = memoryview(np.ascontiguousarray(flat.astype("<u4"))).cast("B")
                 n = -(-counts // capacity)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import binary_column, flat_values, shared_encoder, slices, with_end
+from folio.llm.encoding import ENCODED_BYTES, binary_column, flat_values, shared_encoder, slices, with_end
 from folio.storage import cut, new_folder, open_fs
 
 MAGIC = 0x544B52414E4B3031
@@ -85,7 +85,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         encoder = shared_encoder(tokenizer_path)
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for at, texts in slices(batch.column(1), encoder=encoder):
+            for at, texts in slices(batch.column(1), ENCODED_BYTES, encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), binary_column(flat.astype(width), counts), pa.array(counts)], names=["doc_id", "ids", "n_tokens"])
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.encoding import shared_encoder, slices, with_end
+from folio.llm.encoding import ENCODED_BYTES, shared_encoder, slices, with_end
 from folio.llm.ranked_varint import id_width
 from folio.storage import cut, new_folder, open_fs
 
@@ -42,7 +42,7 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         encoder = shared_encoder(tokenizer_path, plain_special=True)
         seq, in_file, ordinal, out, name = 0, 0, 0, None, ""
         for batch in batches:
-            for at, texts in slices(batch.column(1), encoder=encoder):
+            for at, texts in slices(batch.column(1), ENCODED_BYTES, encoder):
                 flat, counts = with_end(*encoder.encode(texts), end_id)
                 if out is None:
                     name = f"flat-{part:06d}-{seq:04d}-{attempt}.bin"
