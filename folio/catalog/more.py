@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from folio.catalog import query, sql_tokens, table
 from folio.catalog.graph import _GRAPH, _edges
-from folio.catalog.retrieval import _KNN_SQL, EVERY, _bm25_sql, questions, saved_index
+from folio.catalog.retrieval import _KNN_SQL, EVERY, _bm25_sql, questions, saved_rows
 from folio.functions import blocks
 from folio.functions import html as H
 from folio.functions import text as T
-from folio.operators import answers, assets, bm25, context, graph, guard, metrics, patterns, state
+from folio.operators import answers, assets, bm25, bm25_rows, context, graph, guard, metrics, patterns, state
 from folio.operators.bm25 import top_k
 from folio.plans import embedding
 from folio.storage import cut, new_folder
@@ -156,8 +156,8 @@ SELECT query, id, round(score, 4) AS score, rank::INTEGER AS rank FROM (SELECT *
 def bm25_zero_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole passages as questions: documents that share no word would fill up the fifty best, at 0."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    found = bm25.scores(saved_index(spark, sf_dir), bm25.query_tokens(asked))
-    every = bm25.with_zero_scores(found, table(spark, sf_dir, "documents"), asked, 50)
+    found = bm25_rows.search(saved_rows(spark, sf_dir), bm25.query_tokens(asked), 50).select("query", "id", F.col("exact").alias("score"))  # all hits of a query with fewer than 50
+    every = bm25.with_zero_scores(cut(found, "hits"), table(spark, sf_dir, "documents"), asked, 50)
     return top_k(every.withColumn("key", F.round("score", 6)), 50, by="key").select("query", "id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -172,7 +172,7 @@ def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = questions(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query", "left")
-    return trace(vectors, asked, saved_index(spark, sf_dir), 10, 15)
+    return trace(vectors, asked, saved_rows(spark, sf_dir), 10, 15)
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS n_files, (SELECT sum(greatest(0, ceil((length(text) - 800) / 650.0))::BIGINT + 1) FROM documents WHERE length(text) > 0)::BIGINT AS n_chunks")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog import query, sql_tokens, table
-from folio.operators import bm25, bm25_blocks, dense, fusion, vector_index
-from folio.operators.bm25 import top_k
+from folio.operators import bm25, bm25_rows, dense, fusion, vector_index
 from folio.sources.notes import from_documents
 from folio.storage import new_folder
 
@@ -38,8 +37,8 @@ def _saved_once(spark: SparkSession, name: str, source: str, save: Callable[[str
     return load(spark, _saved[key])
 
 
-def saved_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return _saved_once(spark, "bm25", f"{sf_dir}/documents.parquet", lambda path: bm25.build_index(table(spark, sf_dir, "documents")).save(path), bm25.load_index)
+def saved_rows(spark: SparkSession, sf_dir: str) -> bm25_rows.RowIndex:
+    return _saved_once(spark, "bm25", f"{sf_dir}/documents.parquet", lambda path: bm25_rows.build_index(table(spark, sf_dir, "documents"), path=path), bm25_rows.load_index)
 
 
 def _bm25_sql(k: int) -> str:
@@ -58,13 +57,8 @@ scored AS (
 sparse_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
-def block_index(spark: SparkSession, sf_dir: str) -> bm25_blocks.BlockIndex:
-    """Blocks of the saved index, saved by the first search that has whole texts as questions."""
-    return _saved_once(spark, "bm25-blocks", f"{sf_dir}/documents.parquet", lambda path: bm25_blocks.build_index(saved_index(spark, sf_dir)).save(path), bm25_blocks.load_index)
-
-
 def _scored(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25_blocks.search(block_index(spark, sf_dir), bm25.query_tokens(questions(spark, sf_dir)), k)
+    return bm25_rows.search(saved_rows(spark, sf_dir), bm25.query_tokens(questions(spark, sf_dir)), k)
 
 
 _HAN_SQL = "(SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '检索评测指标与向量检索' WHEN 1 THEN '评测指标 recall@k 的含义' WHEN 2 THEN '知识图谱扩展检索' ELSE '' END AS text FROM documents)"
@@ -81,8 +75,7 @@ def bm25_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(k == 0, "检索评测指标与向量检索").when(k == 1, "评测指标 recall@k 的含义").when(k == 2, "知识图谱扩展检索").otherwise("")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), line).alias("text"))
     asked = table(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query"), F.expr(_HAN_ASKED.replace("//", "div")).alias("text"))
-    found = bm25.scores(bm25.build_index(docs), bm25.query_tokens(asked))
-    return top_k(found.withColumn("key", F.round("score", 6)), 10, by="key").select("query", "id", F.round("score", 4).alias("score"), "rank")
+    return bm25_rows.search(bm25_rows.build_index(docs), bm25.query_tokens(asked), 10).select("query", "id", F.round("exact", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_bm25_sql(10)} SELECT query, id, round(score, 4) AS score, rank::INTEGER AS rank FROM sparse_top")
@@ -254,5 +247,5 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     chunks = notes.join(vectors, "id", "left").select("id", F.col("text").alias("content"), "title", F.lit("").alias("heading_path"), "dir", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "embedding", "filepath")
     asked = questions(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query", "left")
-    found = search(chunks, asked, index=block_index(spark, sf_dir))
+    found = search(chunks, asked, index=saved_rows(spark, sf_dir))
     return found.select("query", "id", "rank", F.round("score", 5).alias("score"), F.round("structural", 5).alias("structural"))

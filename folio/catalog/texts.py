@@ -59,9 +59,9 @@ SELECT count(*) AS n_docs, round(avg(dl), 6) AS avgdl, (SELECT count(*) FROM v)
        (SELECT round(avg(ln((SELECT count(*) FROM d) - df + 0.5) - ln(df + 0.5)), 6) FROM v) AS mean_idf
 FROM d""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folio.catalog.retrieval import saved_index
+    from folio.catalog.retrieval import saved_rows
 
-    index = saved_index(spark, sf_dir)
+    index = saved_rows(spark, sf_dir)
     n = index.vocabulary.agg(F.count("*").alias("n_tokens"))
     return index.stats.crossJoin(F.broadcast(n)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens", F.round("mean_idf", 6).alias("mean_idf"))
 

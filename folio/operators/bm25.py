@@ -43,14 +43,19 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
-def counted_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, token, tf), counted within each row: sorted tokens stand in runs, and a run's length is how far the next one begins. Nothing is shuffled."""
+def token_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dl, runs): sorted tokens stand in runs, and a run's length is how far the next one begins; ``runs`` has (run, next), each with its token and place. A row for each of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.sort_array(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("__sorted"))
     pairs = F.arrays_zip(F.col("__sorted").alias("own"), F.array_prepend(F.col("__sorted"), F.lit(None)).alias("before"))
     marked = F.transform(pairs, lambda z, i: F.struct(z["own"].alias("token"), i.alias("i"), (z["own"].isNotNull() & ~z["own"].eqNullSafe(z["before"])).alias("first")))
     rows = rows.select("id", F.size("__sorted").cast("long").alias("dl"), F.filter(marked, lambda x: x["first"]).alias("__runs"))
     ahead = F.arrays_zip(F.col("__runs").alias("run"), F.slice("__runs", 2, F.greatest(F.size("__runs") - 1, F.lit(0))).alias("next"))
-    rows = rows.select("id", "dl", F.explode(ahead).alias("z"))
+    return rows.select("id", "dl", ahead.alias("runs"))
+
+
+def counted_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dl, token, tf), counted within each row. Nothing is shuffled."""
+    rows = token_runs(docs, id_col, text_col).select("id", "dl", F.explode("runs").alias("z"))
     return rows.select("id", "dl", F.col("z.run.token").alias("token"), (F.coalesce("z.next.i", F.col("dl").cast("int")) - F.col("z.run.i")).cast("long").alias("tf"))
 
 
