@@ -184,5 +184,5 @@ SELECT doc_id, gram, count(*) AS n FROM (
   SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT doc_id, {sql_tokens("text")} AS w FROM documents)))
 GROUP BY doc_id, gram HAVING count(*) >= 3""")
 def repeated_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(T.ngrams(F.col("w"), 3)).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n >= 3")
+    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return T.repeated_ngrams(words, "w", 3, 3)
