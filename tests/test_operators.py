@@ -321,3 +321,22 @@ def test_distinct_counts_are_near_whatever_the_keys(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert all(r.parts == 2000 and r.parts_near and r.median_near for r in approx_distinct(spark, str(tmp_path)).collect())
     assert rows.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey") - 2000) > 200).alias("far")).where("far").count() > 0
+
+
+def test_bleu_counts_grams_within_a_row(spark):
+    """Clipped repeats, short texts and nulls; the plan has no shuffle, so no gram leaves its row."""
+    rows = [(1, "the cat the cat the", "the cat sat the"), (2, "a b c", "a b"), (3, None, "a"), (4, "a b c d e", "a b c d")]
+    pairs = spark.createDataFrame(rows, "pair int, candidate string, reference string")
+    found = metrics.bleu(pairs, 2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.pair: round(r.bleu, 6) for r in found.collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.75}  # pair 1: "the cat" counts once as the reference has it once, "cat the" not at all
+
+
+def test_repeated_ngrams_stay_in_their_row(spark):
+    from folio.functions.text import repeated_ngrams
+
+    rows = spark.createDataFrame([(1, list("abababab")), (2, list("ab")), (3, []), (4, None), (5, list("aaaaa")), (6, list("abcd"))], "id int, w array<string>")
+    found = repeated_ngrams(rows, "w", 3, 3)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.gram, r.n) for r in found.collect()} == {(1, "a b a", 3), (1, "b a b", 3), (5, "a a a", 3)}
