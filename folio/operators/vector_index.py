@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import dense
@@ -25,8 +25,8 @@ from folio.storage import cut, new_folder, open_fs
 
 #: Rows that centres are fitted on at most, and cells at most: both bound what the driver and each task hold.
 SAMPLE_ROWS, MOST_CELLS = 65_536, 16_384
-#: Numbers of a vector that one code stands for, rows of a block, queries of a block, rounds of k-means.
-PART, BLOCK, QUERY_BLOCK, ROUNDS = 4, 2048, 512, 12
+#: Numbers of a vector that one code stands for, rows of a block, queries whose cells are chosen at once, rounds of k-means.
+PART, BLOCK, PROBED, ROUNDS = 4, 2048, 256, 12
 #: Of the neighbours of sampled rows, the share whose cells a search looks into by default; how many times k rows of a block are compared exactly.
 RECALL, REFINED = 0.96, 4
 #: Sampled rows whose neighbours in the sample tell how many cells that takes, and neighbours of each.
@@ -93,7 +93,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = _rows(vectors, id_col, vector_col, kind)
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    sample = _sample(rows, n)
     model = fit(dense._unit(dense._rows_of(sample["vector"].combine_chunks()).astype(np.float32)) if n else np.zeros((0, 1), np.float32), cells or max(1, min(MOST_CELLS, int(n**0.5))))
     model.kind = kind
     path = f"{new_folder(spark, 'vector-model')}/model.npz"
@@ -124,6 +124,18 @@ def _rows(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFr
     return rows.where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
 
 
+def _sample(rows: DataFrame, n: int) -> pa.Table:
+    """The rows of the least hashes of ids, at most SAMPLE_ROWS, in that order. Of a larger table those below a bound are asked for, so that no task passes on more than are
+    taken in all; the bound is five standard deviations below the most. Where ids repeat so often that hardly any lie below it, any rows are taken."""
+    hashed = rows.select(F.xxhash64("id").alias("h"), "id", "vector")
+    share = (SAMPLE_ROWS - 5 * SAMPLE_ROWS**0.5) / n if n > SAMPLE_ROWS else 1.0
+    some = hashed.where(F.col("h") < int((share - 0.5) * 2.0**64)) if share < 1 else hashed
+    sample = some.limit(SAMPLE_ROWS).toArrow()
+    if share < 1 and len(sample) < SAMPLE_ROWS // 2:
+        sample = hashed.limit(SAMPLE_ROWS).toArrow()
+    return sample.sort_by([("h", "ascending"), ("id", "ascending")])
+
+
 def fit(sample: np.ndarray, cells: int, seed: int = 7) -> Model:
     """Centres of unit rows."""
     rnd = np.random.default_rng(seed)
@@ -180,7 +192,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
 
     With as many probes as there are cells and ``refined`` of 0 (all rows of a block), the result is that of ``dense.knn_join``. Queries without an id or a vector have no rows."""
     path = index.model_path
-    asked = _rows(queries, id_col, vector_col, "<f8")
+    paths = dense._write_blocks(_rows(queries, id_col, vector_col, "<f8"), "id", "vector")
+    spark = queries.sparkSession
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
@@ -188,28 +201,29 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
             return
         wanted = min(len(model.cells), probes or model.probes)
         for batch in batches:
-            for at in range(0, batch.num_rows, QUERY_BLOCK):
-                own = batch.slice(at, QUERY_BLOCK)
-                exact = dense._unit(dense._rows_of(own.column(1)))
-                unit = exact.astype(np.float32)
-                far = (model.cells * model.cells).sum(axis=1) - 2 * unit @ model.cells.T
-                cell = np.argpartition(far, wanted - 1, axis=1)[:, :wanted]
-                row = np.repeat(np.arange(len(unit)), wanted)
-                yield pa.record_batch([own.column(0).take(pa.array(row)), pa.array(cell.reshape(-1).astype(np.int32)), _binary(exact[row])], names=["query", "cell", "vector"])
-
-    probed = cut(asked.mapInArrow(probe, "query long, cell int, vector binary"), "probes")
-    numbered = probed.withColumn("group", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("query")) - 1) / QUERY_BLOCK))
-    grouped = numbered.groupBy("cell", "group").agg(F.collect_list(F.struct("query", "vector")).alias("asked"))
+            for file in batch.column(0).to_pylist():
+                ids, exact = dense._read_block(paths[file])
+                for at in range(0, len(ids), PROBED):
+                    unit = exact[at : at + PROBED].astype(np.float32)
+                    far = (model.cells * model.cells).sum(axis=1) - 2 * unit @ model.cells.T
+                    cell = np.argpartition(far, wanted - 1, axis=1)[:, :wanted]
+                    row = np.repeat(np.arange(at, at + len(unit)), wanted)
+                    yield pa.record_batch([pa.array(np.full(len(row), file, np.int32)), pa.array(row.astype(np.int32)), pa.array(cell.reshape(-1).astype(np.int32))], names=["file", "row", "cell"])
+
+    # a probe is the place of its query in the written blocks: vectors are read there and not shuffled
+    probed = spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(probe, "file int, row int, cell int")
+    grouped = probed.groupBy("cell", "file").agg(F.sort_array(F.collect_list("row")).alias("asked"))
     blocks = index.lists.groupBy("cell").agg(F.max("block").alias("last"))
-    dealt = grouped.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), "last")).alias("block"), F.col("asked.query").alias("queries"), F.col("asked.vector").alias("asked"))
+    dealt = grouped.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "file", "asked")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
             for i in range(batch.num_rows):
-                cell, ids, codes, vectors, names, asked = (batch.column(c)[i] for c in range(6))
-                ids, names = ids.values.to_numpy(), names.values.to_numpy()
-                own = np.frombuffer(asked.values.buffers()[2], np.uint8)[_edge(asked.values) :][: 8 * len(names) * model.cells.shape[1]].view(np.float64).reshape(len(names), -1)
+                cell, ids, codes, vectors, file, asked = (batch.column(c)[i] for c in range(6))
+                ids, row = ids.values.to_numpy(), asked.values.to_numpy()
+                every, units = dense._read_block(paths[file.as_py()])
+                names, own = every[row], units[row]
                 rows = dense._unit(np.frombuffer(vectors.as_py(), model.kind).reshape(len(ids), -1).astype(np.float64))
                 if refined and refined * k < len(ids):
                     guessed = model.guess(own.astype(np.float32), cell.as_py(), np.frombuffer(codes.as_py(), np.uint8).reshape(len(ids), -1))
@@ -224,14 +238,10 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
                 q, r = np.nonzero(similarity > -np.inf)
                 yield pa.record_batch([pa.array(names[q]), pa.array(found[q, r]), pa.array(similarity[q, r])], names=["query", "id", "similarity"])
 
-    met = index.lists.join(dealt, ["cell", "block"]).select("cell", "ids", "codes", "vectors", "queries", "asked")
+    met = index.lists.hint("merge").join(dealt, ["cell", "block"]).select("cell", "ids", "codes", "vectors", "file", "asked")
     return top_k(met.mapInArrow(compare, "query long, id long, similarity double"), k, by="similarity")
 
 
-def _edge(values: pa.Array) -> int:
-    return int(np.frombuffer(values.buffers()[1], np.int32)[values.offset])
-
-
 def _binary(matrix: np.ndarray) -> pa.Array:
     """A binary value for each row."""
     width = matrix.dtype.itemsize * matrix.shape[1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +65,21 @@ def test_empty_tables(spark, vectors):
     none = vectors.where("1 = 0")
     assert _pairs(vector_index.search(vector_index.build_index(vectors.limit(3)), none, 5)) == {}
     assert _pairs(vector_index.search(vector_index.build_index(none), vectors.limit(3), 5)) == {}
+
+
+def test_a_sample_of_a_larger_table_is_bounded_below_the_driver(spark, monkeypatch):
+    """Tasks pass on what the sample takes and not SAMPLE_ROWS each; repeated ids still leave a sample."""
+    monkeypatch.setattr(vector_index, "SAMPLE_ROWS", 400)
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("id", "array(cast(id AS float), 1f) AS vector")
+    got = vector_index._sample(rows, 20_000)
+    assert 200 < len(got) <= 400
+    least = rows.orderBy(F.xxhash64("id"), "id").limit(len(got)).toArrow()
+    assert got["id"].to_pylist() == least["id"].to_pylist()
+    assert len(vector_index._sample(rows.selectExpr("0L AS id", "vector"), 20_000)) == 400
+
+
+def test_probes_hold_no_vectors(spark):
+    vectors = spark.range(300).selectExpr("id AS vec_id", "array(cast(id % 17 AS float), cast(id % 5 AS float), 1f) AS embedding")
+    index = vector_index.build_index(vectors)
+    plan = vector_index.search(index, vectors.where("vec_id % 10 = 0"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow probe\(.*\)#\d+, \[file#\d+, row#\d+, cell#\d+\]", plan), plan
