@@ -7,10 +7,10 @@ are similar and join components; pairs within a component need no look.
 * Buckets: two sets of similarity J share one of ``BANDS`` bands of ``ROWS`` least hashes with a probability of
   1 - (1 - J ** ROWS) ** BANDS, 0.9996 at 0.8. In a bucket of up to ``SMALL`` nodes all pairs over different components are compared. In a
   larger one all nodes outside its largest component first meet ``PIVOTS`` nodes of that.
-* Large buckets that still hold several components are dealt in pairs of blocks, with a signature of ``SIGNATURE`` bytes, each of another least
-  hash, for each node. Each node outside a pair's largest component is held against all others there. Pairs whose signatures agree nearly as
-  often as similar sets' do (within four standard deviations, so 0.9999 of those at 0.8) are compared: the best few of a node first, then,
-  where components are still apart, all others (``TURNS``). No bucket is cut short.
+* Large buckets that still hold several components are dealt in pairs of blocks, so that each node outside the largest one meets all others. A
+  node's row has its set and a signature of ``SIGNATURE`` bytes, each of another least hash. Pairs whose signatures agree nearly as often as
+  similar sets' do (within four standard deviations, so 0.9999 of those at 0.8) are compared in the task by the sets, and what is similar leaves it
+  as a spanning forest of the components: fewer rows than came in, however many pairs are alike. No bucket is cut short.
 
 Pairs whose sizes rule the similarity out are left aside.
 """
@@ -35,12 +35,12 @@ from folio.storage import cut
 BANDS, ROWS = 20, 5
 #: Nodes of a bucket that are all compared; nodes of a larger one that others meet first.
 SMALL, PIVOTS = 64, 4
-#: Which of a node's partners in a pair of blocks, by how far their signatures agree, are compared in each turn.
-TURNS = ((0, 4), (4, 1 << 40))
-#: Least hashes that a signature has a byte of, and rows with signatures that a task takes at a time.
-SIGNATURE, SIGNED_ROWS = 512, 20_000
-#: Nodes of a block where a large bucket is dealt in pairs of blocks.
-BLOCK = 1024
+#: Least hashes that a signature has a byte of, and values (64 to a signature, and those of sets) that a task takes at a time.
+SIGNATURE, SIGNED_VALUES = 512, 4_000_000
+#: Nodes of a block where a large bucket is dealt in pairs of blocks, and values of their sets on average.
+BLOCK, BLOCK_VALUES = 1024, 1_000_000
+#: Partners of a node that are compared first, those whose signatures agree best, and values of sets that are compared at once.
+FIRST, COMPARED = 4, 2_000_000
 #: Rows paired at a time: a row has under SMALL pairs in a small bucket, so this bounds what a task holds.
 CHUNK = 50_000
 #: Pairs with one set in a task.
@@ -136,20 +136,37 @@ def _pairs(group: np.ndarray, fp: np.ndarray, m: np.ndarray, root: np.ndarray, s
     return np.concatenate(a), np.concatenate(b)
 
 
+def _held(column: pa.Array) -> np.ndarray:
+    """A column's values; signatures come as a matrix, sets as an array of arrays."""
+    if pa.types.is_binary(column.type):
+        return flat_values(column, np.uint8).reshape(-1, SIGNATURE)
+    if not pa.types.is_list(column.type):
+        return column.to_numpy()
+    out = np.empty(len(column), object)
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    for i, own in enumerate(np.split(column.flatten().to_numpy(), ends[:-1])):
+        out[i] = own
+    return out
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], columns: int, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Runs of whole groups (equal first column) of about ``chunk`` rows, as arrays; signatures come as a matrix."""
+    """Runs of whole groups (equal first column) of about ``chunk`` rows, or values where there are sets (the last column), as arrays."""
     held: list[tuple] = []
-    rows = 0
+    size = 0
+    weight = lambda x: len(x[0]) * (SIGNATURE // 8) + sum(map(len, x[-1])) if x[-1].dtype == object else len(x[0])
     for batch in batches:
-        held.append(tuple(flat_values(c, np.uint8).reshape(-1, SIGNATURE) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns[:columns]))
-        rows += batch.num_rows
-        if rows >= chunk:
+        if not batch.num_rows:
+            continue
+        held.append(tuple(map(_held, batch.columns[:columns])))
+        size += weight(held[-1])
+        if size >= chunk:
             whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
             end = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
-            held, rows = [tuple(x[end:] for x in whole)], rows - end
+            held = [tuple(x[end:] for x in whole)]
+            size = weight(held[0])
             if end:
                 yield tuple(x[:end] for x in whole)
-    if rows:
+    if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
     held = []
     give_back()
@@ -179,35 +196,76 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
     return spread_join(others, pivots, ["key"]).select(F.col("fp").alias("x"), F.explode("pivots").alias("y"))
 
 
-def _open_pairs(rows: DataFrame, open_keys: DataFrame, similar: float, turn: tuple[int, int]) -> DataFrame:
-    """The pairs of one turn over different components in the buckets ``open_keys`` (key, n); rows: key, fp, m, root, sig."""
-    least = _least_agreeing(similar) * SIGNATURE
+def _joining(fp: np.ndarray, m: np.ndarray, root: np.ndarray, own: np.ndarray, sig: np.ndarray, sets: np.ndarray, similar: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the components of a pair of blocks, by similar sets: a node outside the largest component is compared with all nodes of others
+    (of the other block, where there are two), and what has been joined is one component from then on."""
+    _, label, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    x, y = [], []
+    if len(sizes) < 2:
+        return x, y
+    two, top, least = len(np.unique(own)) > 1, int(sizes.argmax()), _least_agreeing(similar) * SIGNATURE
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.cumsum(m) - m
+    marked = np.zeros(int(code.max()) + 1, np.uint8)
+    for i in np.flatnonzero(label != top).tolist():
+        if label[i] == top:  # what it is still apart from meets it in its own turn
+            continue
+        fits = (label != label[i]) & (np.minimum(m, m[i]) >= similar * np.maximum(m, m[i]))
+        j = np.flatnonzero(fits & (own != own[i]) if two else fits)
+        agreeing = (sig[j] == sig[i]).sum(axis=1)
+        j = j[np.argsort(-agreeing, kind="stable")][: int((agreeing >= least).sum())]
+        if not len(j):
+            continue
+        mine = code[first[i] : first[i] + m[i]]
+        marked[mine] = 1
+        at = 0
+        while at < len(j):
+            to = FIRST if not at else max(at + 1, at + int(np.searchsorted(np.cumsum(m[j[at:]]), COMPARED)))
+            some, at = j[at:to], to
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            begin = np.cumsum(m[some]) - m[some]
+            place = np.repeat(first[some] - begin, m[some]) + np.arange(int(m[some].sum()))
+            common = np.add.reduceat(marked[code[place]], begin, dtype=np.int64)
+            alike = some[common >= similar * (m[i] + m[some] - common)]
+            joined, once = np.unique(label[alike], return_index=True)
+            x += [fp[i]] * len(once)
+            y += fp[alike[once]].tolist()
+            label[np.isin(label, [label[i], *joined])] = top if top in joined else label[i]
+        marked[mine] = 0
+    return x, y
+
+
+def _open_pairs(rows: DataFrame, open_keys: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
+    """(x, y): similar pairs that join the components of the buckets ``open_keys`` as far as their similar sets do.
+
+    rows: key, fp, m, root; a written table. signed: fp, sig, shingles. Nodes outside a bucket's largest component lie in blocks before the
+    others'; each of these blocks meets all blocks. Only numbers are dealt by key; signatures and sets are joined to them after that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp, m, root, own, sig in _grouped(batches, 6, SIGNED_ROWS):
+        for group, *columns in _grouped(batches, 7, SIGNED_VALUES):
             edges = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)).tolist()
             for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
-                roots, inverse, sizes = np.unique(root[a:b], return_inverse=True, return_counts=True)
-                if len(roots) < 2:
-                    continue
-                two = len(np.unique(own[a:b])) > 1  # pairs within a block are those of the block with itself
-                x, y = [fp[:0]], [fp[:0]]
-                for i in (np.flatnonzero(inverse != sizes.argmax()) + a).tolist():
-                    fits = np.minimum(m[a:b], m[i]) >= similar * np.maximum(m[a:b], m[i])
-                    j = np.flatnonzero(fits & (own[a:b] != own[i]) if two else fits) + a
-                    agreeing = (sig[j] == sig[i]).sum(axis=1)
-                    j = j[np.argsort(-agreeing, kind="stable")][: int((agreeing >= least).sum())]
-                    j = j[j != i][turn[0] : turn[1]]
-                    j = j[root[j] != root[i]]
-                    x.append(np.full(len(j), fp[i]))
-                    y.append(fp[j])
-                yield from _batches(np.concatenate(x), np.concatenate(y))
-
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
-    dealt = spread_join(rows, open_keys, ["key"]).select("key", "fp", "m", "root", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+                yield from _batches(*(np.array(z, np.int64) for z in _joining(*(c[a:b] for c in columns), similar)))
+
+    blocks = lambda n, values: F.greatest(F.ceil(F.col(n) / F.lit(BLOCK)), F.ceil(F.col(values) / F.lit(BLOCK_VALUES)), F.lit(1)).cast("int")
+    known = open_keys.select("key", "top", blocks("others", "other_values").alias("outside"), blocks("inner", "inner_values").alias("inside"))
+    is_top, part = F.col("root") == F.col("top"), F.xxhash64("fp")
+    own = F.when(is_top, F.col("outside") + F.pmod(part, "inside")).otherwise(F.pmod(part, "outside")).cast("long")
+    last = F.col("outside") + F.when(is_top, 0).otherwise(F.col("inside")) - 1
+    dealt = spread_join(rows, known, ["key"]).select("key", "fp", "m", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    return dealt.select(pair, "fp", "m", "root", "own", "sig").repartition("pair").sortWithinPartitions("pair", "fp").mapInArrow(run, "x long, y long")
+    wide = dealt.select(pair, "fp", "m", "root", "own").join(signed, "fp").select("pair", "fp", "m", "root", "own", "sig", "shingles")
+    return wide.repartition("pair").sortWithinPartitions("pair", "fp").mapInArrow(run, "x long, y long")
+
+
+def _split_buckets(rows: DataFrame) -> DataFrame:
+    """(key, top, inner, inner_values, others, other_values) of the buckets whose rows (key, fp, m, root) lie in several components: the largest one, its nodes and
+    the values of their sets, and those of the others."""
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("m").alias("values"))
+    found = by_root.groupBy("key").agg(F.max(F.struct("n", "root", "values")).alias("t"), F.sum("n").alias("n"), F.sum("values").alias("values")).where("n > t.n")
+    return found.select("key", F.col("t.root").alias("top"), F.col("t.n").alias("inner"), F.col("t.values").alias("inner_values"), (F.col("n") - F.col("t.n")).alias("others"), (F.col("values") - F.col("t.values")).alias("other_values"))
 
 
 def _open_buckets(rows: DataFrame) -> DataFrame:
@@ -244,16 +302,16 @@ def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_co
 
 
 def _signed(sets: DataFrame) -> DataFrame:
-    """(fp, sig) of (fp, shingles)."""
+    """(fp, sig, shingles) of (fp, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
                 sig = signatures([x.values.to_numpy().view(np.uint64) for x in some.column(1)])
-                yield pa.record_batch([some.column(0), binary_column(sig.reshape(-1), np.full(len(sig), SIGNATURE))], names=["fp", "sig"])
+                yield pa.record_batch([some.column(0), binary_column(sig.reshape(-1), np.full(len(sig), SIGNATURE)), some.column(1)], names=["fp", "sig", "shingles"])
 
-    return sets.mapInArrow(run, "fp long, sig binary")
+    return sets.mapInArrow(run, "fp long, sig binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, words: int, similar: float, text_col: str) -> DataFrame:
@@ -276,7 +334,10 @@ def similar_roots(docs: DataFrame, key: str, words: int, similar: float, distanc
 
     def joined(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         """(node, root) after the similar ones of ``pairs`` have joined their components."""
-        more = _verified(pairs, nodes, docs, key, words, similar, text_col)
+        return grown(_verified(pairs, nodes, docs, key, words, similar, text_col), before)
+
+    def grown(more: DataFrame, before: DataFrame | None) -> DataFrame:
+        """(node, root) after the pairs ``more`` (a, b) have joined components."""
         return components(more if before is None else more.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     def placed(found: DataFrame, name: str) -> DataFrame:
@@ -290,15 +351,12 @@ def similar_roots(docs: DataFrame, key: str, words: int, similar: float, distanc
     pairs = _small_bucket_pairs(held_rows.where(F.col("n") <= SMALL), similar)
     some_large = not large.isEmpty()
     found = joined(pairs.unionByName(_pivot_pairs(large)) if some_large else pairs, found)
-    signed = None
-    for turn in TURNS if some_large else ():
+    if some_large:
         at = cut(large.select("key", "fp").join(placed(found, "members").drop("keys"), "fp"), "large-buckets")
-        open_keys = cut(_open_buckets(at), "open-buckets")
-        if open_keys.isEmpty():
-            break
-        if signed is None:
+        open_keys = cut(_split_buckets(at), "open-buckets")
+        if not open_keys.isEmpty():
             wanted = nodes.join(at.join(open_keys, "key", "left_semi").select("fp").distinct(), "fp", "left_semi").select("row")
             signed = cut(_signed(_chosen_sets(docs, key, wanted, words, text_col)), "signatures")
-        found = joined(_open_pairs(cut(at.join(signed, "fp"), "signed-buckets"), open_keys, similar, turn), found)
+            found = grown(cut(_open_pairs(at, open_keys, signed, similar), "open-links").toDF("a", "b"), found)
     member = every.select("fp").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     return held.select("row", "doc_id", "fp"), cut(member.select("fp", F.coalesce("root", "fp").alias("root")), "roots")

@@ -66,6 +66,24 @@ def test_groups_that_pivots_leave_apart(spark, monkeypatch):
     assert sorted(r.doc_id for r in without_near_copies(docs).collect()) == want
 
 
+def test_rows_that_a_bucket_of_many_alike_sends_on(spark, monkeypatch):
+    """Each text has four words of one changed, far from the others': all pairs agree in most of their signatures, none is similar. Open buckets send on fewer rows than they have."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(f"new{i}" if j % 75 == 5 * i else word for j, word in enumerate(base))) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts, dealt = [], jaccard._open_pairs
+
+    def counted(at, *more):
+        out = dealt(at, *more)
+        counts.append((at.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_open_pairs", counted)
+    assert sorted(r.doc_id for r in without_near_copies(docs).collect()) == _left(docs.orderBy("doc_id").collect())
+    assert counts and all(out < rows for rows, out in counts)
+
+
 def test_odd(odd, none):
     stay = without_near_copies(odd)
     assert stay.columns == odd.columns and {r["__row"] for r in stay.collect()} == {3} and without_near_copies(none).count() == 0
