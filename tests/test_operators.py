@@ -340,3 +340,13 @@ def test_repeated_ngrams_stay_in_their_row(spark):
     found = repeated_ngrams(rows, "w", 3, 3)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.gram, r.n) for r in found.collect()} == {(1, "a b a", 3), (1, "b a b", 3), (5, "a a a", 3)}
+
+
+def test_common_subsequence_of_a_long_text():
+    """Work on a long text grows with its length and the other's; a bit set at a time in whole numbers took seconds for this."""
+    import time
+
+    start = time.process_time()
+    assert metrics.common_subsequence("é😀ab" * 300_000, "ba😀é") == metrics.common_subsequence("ba😀é", "é😀ab" * 300_000) == 4
+    assert metrics.common_subsequence("", "") == metrics.common_subsequence("a", "b") == metrics.common_subsequence("", "b") == 0
+    assert time.process_time() - start < 4
