@@ -69,6 +69,35 @@ def test_media_streams_like_the_batch_form(spark, tmp_path, files):
     assert got[7].startswith("a ![nnn") and got[7].endswith("(https://bad.example/long) [远程图片已中和：bad.example]")  # no mark is longer than 600 characters
 
 
+def test_pieces_of_a_batch_are_taken_together(spark, tmp_path):
+    """An answer's pieces travel and are sent on as runs, not one row each, whatever answers stand between them."""
+    rows = [(i, k, "ab", k == 299) for k in range(300) for i in range(5)]
+    found = S.run_to_end(answers.media_stream(_stream(spark, rows, "answer long, seq long, text string, last boolean", tmp_path, 2)))
+    assert found.count() == 10 and {r.answer: r.text for r in answers.whole(found).collect()} == {i: "ab" * 300 for i in range(5)}
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_runs_that_overlap(spark, tmp_path, batch):
+    """Pieces in any order, some twice, some without text or number, over a batch of rows and a micro-batch; what comes after the last piece is dropped."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rnd = random.Random(batch)
+        text = {i: "".join(rnd.choice(["x", "语", "[[IMG:a1]]", "[[IMG:", "!"]) for _ in range(rnd.randint(0, 60))) for i in range(12)}
+        rows = []
+        for i, whole in text.items():
+            cuts = [whole[k : k + 3] for k in range(0, len(whole), 3)] + [None]
+            rows += [(f"a{i}" if i else None, k, p, k == len(cuts) - 1) for k, p in enumerate(cuts)] + [(f"a{i}", len(cuts), "late", True), (f"a{i}", None, "?", True), (f"a{i}", -1, "?", False)]
+        rows = [r for r in rows if r[0] or r[1] is not None]
+        rows += rnd.sample(rows, len(rows) // 2)
+        rnd.shuffle(rows)
+        found = S.run_to_end(answers.cut_stream(_stream(spark, rows, "answer string, seq long, text string, last boolean", tmp_path, 4), answers.MARK))
+        got = {r.answer: r.text for r in answers.whole(found).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(f"a{i}" if i else None): t for i, t in text.items() if t}
+
+
 def _ended(rows, after, now):
     out = {}
     by = {}
