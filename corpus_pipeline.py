@@ -11,6 +11,7 @@ from folio.llm.line_crf import without_low_quality
 from folio.llm.packing import pack
 from folio.llm.simhash import without_near_copies
 from folio.llm.toxicity import without_toxic
+from folio.session import bound_batches
 from folio.storage import discard, new_folder, scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored as empty, repeated rows alike (each stays or goes by itself); a text of any length is scored whole; a score of 0.7 itself goes; an
     empty table stays empty; all columns of ``docs`` come out as they were, whatever their names."""
+    bound_batches(spark)
     return without_toxic(docs, _labels(spark, sf_dir))
 
 
@@ -33,6 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored as a text without lines, repeated rows alike; a text of any length is scored whole; a score of 0.3 itself stays; an empty table stays
     empty; all columns of ``docs`` come out as they were, whatever their names."""
+    bound_batches(spark)
     return without_low_quality(docs, _labels(spark, sf_dir))
 
 
@@ -40,6 +43,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest stays, then the smallest doc_id (null last), then any one of repeated rows.
 
     Null and empty texts are one group; a text of any length is compared whole; an empty table stays empty; all columns come out as they were, whatever their names."""
+    bound_batches(spark)
     return without_copies(docs)
 
 
@@ -48,6 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null counts as empty, and texts of fewer words are one shingle; of repeated rows any one stays, a null doc_id is the largest; a text of any length is compared whole; an
     empty table stays empty; all columns come out as they were, whatever their names."""
+    bound_batches(spark)
     return without_near_copies(docs, words=5, similar=0.8)
 
 
@@ -58,6 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equals; an empty table gives no rows; other columns are left out, so their names can't clash."""
     import public_tokenizers
 
+    bound_batches(spark)
     return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), 1, 2048)
 
 

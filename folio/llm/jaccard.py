@@ -287,8 +287,10 @@ def _with_set(pairs: DataFrame, copies: DataFrame, sets: DataFrame, side: str, n
     return pairs.join(mine.withColumn(f"{side}_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"), [side, f"{side}_copy"])
 
 
-def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(fp, shingles) of the ``rows`` (row) of the numbered ``docs``; other texts are read and left."""
+def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_col: str, signed: bool = False) -> DataFrame:
+    """(fp, shingles), or (fp, sig, shingles) if ``signed``, of the ``rows`` (row) of the numbered ``docs``; other texts are read and left.
+
+    Sets are signed by the worker that made them: another step would hold a second worker for each task, and send all sets through the executor once more."""
     make = chooser(rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,22 +298,13 @@ def _chosen_sets(docs: DataFrame, key: str, rows: DataFrame, words: int, text_co
         for batch in batches:
             for _, texts in slices(batch.column(1).filter(pa.array(among(batch.column(0).to_numpy()))), SKETCH_BYTES):
                 sets = distinct_runs(*shingle_hashes(texts.to_pylist(), words))
-                yield pa.record_batch([pa.array(np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)), _lists(np.concatenate(sets), np.array([len(s) for s in sets]))], names=["fp", "shingles"])
-
-    return docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
-
-
-def _signed(sets: DataFrame) -> DataFrame:
-    """(fp, sig, shingles) of (fp, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                sig = signatures([x.values.to_numpy().view(np.uint64) for x in some.column(1)])
-                yield pa.record_batch([some.column(0), binary_column(sig.reshape(-1), np.full(len(sig), SIGNATURE)), some.column(1)], names=["fp", "sig", "shingles"])
+                fps, lists = pa.array(np.array([_set_hash(s) for s in sets], np.uint64).view(np.int64)), _lists(np.concatenate(sets), np.array([len(s) for s in sets]))
+                if signed:
+                    yield pa.record_batch([fps, binary_column(signatures(sets).reshape(-1), np.full(len(sets), SIGNATURE)), lists], names=["fp", "sig", "shingles"])
+                else:
+                    yield pa.record_batch([fps, lists], names=["fp", "shingles"])
 
-    return sets.mapInArrow(run, "fp long, sig binary, shingles array<long>")
+    return docs.select(key, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, sig binary, shingles array<long>" if signed else "fp long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, words: int, similar: float, text_col: str) -> DataFrame:
@@ -356,7 +349,7 @@ def similar_roots(docs: DataFrame, key: str, words: int, similar: float, distanc
         open_keys = cut(_split_buckets(at), "open-buckets")
         if not open_keys.isEmpty():
             wanted = nodes.join(at.join(open_keys, "key", "left_semi").select("fp").distinct(), "fp", "left_semi").select("row")
-            signed = cut(_signed(_chosen_sets(docs, key, wanted, words, text_col)), "signatures")
+            signed = cut(_chosen_sets(docs, key, wanted, words, text_col, signed=True), "signatures")
             found = grown(cut(_open_pairs(at, open_keys, signed, similar), "open-links").toDF("a", "b"), found)
     member = every.select("fp").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
     return held.select("row", "doc_id", "fp"), cut(member.select("fp", F.coalesce("root", "fp").alias("root")), "roots")

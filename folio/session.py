@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: dict[str, str] = {}
 
+#: Bytes of rows that go to Python at once where a session sets none: Spark's 64 MB are held for each task by the executor, outside its heap, and by the worker.
+BATCH_BYTES = "4m"
+
 
 def build_session(app: str = "folio", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with the settings this library is written for: UTC, adaptive execution, Arrow batches of at most 10,000 rows and about 16 MB."""
@@ -23,6 +26,13 @@ def build_session(app: str = "folio", master: str | None = None, shuffle_partiti
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has rows go to Python ``BATCH_BYTES`` at a time in this session, if it hasn't set a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives this package to the executors' Python, once for each application."""
     app = spark.sparkContext.applicationId

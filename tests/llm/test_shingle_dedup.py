@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from brute import similar_left
 from corpus_pipeline import near_dedup
 
 from folio.llm import jaccard
+from folio.llm.rows import numbered
 from folio.llm.simhash import without_near_copies
 
 
@@ -89,3 +91,13 @@ def test_odd(odd, none):
     assert stay.columns == odd.columns and {r["__row"] for r in stay.collect()} == {3} and without_near_copies(none).count() == 0
     seen = odd.collect()
     assert stay.count() == len(_left(sorted(seen, key=lambda r: (r.doc_id is None, r.doc_id or 0))))
+
+
+def test_sets_are_signed_by_the_worker_that_makes_them(spark):
+    """A task over the texts holds one worker, not one for sets and another for signatures."""
+    docs, key = numbered(spark.createDataFrame([(i, " ".join(f"w{i % 3}x{j}" for j in range(20 + i))) for i in range(12)], "doc_id long, text string").repartition(2))
+    found = jaccard._chosen_sets(docs, key, docs.where("doc_id % 2 = 0").select(docs[key].alias("row")), 5, "text", signed=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = found.collect()
+    assert sorted(len(r.shingles) for r in rows) == [16 + i for i in range(0, 12, 2)]
+    assert [bytes(r.sig) for r in rows] == [x.tobytes() for x in jaccard.signatures([np.array(r.shingles, np.int64).view(np.uint64) for r in rows])]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from folio.functions.splitting import parents_by_text, sections, split_parents
 from folio.operators import dense
 from folio.plans import embedding
 from folio.runlog import RunLog
+from folio.session import bound_batches
 from folio.storage import new_folder
 
 LINES = ["# one", "## two ", "## two", "### three  x", "#no heading", "```", "~~~ x", "  ```", "text " * 30, "short", "", "  ", "#### \t deep", "中文。" * 40, "## a > b", "###### six", "## \r", "x\ty", "## tail\r"]
@@ -89,3 +91,21 @@ def test_conditions_on_metadata(spark):
     found = lambda **c: sorted(r.id for r in rows.where(dense.metadata_where(**c)).collect())
     assert found(filepath="a.md") == [1, 2] and found(heading="yes") == [1, 3] and found(tag="u") == [2] and found(filepath="a.md", heading="yes", tag="t") == [1]
     assert dense.metadata_where() is None and rows.where(F.lit(True)).count() == 3
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    """30 MB of texts by Spark's own setting come in batches of about 4 MB; a session's own size stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fresh = spark.newSession()
+    own = fresh.conf.get(name, None)
+    try:
+        bound_batches(fresh)
+        assert fresh.conf.get(name) == (own or "4m")
+        fresh.conf.unset(name)
+        if fresh.conf.get(name, None) is None:
+            bound_batches(fresh)
+            sizes = fresh.range(0, 10_000, 1, 1).selectExpr("repeat('x', 3000) AS t").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) < 5_000_000
+    finally:
+        if own:
+            fresh.conf.set(name, own)
