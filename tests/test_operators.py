@@ -323,6 +323,19 @@ def test_distinct_counts_are_near_whatever_the_keys(spark, tmp_path):
     assert rows.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey") - 2000) > 200).alias("far")).where("far").count() > 0
 
 
+def test_no_sketch_for_each_part(spark, tmp_path):
+    """Sketches beside a distinct count would be made for each of its keys; ranks tell what exact percentiles tell, and flags and prices may be null."""
+    from folio.catalog.relational import approx_distinct
+
+    rows = spark.range(4000).selectExpr("nullif(id % 3, 1) AS f", "id % 700 AS l_partkey", "cast(if(id % 11 = 0, null, (id * 7919) % 1013 % 97) AS double) AS l_extendedprice")
+    rows.selectExpr("cast(f AS string) AS l_returnflag", "l_partkey", "l_extendedprice").unionByName(spark.createDataFrame([("one", 1, None), ("two", 1, 5.0), ("two", 1, 5.0)], "l_returnflag string, l_partkey long, l_extendedprice double")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = approx_distinct(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and not any("l_partkey" in line.split("functions=")[0] and "approx_" in line for line in plan.splitlines() if "functions=" in line) and " percentile(" not in plan
+    held = spark.read.parquet(f"{tmp_path}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.percentile_approx("l_extendedprice", 0.5).between(F.percentile("l_extendedprice", F.lit(0.48)), F.percentile("l_extendedprice", F.lit(0.52))).alias("median_near"))
+    assert sorted((str(r.l_returnflag), r.parts, r.median_near) for r in found.collect()) == sorted((str(r.l_returnflag), r.parts, r.median_near) for r in held.collect())
+
+
 def test_bleu_counts_grams_within_a_row(spark):
     """Clipped repeats, short texts and nulls; the plan has no shuffle, so no gram leaves its row."""
     rows = [(1, "the cat the cat the", "the cat sat the"), (2, "a b c", "a b"), (3, None, "a"), (4, "a b c d e", "a b c d")]
